@@ -54,6 +54,18 @@ def actual_sets(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> D
     )
 
 
+def cycle_keys(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> DataFrame:
+    """The (template, routine, start) keys of ``actual_sets`` from narrow
+    columns only: exercises that have at least one set, with their workout's
+    routine and start. Used to rank cycles without a second full pass over
+    the set rows."""
+    w = workouts.filter(F.col("routine_id").isNotNull()).select("workout_id", "routine_id", "start_time")
+    e = exercises.select("workout_id", "exercise_index", "exercise_template_id")
+    s = sets.select("workout_id", "exercise_index")
+    return (e.join(s, ["workout_id", "exercise_index"], "left_semi").join(w, "workout_id", "inner")
+            .select("exercise_template_id", "routine_id", "start_time"))
+
+
 def workout_headers(actual: DataFrame) -> DataFrame:
     """G2."""
     return actual.select("workout_id", "routine_id", "start_time").distinct()
@@ -108,9 +120,11 @@ def _with_cycle(df: DataFrame, per_routine: bool, key_source: DataFrame | None =
 
 
 def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: bool = False,
-                         per_routine: bool = False) -> DataFrame:
+                         per_routine: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """G4 (default) / G6 (``include_skipped``) with G7 status, G8 diffs and
-    G9/G10 cycle numbers."""
+    G9/G10 cycle numbers. ``keys`` (see ``cycle_keys``) is a narrow source of
+    the actual (template, routine, start) keys; without it they are taken
+    from ``actual``."""
     if include_skipped:
         return _fact_full_outer(actual, scd, per_routine)
     a = actual.alias("a")
@@ -135,7 +149,7 @@ def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: boo
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
         *_status_and_values(F.lit(True), F.col("_planned")), "start_time", "updated_at",
     )
-    return _with_cycle(out, per_routine, actual).select(*FACT_COLS)
+    return _with_cycle(out, per_routine, keys if keys is not None else actual).select(*FACT_COLS)
 
 
 def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool) -> DataFrame:
@@ -168,7 +182,7 @@ def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool) -> Da
     return _with_cycle(out, per_routine).select(*FACT_COLS)
 
 
-def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame) -> DataFrame:
+def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """G5, re-aimed. The executed pipeline matched sets to the per-workout plan
     copies *without* the workout id, so each set paired with the plan copy of
     every workout of its routine. Emitting those pairs is quadratic in the
@@ -212,7 +226,7 @@ def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame) -> DataFrame:
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
         *_status_and_values(F.lit(True), F.col("_planned")), "start_time", "updated_at", "plan_copies",
     )
-    return _with_cycle(out, False, actual).select(*FACT_COLS, "plan_copies")
+    return _with_cycle(out, False, keys if keys is not None else actual).select(*FACT_COLS, "plan_copies")
 
 
 def fact_ordered(fact: DataFrame) -> DataFrame:

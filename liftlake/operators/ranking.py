@@ -1,83 +1,96 @@
-"""Ranks over groups that may be huge.
-
-``Window.partitionBy(k).orderBy(o)`` sends each group to one task. Cycle
-numbers are ranked per exercise template, and a popular template can hold a
-third of all sets, so a plain window would serialise that share of the data.
-``dense_rank_keys`` instead ranks the distinct (group, order) keys:
-
-1. distinct keys (map-side partial aggregation, so the fact is not moved);
-2. range-partition them on (group, order): the sampled bounds split a hot
-   group's order range over many tasks;
-3. number keys inside each (task, group) run with a window whose groups are
-   at most one range partition big;
-4. a group that spans several tasks gets, per task, the number of its keys
-   in all earlier tasks. Only the first and the last group of a task can
-   span, so this offset table has at most two rows per task and is
-   broadcast by construction, never by data size.
-
-The result is one row per distinct key; join it back on (group, order).
+"""Ranks and lags over groups that may be huge.
+
+``Window.partitionBy(k).orderBy(o)`` sends each whole group to one task.
+Cycle numbers are ranked per exercise template, and a popular template can
+hold a third of all sets, so a plain window would serialise that share of
+the data. ``dense_rank_keys`` ranks the distinct (group, order) keys in
+buckets of the order value instead:
+
+1. distinct keys (map-side partial aggregation; the fact itself never moves);
+2. each key gets a bucket that is a pure function of its order value (the
+   day of a timestamp, a block of 1024 integers), so the result is
+   deterministic and survives task retries and executor loss;
+3. keys are numbered inside (group, bucket) with a window whose partitions
+   are one bucket of one group;
+4. the offset of a bucket is the number of keys in the earlier buckets of
+   its group: a running sum over the small (group, bucket, count) table.
+
+The result has one row per distinct key; join it back on (group, order).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+Bucket = Callable[[Column], Column]
+
 
-from liftlake.session import cut_lineage
+def default_bucket(dtype: T.DataType) -> Bucket:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return lambda c: F.to_date(c)
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return lambda c: F.floor(c / F.lit(1024))
+    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return lambda c: F.floor(c)
+    if isinstance(dtype, T.StringType):
+        return lambda c: F.substring(c, 1, 2)
+    raise TypeError(f"no default bucket for {dtype}")
 
 
 def dense_rank_keys(df: DataFrame, group_cols: list[str], order_col: str, out: str,
-                    num_partitions: int | None = None) -> DataFrame:
+                    bucket: Bucket | None = None) -> DataFrame:
     """Distinct (group_cols..., order_col) with ``out`` = dense rank of
-    order_col within its group (ascending, nulls first)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_col within its group (ascending, nulls first). ``bucket`` must be
+    monotone in the order value (a coarser sort key)."""
     keys = df.select(*group_cols, order_col).distinct()
-    ordered = keys.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in group_cols + [order_col]])
-    ordered = ordered.withColumn("_pid", F.spark_partition_id())
-
-    local = Window.partitionBy("_pid", *group_cols).orderBy(F.col(order_col).asc_nulls_first())
-    # Task ids must be identical in every branch below; a reliable checkpoint
-    # pins them (and cuts lineage) instead of trusting exchange reuse.
-    ranked = cut_lineage(ordered.withColumn("_local", F.row_number().over(local)), force=True)
-    ordered = ranked
-
-    # Edge groups of every task: only these can continue in a neighbour task.
-    gstruct = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
-    edges = (ordered.groupBy("_pid")
-             .agg(F.min(gstruct).alias("_first"), F.max(gstruct).alias("_last")))
-    first = edges.select("_pid", F.col("_first").alias("_g"))
-    last = edges.select("_pid", F.col("_last").alias("_g"))
-    edge_keys = first.unionByName(last).distinct()
-    ek = edge_keys.select(F.col("_pid").alias("_epid"), F.col("_g").alias("_eg"))
-    edge_counts = (ordered.withColumn("_g", gstruct)
-                   .join(F.broadcast(ek), (F.col("_pid") == F.col("_epid")) & F.col("_g").eqNullSafe(F.col("_eg")),
-                         "left_semi")
-                   .groupBy("_pid", "_g").agg(F.count(F.lit(1)).alias("_n")))
-    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edge_counts.select("_pid", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-
-    off = offsets.select(F.col("_pid").alias("_opid"), F.col("_g").alias("_og"), "_off")
-    res = (ranked.withColumn("_g", gstruct)
-           .join(F.broadcast(off), (F.col("_pid") == F.col("_opid")) & F.col("_g").eqNullSafe(F.col("_og")), "left")
-           .select(*group_cols, order_col,
-                   (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("int").alias(out)))
-    return res
+    b = bucket or default_bucket(keys.schema[order_col].dataType)
+    keys = keys.withColumn("_b", b(F.col(order_col)))
+    counts = keys.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = (Window.partitionBy(*group_cols).orderBy(F.col("_b").asc_nulls_first())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols], F.col("_b").alias("_o_b"),
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*group_cols, "_b").orderBy(F.col(order_col).asc_nulls_first())
+    ranked = keys.withColumn("_local", F.row_number().over(local))
+    cond = F.col("_b").eqNullSafe(F.col("_o_b"))
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return ranked.join(offsets, cond, "inner").select(
+        *group_cols, order_col, (F.col("_off") + F.col("_local")).cast("int").alias(out))
 
 
 def join_rank(df: DataFrame, ranks: DataFrame, group_cols: list[str], order_col: str) -> DataFrame:
-    """Attach ranks to every row of ``df`` (null-safe on the order column)."""
+    """Attach ranks to every row of ``df`` (null-safe on all key columns)."""
     r = ranks.withColumnRenamed(order_col, "_rk_o")
     for c in group_cols:
         r = r.withColumnRenamed(c, f"_rk_{c}")
-    cond = [F.col(c).eqNullSafe(F.col(f"_rk_{c}")) for c in group_cols]
-    cond.append(F.col(order_col).eqNullSafe(F.col("_rk_o")))
-    cond_all: Column = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    out = df.join(r, cond_all, "left")
+    cond = F.col(order_col).eqNullSafe(F.col("_rk_o"))
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_rk_{c}"))
+    out = df.join(r, cond, "left")
     return out.drop("_rk_o", *[f"_rk_{c}" for c in group_cols])
 
 
-def with_dense_rank(df: DataFrame, group_cols: list[str], order_col: str, out: str) -> DataFrame:
-    return join_rank(df, dense_rank_keys(df, group_cols, order_col, out), group_cols, order_col)
+def with_dense_rank(df: DataFrame, group_cols: list[str], order_col: str, out: str,
+                    bucket: Bucket | None = None) -> DataFrame:
+    return join_rank(df, dense_rank_keys(df, group_cols, order_col, out, bucket), group_cols, order_col)
+
+
+def lag_by_position(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
+                    prefix: str = "prev_") -> DataFrame:
+    """LAG of ``value_cols`` by ``order_col`` within ``group_cols`` for a frame
+    where (group, order) is unique: rank positions with ``dense_rank_keys``,
+    then an equi-join of position p to p - 1. No group is ever gathered into
+    one task. Null group values form their own group, as in SQL windows."""
+    ranks = dense_rank_keys(df, group_cols, order_col, "_pos")
+    d = join_rank(df, ranks, group_cols, order_col)
+    prev = d.select(*[F.col(c).alias(f"_lg_{c}") for c in group_cols], (F.col("_pos") + 1).alias("_lg_pos"),
+                    *[F.col(v).alias(f"{prefix}{v}") for v in value_cols])
+    cond = F.col("_pos") == F.col("_lg_pos")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_lg_{c}"))
+    return d.join(prev, cond, "left").drop("_lg_pos", "_pos", *[f"_lg_{c}" for c in group_cols])

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlake.operators import dims, fact, gold, scd2
+from liftlake.operators import coach, dims, fact, gold, plan, scd2
 from liftlake.session import cut_lineage
 from liftlake.sources import fixtures as fx
 
@@ -67,11 +67,38 @@ class Pipeline:
         b = self.bronze
         return fact.actual_sets(b.workout_sets, b.workouts, b.workout_exercises)
 
+    @cached_property
+    def cycle_keys(self) -> DataFrame:
+        b = self.bronze
+        return fact.cycle_keys(b.workout_sets, b.workouts, b.workout_exercises)
+
     @cached_property
     def fact(self) -> DataFrame:
-        return fact.fact_workout_history(self.actual, self.scd)
+        return fact.fact_workout_history(self.actual, self.scd, keys=self.cycle_keys)
 
     # ---------------------------------------------------------------- gold
     @cached_property
     def gold(self) -> DataFrame:
         return gold.gold_prompt(self.fact, self.dim_exercise, self.dim_routine, self.bronze.routine_details)
+
+    # ---------------------------------------------------------------- coach
+    @cached_property
+    def recent_sets(self) -> DataFrame:
+        b = self.bronze
+        return coach.recent_sets(b.workout_sets, b.workouts, b.workout_exercises)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return coach.session_history(self.recent_sets)
+
+    @cached_property
+    def stall(self) -> DataFrame:
+        return coach.stall_analysis(self.sessions)
+
+    @cached_property
+    def replies(self) -> DataFrame:
+        return fx.coach_replies(self.gold)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return plan.parse_recommendations(self.replies)

@@ -186,7 +186,7 @@ FROM ({fact_select("COALESCE(a.exercise_template_id, p.exercise_template_id)", w
 GROUP BY {_FACT_LIST}, _vf""")
 def q_fact_plan_match_as_executed(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_plan_match_as_executed(p.actual, p.scd)
+    return fact.fact_plan_match_as_executed(p.actual, p.scd, keys=p.cycle_keys)
 
 
 @query("fact_with_skipped", fact_select("COALESCE(a.exercise_template_id, p.exercise_template_id)",
@@ -224,7 +224,7 @@ def q_cycle_number(spark, d):
     "COALESCE(a.exercise_template_id, p.exercise_template_id), COALESCE(a.routine_id, p.routine_id)"))
 def q_cycle_number_per_routine(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_workout_history(p.actual, p.scd, per_routine=True)
+    return fact.fact_workout_history(p.actual, p.scd, per_routine=True, keys=p.cycle_keys)
 
 
 @query("fact_ordered")

@@ -271,3 +271,34 @@ def bronze(spark: SparkSession, sf_dir: str) -> Bronze:
         workout_exercises=workout_exercises(spark, sf_dir),
         workout_sets=workout_sets(spark, sf_dir),
     )
+
+
+# ---------------------------------------------------------------- coach replies
+
+def coach_replies(gold: DataFrame) -> DataFrame:
+    """Stand-in for the coach model's replies, derived from the gold table so
+    they grow with it: per routine one JSON text ``{"recommendations": {id:
+    {...}}}`` covering the exercises of its last cycles, except those at
+    exercise index 3 (they get no recommendation and are carried over).
+    Replies of routines whose id is divisible by 13 lack ``reasoning`` and
+    must be rejected whole."""
+    last = (gold.groupBy("routine_id", "exercise_template_id")
+            .agg(F.max("cycle_number").alias("_c")))
+    g = gold.join(last, ["routine_id", "exercise_template_id"]).filter(F.col("cycle_number") == F.col("_c"))
+    per_ex = g.groupBy("routine_id", "exercise_template_id").agg(
+        F.min("exercise_index").alias("idx"), F.max("superset_id").alias("ss"),
+        F.max("actual_weight_kg").alias("w"), F.max("actual_reps").alias("r"),
+        F.max("progression_step_kg").alias("step"))
+    per_ex = per_ex.filter(F.coalesce(F.col("idx"), F.lit(-1)) != 3)
+    weight = (F.coalesce(F.col("w"), F.lit(0.0)) + F.coalesce(F.col("step"), F.lit(0.0))).cast("double")
+    reps = F.coalesce(F.col("r"), F.lit(8)).cast("int")
+    rest = (F.when(F.col("idx") == 0, F.lit(210)).when(F.col("ss").isNotNull(), F.lit(90))
+            .otherwise(F.lit(120)))
+    bad = (F.col("routine_id").cast("long") % 13 == 0)
+    rec = F.struct(weight.alias("weight_kg"), reps.alias("reps"), F.lit(8.0).alias("rpe_target"),
+                   F.lit("LINEAR_LOAD").alias("strategy"), rest.alias("rest_seconds"),
+                   F.when(~bad, F.concat(F.lit("Add "), F.coalesce(F.col("step"), F.lit(0.0)).cast("string"),
+                                         F.lit(" kg"))).alias("reasoning"))
+    per_routine = per_ex.groupBy("routine_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("exercise_template_id", rec))).alias("recommendations"))
+    return per_routine.select("routine_id", F.to_json(F.struct("recommendations")).alias("response"))
