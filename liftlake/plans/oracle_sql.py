@@ -90,7 +90,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title,
        CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS primary_muscle_group,
        CASE WHEN p_size % 3 = 0 THEN '[]'
             WHEN p_size % 2 = 0 THEN '["m' || CAST(p_size % 7 AS VARCHAR) || '"]'
-            ELSE '["m' || CAST(p_size % 7 AS VARCHAR) || '","m' || CAST(p_size % 5 AS VARCHAR) || '"]' END
+            ELSE '["m' || CAST(p_size % 7 AS VARCHAR) || '", "m' || CAST(p_size % 5 AS VARCHAR) || '"]' END
          AS secondary_muscle_groups,
        p_size > 40 AS is_custom,
        TIMESTAMP '1999-01-01 00:00:00' AS ingestion_timestamp

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from liftlake.functions.parsing import python_json_list
+
 # Fixed values of the fixture (they define the projection, shared with the
 # DuckDB oracle text in liftlake/plans/oracle_sql.py).
 SNAPSHOT_RUN_TS = {0: "1996-01-01 00:00:00", 1: "1999-01-01 00:00:00"}
@@ -137,7 +139,7 @@ def exercise_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("title"),
         F.when(F.col("p_size") % 9 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("type"),
         F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("primary_muscle_group"),
-        F.to_json(secondary_muscles_array()).alias("secondary_muscle_groups"),
+        python_json_list(secondary_muscles_array()).alias("secondary_muscle_groups"),
         (F.col("p_size") > 40).alias("is_custom"),
         ts(TEMPLATE_INGESTED_AT).alias("ingestion_timestamp"),
     )
