@@ -71,3 +71,30 @@ def plan_diffs(prefix_actual: str = "", prefix_plan: str = "planned_") -> list[C
         (F.col(f"{a}duration_seconds") - F.col(f"{p}duration_seconds")).alias("diff_duration_seconds"),
         (F.col(f"{a}custom_metric") - F.col(f"{p}custom_metric")).alias("diff_custom_metric"),
     ]
+
+
+def execution_status_sql(actual_present: str, plan_present: str, a: str = "", p: str = "planned_") -> str:
+    """The same rule as one SQL CASE expression (one expression object
+    instead of dozens of Column calls when building large plans)."""
+    def z(c: str) -> str:
+        return f"COALESCE({c}, 0)"
+    w, r, d, m = (z(f"{a}{c}") for c in ("weight_kg", "reps", "duration_seconds", "custom_metric"))
+    pw, pr, pd, pm, pdist = (z(f"{p}{c}") for c in ("weight_kg", "reps", "duration_seconds", "custom_metric",
+                                                      "distance_meters"))
+    return f"""CASE
+        WHEN NOT ({actual_present}) THEN '{SKIPPED}'
+        WHEN NOT ({plan_present}) THEN '{UNPLANNED}'
+        WHEN {w} > {pw} AND {r} > {pr} THEN '{HEAVIER_MORE_REPS}'
+        WHEN {w} > {pw} AND {r} < {pr} THEN '{HEAVIER_FEWER_REPS}'
+        WHEN {w} > {pw} THEN '{HEAVIER}'
+        WHEN {w} < {pw} AND {r} > {pr} THEN '{LIGHTER_MORE_REPS}'
+        WHEN {w} < {pw} THEN '{LIGHTER}'
+        WHEN {r} > {pr} THEN '{MORE_REPS}'
+        WHEN {r} < {pr} THEN '{FEWER_REPS}'
+        WHEN {d} > {pd} THEN '{LONGER}'
+        WHEN {d} < {pd} THEN '{SHORTER}'
+        WHEN {m} > {pm} THEN '{HIGHER_METRIC}'
+        WHEN {m} < {pm} THEN '{LOWER_METRIC}'
+        WHEN {pw} = 0 AND {pdist} = 0 THEN '{BODYWEIGHT_MET}'
+        ELSE '{TARGET_MET}'
+    END"""

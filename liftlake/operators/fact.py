@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.functions.status import execution_status
+from liftlake.functions.status import execution_status_sql
 from liftlake.operators.ranking import dense_rank_keys, join_rank
 
 MATCH_KEYS = ["routine_id", "exercise_template_id", "exercise_index", "set_index", "set_type"]
@@ -93,16 +93,14 @@ def applicable_plan(headers: DataFrame, scd: DataFrame) -> DataFrame:
     return h.join(p, cond, "inner").drop("h_routine_id", "scd_valid_from", "scd_valid_to")
 
 
-def _status_and_values(actual_present, plan_present) -> list:
+def _status_and_values(actual_present: str, plan_present: str) -> list:
+    """Status, diffs and values as SQL expression text (built in one call)."""
     return [
-        execution_status(actual_present, plan_present,
-                         F.col("weight_kg"), F.col("reps"), F.col("duration_seconds"), F.col("custom_metric"),
-                         F.col("planned_weight_kg"), F.col("planned_reps"), F.col("planned_duration_seconds"),
-                         F.col("planned_custom_metric"), F.col("planned_distance_meters")).alias("execution_status"),
-        (F.col("weight_kg") - F.col("planned_weight_kg")).alias("diff_weight_kg"),
-        (F.col("reps") - F.col("planned_reps")).alias("diff_reps"),
-        (F.col("duration_seconds") - F.col("planned_duration_seconds")).alias("diff_duration_seconds"),
-        (F.col("custom_metric") - F.col("planned_custom_metric")).alias("diff_custom_metric"),
+        F.expr(execution_status_sql(actual_present, plan_present)).alias("execution_status"),
+        F.expr("weight_kg - planned_weight_kg").alias("diff_weight_kg"),
+        F.expr("reps - planned_reps").alias("diff_reps"),
+        F.expr("duration_seconds - planned_duration_seconds").alias("diff_duration_seconds"),
+        F.expr("custom_metric - planned_custom_metric").alias("diff_custom_metric"),
         "weight_kg", "reps", "distance_meters", "duration_seconds", "rpe", "custom_metric",
         "planned_weight_kg", "planned_reps", "planned_distance_meters", "planned_duration_seconds",
         "planned_custom_metric", "planned_rest",
@@ -126,7 +124,7 @@ def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: boo
     the actual (template, routine, start) keys; without it they are taken
     from ``actual``."""
     if include_skipped:
-        return _fact_full_outer(actual, scd, per_routine)
+        return _fact_full_outer(actual, scd, per_routine, keys)
     a = actual.alias("a")
     p = _plan_side(scd).alias("p")
     cond = None
@@ -147,12 +145,12 @@ def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: boo
     )
     out = base.select(
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
-        *_status_and_values(F.lit(True), F.col("_planned")), "start_time", "updated_at",
+        *_status_and_values("TRUE", "_planned"), "start_time", "updated_at",
     )
     return _with_cycle(out, per_routine, keys if keys is not None else actual).select(*FACT_COLS)
 
 
-def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool) -> DataFrame:
+def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool, keys: DataFrame | None = None) -> DataFrame:
     plan = applicable_plan(workout_headers(actual), scd)
     a = actual.alias("a")
     p = plan.alias("p")
@@ -177,9 +175,15 @@ def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool) -> Da
     )
     out = base.select(
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
-        *_status_and_values(F.col("_actual"), F.col("_planned")), "start_time", "updated_at",
+        *_status_and_values("_actual", "_planned"), "start_time", "updated_at",
     )
-    return _with_cycle(out, per_routine).select(*FACT_COLS)
+    # The (template, routine, start) keys of the result are exactly those of
+    # the performed sets plus those of the plan copies (a matched copy has
+    # the key of its set), so the rank reads two narrow frames instead of
+    # evaluating the full outer join twice.
+    copy_keys = plan.select("exercise_template_id", "routine_id", F.col("workout_start_time").alias("start_time"))
+    actual_keys = keys if keys is not None else actual.select("exercise_template_id", "routine_id", "start_time")
+    return _with_cycle(out, per_routine, actual_keys.unionByName(copy_keys)).select(*FACT_COLS)
 
 
 def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -224,7 +228,7 @@ def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame, keys: DataFra
     )
     out = base.select(
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
-        *_status_and_values(F.lit(True), F.col("_planned")), "start_time", "updated_at", "plan_copies",
+        *_status_and_values("TRUE", "_planned"), "start_time", "updated_at", "plan_copies",
     )
     return _with_cycle(out, False, keys if keys is not None else actual).select(*FACT_COLS, "plan_copies")
 

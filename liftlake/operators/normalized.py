@@ -1,12 +1,142 @@
-"""Legacy normalised silver model (I)."""
+"""Legacy normalised silver model (I1-I12) and its constraint checks.
+
+Surrogate ids are dense ranks of the natural keys computed by the bucketed
+distributed rank (no single-partition window). Constraint checks are
+aggregates and anti-joins that return violation rows instead of failing a
+write, so a run reports every broken key at once.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftlake.operators.ranking import dense_rank_keys
+from liftlake.sources.enums import enum_dimensions
+
+LEGACY_DEFAULT_STEP = 2.5
+PRIORITY_COUNT = 4
+
+
+def norm_enums(spark) -> dict[str, DataFrame]:
+    """The enum tables as loaded."""
+    return {f"silver_enums_{k}": v for k, v in enum_dimensions(spark).items()}
+
+
+def norm_progression(raw: DataFrame) -> DataFrame:
+    """Legacy progression table: title -> increment, later lines win, the
+    sign of negative steps kept."""
+    return raw.groupBy(F.col("exercise_name").alias("exercise_title")).agg(
+        F.max_by("progression_step_kg", "line_no").alias("base_increment"))
+
+
+def norm_folders(folders: DataFrame) -> DataFrame:
+    """I2."""
+    return folders.select("id", "title", "created_at", "updated_at").distinct()
+
+
+def norm_templates(templates: DataFrame, progression: DataFrame) -> DataFrame:
+    """Distinct template attributes, no equipment, increment by title
+    (missing -> 2.5)."""
+    t = templates.select("id", "title", "type", "primary_muscle_group", "is_custom").distinct()
+    j = t.join(progression, t.title == progression.exercise_title, "left")
+    return j.select("id", "title", "type", "primary_muscle_group", "is_custom",
+                    F.lit(None).cast("string").alias("equipment_category"),
+                    F.coalesce(F.col("base_increment"), F.lit(LEGACY_DEFAULT_STEP)).alias("base_increment"))
+
+
+def norm_secondary_muscles(templates: DataFrame) -> DataFrame:
+    """I4: muscle list text -> bridge rows; unparseable or non-list text
+    yields none."""
+    return templates.select(F.col("id").alias("exercise_template_id"),
+                            F.explode(F.from_json("secondary_muscle_groups", "array<string>")).alias("muscle_group"))
+
 
 def norm_routines(routines: DataFrame) -> DataFrame:
     """Distinct routine headers, id renamed."""
-    return routines.select(F.col("routine_id").alias("id"), "title", "folder_id", "updated_at",
-                           "created_at").distinct()
+    return routines.select(F.col("routine_id").alias("id"), "title", "folder_id", "created_at",
+                           "updated_at").distinct()
+
+
+_EX_KEY = ["exercise_template_id", "superset_id", "rest_seconds", "notes"]
+
+
+def _with_surrogate(distinct: DataFrame, parent: str, order_col: str, key_cols: list[str]) -> DataFrame:
+    """Surrogate id = rank of (parent, order, rest of key) over the whole
+    table; buckets are prefixes of the parent id, so the global running sum
+    runs over a few thousand bucket counts, not over the rows."""
+    key = F.struct(F.col(parent), F.col(order_col), *[F.col(c) for c in key_cols])
+    d = distinct.withColumn("_key", key)
+    ranks = dense_rank_keys(d, [], "_key", "id", bucket=lambda c: F.substring(c[parent], 1, 3))
+    return d.join(ranks, "_key", "inner").drop("_key")
+
+
+def norm_routine_exercises(flat_routines: DataFrame) -> DataFrame:
+    """Distinct routine exercises with a surrogate id."""
+    d = flat_routines.select("routine_id", "exercise_template_id", F.col("supersets_id").alias("superset_id"),
+                             "rest_seconds", F.col("exercise_notes").alias("notes"),
+                             F.col("exercise_index").alias("order_index")).distinct()
+    return _with_surrogate(d, "routine_id", "order_index", _EX_KEY)
+
+
+def norm_routine_sets(flat_routines: DataFrame, routine_exercises: DataFrame) -> DataFrame:
+    """Plan set rows with the routine-exercise id of (routine, index)."""
+    m = routine_exercises.select(F.col("id").alias("routine_exercise_id"), F.col("routine_id").alias("_r"),
+                                 "order_index")
+    j = flat_routines.join(m, (F.col("routine_id") == F.col("_r")) & (F.col("exercise_index") == F.col("order_index")))
+    return j.select("routine_exercise_id", "set_type", "weight_kg", "reps", "rep_range_start", "rep_range_end",
+                    "distance_meters", "duration_seconds", "rpe")
+
+
+def norm_workouts_priority(flat_workouts: DataFrame, n: int = PRIORITY_COUNT) -> DataFrame:
+    """I8: distinct workout headers; the newest ``n`` (ties by id) flagged
+    as priority. The top n is a distributed top-k broadcast back (n rows)."""
+    w = flat_workouts.select(F.col("workout_id").alias("id"), "title", "description", "start_time", "end_time",
+                             "created_at", "updated_at", "routine_id").distinct()
+    top = (w.select("id", "start_time").orderBy(F.col("start_time").desc_nulls_last(), F.col("id")).limit(n)
+           .select(F.col("id").alias("_top")))
+    return (w.join(F.broadcast(top), F.col("id") == F.col("_top"), "left")
+            .withColumn("is_priority", F.col("_top").isNotNull()).drop("_top"))
+
+
+def norm_workout_exercises(flat_workouts: DataFrame) -> DataFrame:
+    """I9."""
+    d = flat_workouts.select("workout_id", "exercise_template_id", F.col("supersets_id").alias("superset_id"),
+                             F.col("exercise_notes").alias("notes"),
+                             F.col("exercise_index").alias("order_index")).distinct()
+    return _with_surrogate(d, "workout_id", "order_index", ["exercise_template_id", "superset_id", "notes"])
+
+
+def norm_workout_sets(flat_workouts: DataFrame, workout_exercises: DataFrame) -> DataFrame:
+    """I10."""
+    m = workout_exercises.select(F.col("id").alias("workout_exercise_id"), F.col("workout_id").alias("_w"),
+                                 "order_index")
+    j = flat_workouts.join(m, (F.col("workout_id") == F.col("_w")) & (F.col("exercise_index") == F.col("order_index")))
+    return j.select("workout_exercise_id", "set_type", "weight_kg", "reps", "distance_meters", "duration_seconds",
+                    "rpe", "custom_metric")
+
+
+def pk_violations(df: DataFrame, table: str, keys: list[str], not_null: list[str] = ()) -> DataFrame:
+    """Duplicate or null primary keys and null NOT NULL columns."""
+    k = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in keys])
+    dup = (df.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+           .select(F.lit(table).alias("table_name"), "key", F.lit("duplicate key").alias("problem"),
+                   F.col("n").cast("bigint").alias("n")))
+    out = dup
+    null_key = None
+    for c in keys:
+        e = F.col(c).isNull()
+        null_key = e if null_key is None else null_key | e
+    checks = [("null key", null_key)] + [(f"null {c}", F.col(c).isNull()) for c in not_null]
+    for name, cond in checks:
+        out = out.unionByName(df.filter(cond).groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(table).alias("table_name"), "key", F.lit(name).alias("problem"), F.col("n").cast("bigint")))
+    return out
+
+
+def fk_violations(child: DataFrame, parent: DataFrame, fk: str, child_col: str, parent_col: str) -> DataFrame:
+    """Child rows whose (non-null) foreign key has no parent row."""
+    p = parent.select(F.col(parent_col).alias("_pk")).distinct()
+    orphans = child.filter(F.col(child_col).isNotNull()).join(p, F.col(child_col) == F.col("_pk"), "left_anti")
+    return orphans.groupBy(F.col(child_col).cast("string").alias("key")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(fk).alias("foreign_key"), "key", "n")

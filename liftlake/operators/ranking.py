@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liftlake.session import cut_lineage
+
 Bucket = Callable[[Column], Column]
 
 
@@ -81,11 +83,18 @@ def with_dense_rank(df: DataFrame, group_cols: list[str], order_col: str, out: s
 
 
 def lag_by_position(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
-                    prefix: str = "prev_") -> DataFrame:
+                    prefix: str = "prev_", materialize: bool = True) -> DataFrame:
     """LAG of ``value_cols`` by ``order_col`` within ``group_cols`` for a frame
     where (group, order) is unique: rank positions with ``dense_rank_keys``,
     then an equi-join of position p to p - 1. No group is ever gathered into
-    one task. Null group values form their own group, as in SQL windows."""
+    one task. Null group values form their own group, as in SQL windows.
+
+    ``df`` is read three times; with ``materialize`` it is first written as a
+    reliable checkpoint (it is usually a small aggregate over an expensive
+    plan, and column pruning would otherwise make the three reads differ and
+    recompute that plan each time)."""
+    if materialize:
+        df = cut_lineage(df, force=True)
     ranks = dense_rank_keys(df, group_cols, order_col, "_pos")
     d = join_rank(df, ranks, group_cols, order_col)
     prev = d.select(*[F.col(c).alias(f"_lg_{c}") for c in group_cols], (F.col("_pos") + 1).alias("_lg_pos"),

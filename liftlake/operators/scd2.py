@@ -151,3 +151,18 @@ def as_of(scd: DataFrame, probes: DataFrame, ts_col: str, on: list[str]) -> Data
     cond = cond & (F.col(f"p.{ts_col}") >= F.col("s.scd_valid_from")) & (
         (F.col(f"p.{ts_col}") < F.col("s.scd_valid_to")) | F.col("s.scd_valid_to").isNull())
     return p.join(s, cond, "inner")
+
+
+def apply_runs(snapshots: list[tuple[DataFrame, Column]], keys: list[str] = BUSINESS_KEYS,
+               checkpoint_every: int = 4) -> DataFrame:
+    """Replay several snapshot runs in order (staged frame, run time). Every
+    ``checkpoint_every`` runs the state is checkpointed into the session's
+    shared checkpoint folder, so lineage stays bounded and a lost executor
+    never forces a replay from the first run."""
+    from liftlake.session import cut_lineage
+    state = None
+    for i, (staged, ts) in enumerate(snapshots, start=1):
+        state = apply(state, staged, ts, keys)
+        if i % checkpoint_every == 0:
+            state = cut_lineage(state)
+    return state

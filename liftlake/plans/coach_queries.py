@@ -123,7 +123,7 @@ SELECT routine_id, CAST(COALESCE(MAX(cycle_number), 0) + 1 AS INTEGER) AS next_c
        CASE WHEN (COALESCE(MAX(cycle_number), 0) + 1) % 4 = 0 THEN 'DELOAD' ELSE 'PROGRESSION' END AS phase
 FROM fx_gold GROUP BY routine_id""")
 def q_cycle_phase(spark, d):
-    return coach.cycle_phase(Pipeline(spark, d).gold)
+    return coach.cycle_phase(Pipeline(spark, d).gold_table)
 
 
 cte("fx_ex_head", """
@@ -146,7 +146,7 @@ FROM fx_gold g JOIN fx_ex_head h ON g.routine_id = h.routine_id AND g.exercise_t
 @query("routine_document", """
 SELECT * EXCLUDE (last_cycle) FROM fx_docs""")
 def q_routine_document(spark, d):
-    return coach.routine_documents(Pipeline(spark, d).gold)
+    return coach.routine_documents(Pipeline(spark, d).gold_table)
 
 
 def _txt(c: str, none: str = "None") -> str:
@@ -162,12 +162,12 @@ SELECT routine_id, exercise_template_id, exercise_index, superset_id, title, pro
        || {_txt('execution_status')} AS line
 FROM fx_docs WHERE cycle = last_cycle""")
 def q_prompt_lines(spark, d):
-    return prompts.prompt_lines(Pipeline(spark, d).gold)
+    return prompts.prompt_lines(Pipeline(spark, d).gold_table)
 
 
 @query("routine_prompt")
 def q_routine_prompt(spark, d):
-    return prompts.routine_prompts(Pipeline(spark, d).gold)
+    return prompts.routine_prompts(Pipeline(spark, d).gold_table)
 
 
 cte("fx_recs", """
@@ -206,7 +206,7 @@ SELECT r.routine_id, r.exercise_template_id,
 FROM fx_recs r JOIN fx_ex_head h ON r.routine_id = h.routine_id AND r.exercise_template_id = h.exercise_template_id""")
 def q_plan_summary(spark, d):
     p = Pipeline(spark, d)
-    return plan.plan_summary(p.gold, p.recommendations)
+    return plan.plan_summary(p.gold_table, p.recommendations)
 
 
 @query("plan_summary_legacy", """
@@ -216,7 +216,7 @@ SELECT r.routine_id, r.exercise_template_id,
 FROM fx_recs r LEFT JOIN fx_ex_head h ON r.routine_id = h.routine_id AND r.exercise_template_id = h.exercise_template_id""")
 def q_plan_summary_legacy(spark, d):
     p = Pipeline(spark, d)
-    return plan.plan_summary(p.gold, p.recommendations, legacy=True)
+    return plan.plan_summary(p.gold_table, p.recommendations, legacy=True)
 
 
 @query("warmup_ladder", """
@@ -293,27 +293,27 @@ FROM (SELECT * FROM rec_rows UNION ALL SELECT * FROM copy_rows) x""")
 @query("target_sets", "SELECT * FROM fx_plan_rows WHERE has_recommendation AND set_type = 'normal'")
 def q_target_sets(spark, d):
     p = Pipeline(spark, d)
-    r = plan.exercise_plan_rows(p.gold, p.recommendations)
+    r = plan.exercise_plan_rows(p.gold_table, p.recommendations)
     return r.filter(F.col("has_recommendation") & (F.col("set_type") == "normal"))
 
 
 @query("carry_over_sets", "SELECT * FROM fx_plan_rows WHERE NOT has_recommendation")
 def q_carry_over_sets(spark, d):
     p = Pipeline(spark, d)
-    return plan.exercise_plan_rows(p.gold, p.recommendations).filter(~F.col("has_recommendation"))
+    return plan.exercise_plan_rows(p.gold_table, p.recommendations).filter(~F.col("has_recommendation"))
 
 
 @query("exercise_notes", "SELECT DISTINCT routine_id, exercise_template_id, rest_seconds, notes FROM fx_plan_rows")
 def q_exercise_notes(spark, d):
     p = Pipeline(spark, d)
-    return (plan.exercise_plan_rows(p.gold, p.recommendations)
+    return (plan.exercise_plan_rows(p.gold_table, p.recommendations)
             .select("routine_id", "exercise_template_id", "rest_seconds", "notes").distinct())
 
 
 @query("exercise_plan_rows", "SELECT * FROM fx_plan_rows")
 def q_exercise_plan_rows(spark, d):
     p = Pipeline(spark, d)
-    return plan.exercise_plan_rows(p.gold, p.recommendations)
+    return plan.exercise_plan_rows(p.gold_table, p.recommendations)
 
 
 @query("target_sets_legacy", """
@@ -331,14 +331,14 @@ def q_target_sets_legacy(spark, d):
 def q_routine_payload(spark, d):
     p = Pipeline(spark, d)
     run_date = p.bronze.workouts.select(F.max("start_time")).scalar()
-    return plan.routine_payloads(p.gold, p.recommendations, run_date)
+    return plan.routine_payloads(p.gold_table, p.recommendations, run_date)
 
 
 @query("validate_payload", "SELECT DISTINCT routine_id, TRUE AS is_valid FROM fx_ex_head")
 def q_validate_payload(spark, d):
     p = Pipeline(spark, d)
     run_date = p.bronze.workouts.select(F.max("start_time")).scalar()
-    return plan.routine_payloads(p.gold, p.recommendations, run_date).select("routine_id", "is_valid")
+    return plan.routine_payloads(p.gold_table, p.recommendations, run_date).select("routine_id", "is_valid")
 
 
 @query("coach_context")

@@ -47,18 +47,18 @@ WHERE lower(COALESCE(set_type, 'normal')) = 'normal'
 
 def _prog(spark, d):
     p = Pipeline(spark, d)
-    return db.progression(db.workout_stats(p.fact, p.dim_exercise, p.dim_routine))
+    return db.progression(db.workout_stats(p.fact_table, p.dim_exercise, p.dim_routine))
 
 
 def _detail(spark, d):
     p = Pipeline(spark, d)
-    return db.workout_detail(p.fact, p.bronze.workouts, p.dim_exercise, p.dim_routine)
+    return db.workout_detail(p.fact_table, p.bronze.workouts, p.dim_exercise, p.dim_routine)
 
 
 @query("workout_stats", "SELECT * FROM fx_workout_stats")
 def q_workout_stats(spark, d):
     p = Pipeline(spark, d)
-    return db.workout_stats(p.fact, p.dim_exercise, p.dim_routine)
+    return db.workout_stats(p.fact_table, p.dim_exercise, p.dim_routine)
 
 
 @query("progression", "SELECT * FROM fx_prog_dash")
@@ -77,7 +77,7 @@ WHERE f.set_type = 'normal' AND f.planned_weight_kg IS NOT NULL
 GROUP BY e.exercise_name, r.routine_name, f.cycle_number""")
 def q_execution_vs_plan(spark, d):
     p = Pipeline(spark, d)
-    return db.execution_vs_plan(p.fact, p.dim_exercise, p.dim_routine)
+    return db.execution_vs_plan(p.fact_table, p.dim_exercise, p.dim_routine)
 
 
 @query("plateau_detection", """
@@ -184,6 +184,6 @@ SELECT f.workout_id, f.exercise_index, f.set_index, f.weight_kg * (1 + (CAST(f.r
 FROM fx_fact f""")
 def q_e1rm_dashboard(spark, d):
     from liftlake.functions.metrics import e1rm
-    f = Pipeline(spark, d).fact
+    f = Pipeline(spark, d).fact_table
     return f.select("workout_id", "exercise_index", "set_index",
                     e1rm(F.col("weight_kg"), F.col("reps"), single_rep_exact=False).alias("e1rm"))

@@ -224,23 +224,29 @@ _OUTER_SETS = """s.set_index, s.set_type, s.weight_kg, s.reps, s.distance_meters
        s.custom_metric"""
 
 
-@query("flat_workouts_outer", f"""
+cte("fx_flat_workouts", f"""
 SELECT w.workout_id, w.title, w.routine_id, w.description, w.start_time, w.end_time, w.updated_at, w.created_at,
        {RUN} AS ingestion_timestamp, e.exercise_index, e.title AS exercise_title, e.notes AS exercise_notes,
        e.exercise_template_id, e.superset_id AS supersets_id, {_OUTER_SETS}
 FROM fx_w_valid w
 LEFT JOIN fx_workout_exercises e ON e.workout_id = w.workout_id
 LEFT JOIN fx_doc_sets s ON s.workout_id = e.workout_id AND s.exercise_index = e.exercise_index""")
+
+
+@query("flat_workouts_outer", "SELECT * FROM fx_flat_workouts")
 def q_flat_workouts_outer(spark, d):
     return fl.flat_workouts_outer(_valid(spark, d, "workouts"), run_ts())
 
 
-@query("flat_routines_outer", f"""
+cte("fx_flat_routines", f"""
 SELECT r.routine_id, r.title, r.folder_id, r.updated_at, r.created_at, {RUN} AS ingestion_timestamp,
        d.exercise_index, d.exercise_title, d.exercise_notes, d.rest_seconds, d.exercise_template_id,
        d.superset_id AS supersets_id, d.set_index, d.set_type, d.weight_kg, d.reps, d.rep_range_start,
        d.rep_range_end, d.distance_meters, d.duration_seconds, d.rpe, d.custom_metric
 FROM fx_r_valid r LEFT JOIN fx_routine_details d ON d.routine_id = r.routine_id""")
+
+
+@query("flat_routines_outer", "SELECT * FROM fx_flat_routines")
 def q_flat_routines_outer(spark, d):
     return fl.flat_routines_outer(_valid(spark, d, "routines"), run_ts())
 
@@ -319,11 +325,14 @@ def q_custom_exercise_templates(spark, d):
     return fl.custom_exercise_templates(valid, run_ts())
 
 
-@query("folders_flat", f"""
+cte("fx_folders_json", f"""
 SELECT CAST(n_nationkey AS VARCHAR) AS id, n_regionkey AS index, n_name AS title,
        TIMESTAMP '1995-06-01 00:00:00' AS updated_at, TIMESTAMP '1995-01-01 00:00:00' AS created_at,
        {RUN} AS ingestion_timestamp
 FROM nation WHERE n_nationkey % 7 <> 3""")
+
+
+@query("folders_flat", "SELECT * FROM fx_folders_json")
 def q_folders_flat(spark, d):
     return fl.folders_flat(_valid(spark, d, "routine_folders"), run_ts())
 

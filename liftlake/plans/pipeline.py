@@ -42,9 +42,9 @@ class Pipeline:
 
     @cached_property
     def scd(self) -> DataFrame:
-        """Dimension state after both snapshot runs."""
-        first = cut_lineage(self.scd_after_first_run)
-        return scd2.apply(first, self.staged(1), fx.ts(fx.SNAPSHOT_RUN_TS[1]))
+        """Dimension state after both snapshot runs (two runs: the lineage
+        stays short; ``scd2.apply_runs`` cuts it for longer histories)."""
+        return scd2.apply(self.scd_after_first_run, self.staged(1), fx.ts(fx.SNAPSHOT_RUN_TS[1]))
 
     @cached_property
     def progression_raw(self) -> DataFrame:
@@ -76,11 +76,23 @@ class Pipeline:
     def fact(self) -> DataFrame:
         return fact.fact_workout_history(self.actual, self.scd, keys=self.cycle_keys)
 
+    @cached_property
+    def fact_table(self) -> DataFrame:
+        """The silver fact as a written table (reliable checkpoint): what the
+        dashboards read. Downstream queries that read it several times then
+        share one materialisation instead of recomputing the plan match."""
+        return cut_lineage(self.fact, force=True)
+
     # ---------------------------------------------------------------- gold
     @cached_property
     def gold(self) -> DataFrame:
         return gold.gold_prompt(self.fact, self.dim_exercise, self.dim_routine, self.bronze.routine_details)
 
+    @cached_property
+    def gold_table(self) -> DataFrame:
+        """The gold table as written (reliable checkpoint): what the coach reads."""
+        return cut_lineage(self.gold, force=True)
+
     # ---------------------------------------------------------------- coach
     @cached_property
     def recent_sets(self) -> DataFrame:
@@ -89,7 +101,8 @@ class Pipeline:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return coach.session_history(self.recent_sets)
+        """At most 5 rows per exercise, read several times by the analytics."""
+        return cut_lineage(coach.session_history(self.recent_sets), force=True)
 
     @cached_property
     def stall(self) -> DataFrame:
@@ -97,7 +110,7 @@ class Pipeline:
 
     @cached_property
     def replies(self) -> DataFrame:
-        return fx.coach_replies(self.gold)
+        return fx.coach_replies(self.gold_table)
 
     @cached_property
     def recommendations(self) -> DataFrame:

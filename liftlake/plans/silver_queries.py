@@ -193,7 +193,7 @@ def q_fact_plan_match_as_executed(spark, d):
                                         join="FULL OUTER JOIN"))
 def q_fact_with_skipped(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_workout_history(p.actual, p.scd, include_skipped=True)
+    return fact.fact_workout_history(p.actual, p.scd, include_skipped=True, keys=p.cycle_keys)
 
 
 @query("execution_status", """

@@ -34,8 +34,20 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One DataFrame per (session, table): file listing and footer schema
+    inference happen once, and every query over the table shares the same
+    relation."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 # ---------------------------------------------------------------- workouts
@@ -43,24 +55,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def workouts(spark: SparkSession, sf_dir: str, with_custkey: bool = False) -> DataFrame:
     """bronze_workouts: one row per order."""
     o = read_table(spark, sf_dir, "orders")
-    start = F.col("o_orderdate").cast("timestamp_ntz")
     cols = [
-        F.col("o_orderkey").cast("string").alias("workout_id"),
-        F.concat(F.lit("W-"), F.col("o_orderkey").cast("string")).alias("title"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("o_orderpriority")).alias("description"),
-        start.alias("start_time"),
-        (start + F.expr("INTERVAL 1 HOUR")).alias("end_time"),
-        (start + F.expr("INTERVAL 2 HOURS")).alias("updated_at"),
-        start.alias("created_at"),
-        F.when(F.col("o_custkey") % 11 == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("o_custkey").cast("string")).alias("routine_id"),
-        (start + F.expr("INTERVAL 1 DAY")).alias("ingestion_timestamp"),
+        "CAST(o_orderkey AS STRING) AS workout_id",
+        "'W-' || CAST(o_orderkey AS STRING) AS title",
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS description",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) AS start_time",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 1 HOUR AS end_time",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 2 HOURS AS updated_at",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) AS created_at",
+        "CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS routine_id",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 1 DAY AS ingestion_timestamp",
     ]
     if with_custkey:
-        cols.append(F.col("o_custkey").alias("fx_custkey"))
-        cols.append(F.col("o_orderkey").alias("fx_orderkey"))
-    return o.select(*cols)
+        cols += ["o_custkey AS fx_custkey", "o_orderkey AS fx_orderkey"]
+    return o.selectExpr(*cols)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,39 +78,33 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_shipdate", "l_discount", "l_tax", "l_returnflag",
     )
-    ex = (F.col("l_partkey") % 4).cast("int")
-    w = Window.partitionBy("l_orderkey", "exercise_index").orderBy(
+    # Hash-partitioned by the workout id once: the set-index window (per
+    # workout and exercise) and the joins to the workout and exercise tables
+    # (on the workout id) then need no further shuffle of the set rows, as
+    # with bronze tables bucketed by workout id.
+    li = li.withColumn("exercise_index", (F.col("l_partkey") % 4).cast("int")).withColumn(
+        "workout_id", F.col("l_orderkey").cast("string")).repartition("workout_id")
+    w = Window.partitionBy("workout_id", "exercise_index").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
-    return li.withColumn("exercise_index", ex).withColumn(
-        "set_index", (F.row_number().over(w) - 1).cast("int")
-    )
+    return li.withColumn("set_index", (F.row_number().over(w) - 1).cast("int"))
 
 
 def workout_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bronze_workout_sets: one row per lineitem."""
-    l = _lines(spark, sf_dir)
-    odd = (F.col("l_suppkey") % 19 == 0)
-    timed = (F.col("l_suppkey") % 17 == 0)
-    return l.select(
-        F.col("l_orderkey").cast("string").alias("workout_id"),
+    return _lines(spark, sf_dir).selectExpr(
+        "workout_id",
         "exercise_index",
         "set_index",
-        F.when(F.col("l_returnflag") == "R", F.lit(None).cast("string"))
-        .when(F.col("l_linenumber") == 1, F.lit("warmup"))
-        .otherwise(F.lit("normal")).alias("set_type"),
-        F.when(odd | (F.col("l_tax") == 0.0), F.lit(None).cast("double"))
-        .otherwise(((F.col("l_suppkey") % 6) * 2.5 + 40).cast("double")).alias("weight_kg"),
-        F.when(odd | timed, F.lit(None).cast("int"))
-        .otherwise((5 + F.col("l_linenumber") % 5).cast("int")).alias("reps"),
-        F.lit(None).cast("double").alias("distance_meters"),
-        F.when(timed, (30 * (1 + F.col("l_linenumber") % 3)).cast("double"))
-        .otherwise(F.lit(None).cast("double")).alias("duration_seconds"),
-        F.when(F.col("l_discount") == 0.0, F.lit(None).cast("double"))
-        .otherwise((6 + F.col("l_discount") * 40).cast("double")).alias("rpe"),
-        F.when(odd, F.col("l_linenumber").cast("double"))
-        .otherwise(F.lit(None).cast("double")).alias("custom_metric"),
-        (F.col("l_shipdate").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("ingestion_timestamp"),
+        "CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linenumber = 1 THEN 'warmup' ELSE 'normal' END AS set_type",
+        "CASE WHEN l_suppkey % 19 = 0 OR l_tax = 0.0 THEN NULL "
+        "ELSE CAST((l_suppkey % 6) * 2.5 + 40 AS DOUBLE) END AS weight_kg",
+        "CASE WHEN l_suppkey % 19 = 0 OR l_suppkey % 17 = 0 THEN NULL ELSE CAST(5 + l_linenumber % 5 AS INT) END AS reps",
+        "CAST(NULL AS DOUBLE) AS distance_meters",
+        "CASE WHEN l_suppkey % 17 = 0 THEN CAST(30 * (1 + l_linenumber % 3) AS DOUBLE) END AS duration_seconds",
+        "CASE WHEN l_discount = 0.0 THEN NULL ELSE CAST(6 + l_discount * 40 AS DOUBLE) END AS rpe",
+        "CASE WHEN l_suppkey % 19 = 0 THEN CAST(l_linenumber AS DOUBLE) END AS custom_metric",
+        "CAST(l_shipdate AS TIMESTAMP_NTZ) + INTERVAL 1 DAY AS ingestion_timestamp",
     )
 
 
@@ -117,15 +119,14 @@ def workout_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner")
-    return j.select(
-        F.col("l_orderkey").cast("string").alias("workout_id"),
+    return j.selectExpr(
+        "CAST(l_orderkey AS STRING) AS workout_id",
         "exercise_index",
-        F.concat(F.lit("E-"), F.col("exercise_index").cast("string")).alias("title"),
-        F.lit(None).cast("string").alias("notes"),
-        ((F.col("o_custkey") * 4 + F.col("exercise_index")) % N_TEMPLATES).cast("string").alias("exercise_template_id"),
-        F.when((F.col("exercise_index") < 2) & (F.col("o_custkey") % 4 == 0), F.lit(1))
-        .otherwise(F.lit(None)).cast("int").alias("superset_id"),
-        (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("ingestion_timestamp"),
+        "'E-' || CAST(exercise_index AS STRING) AS title",
+        "CAST(NULL AS STRING) AS notes",
+        f"CAST((o_custkey * 4 + exercise_index) % {N_TEMPLATES} AS STRING) AS exercise_template_id",
+        "CAST(CASE WHEN exercise_index < 2 AND o_custkey % 4 = 0 THEN 1 END AS INT) AS superset_id",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 1 DAY AS ingestion_timestamp",
     )
 
 
@@ -176,40 +177,35 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
     exercises removed in snapshot 1, and weights changed for customers % 7.
     Generated with array explosion (no cross join)."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    k = F.col("c_custkey")
-    g = (c.withColumn("ver", F.explode(F.array(*[F.lit(v) for v in versions])))
-         .withColumn("exercise_index", F.explode(F.sequence(F.lit(0), F.lit(3))))
-         .withColumn("set_index", F.explode(F.sequence(F.lit(0), F.lit(2))))
-         .filter(((F.col("set_index") < 2) | ((F.col("ver") == 1) & (k % 9 == 0)))
-                 & ~((F.col("ver") == 1) & ((k + F.col("exercise_index")) % 23 == 0))))
-    ei = F.col("exercise_index")
-    reps = (F.when((k % 13 == 0) | (k % 17 == 0), F.lit(None))
-            .otherwise(6 + (k + ei) % 3)).cast("int")
-    return g.select(
-        F.col("ver").cast("int").alias("ver"),
-        k.cast("string").alias("routine_id"),
-        F.concat(F.col("c_mktsegment"), F.lit("-"), (k % 10).cast("string")).alias("title"),
-        F.col("c_nationkey").cast("string").alias("folder_id"),
-        ts(ROUTINE_UPDATED_AT).alias("updated_at"),
-        ts(ROUTINE_CREATED_AT).alias("created_at"),
-        ei.cast("int").alias("exercise_index"),
-        F.concat(F.lit("E-"), ei.cast("string")).alias("exercise_title"),
-        F.lit(None).cast("string").alias("exercise_notes"),
-        (90 + 30 * (k % 3)).cast("int").alias("rest_seconds"),
-        ((k * 4 + ei) % N_TEMPLATES).cast("string").alias("exercise_template_id"),
-        F.when((ei < 2) & (k % 4 == 0), F.lit(1)).otherwise(F.lit(None)).cast("int").alias("superset_id"),
-        F.col("set_index").cast("int").alias("set_index"),
-        F.when((F.col("set_index") == 0) & (k % 5 == 0), F.lit("warmup")).otherwise(F.lit("normal")).alias("set_type"),
-        F.when((ei == 3) | (k % 17 == 0), F.lit(None))
-        .otherwise(40 + 2.5 * ((k + F.when(k % 7 == 0, F.col("ver")).otherwise(F.lit(0))) % 6))
-        .cast("double").alias("weight_kg"),
-        reps.alias("reps"),
-        (reps - 1).cast("double").alias("rep_range_start"),
-        (reps + 1).cast("double").alias("rep_range_end"),
-        F.lit(None).cast("double").alias("distance_meters"),
-        F.when(k % 13 == 0, F.lit(60.0)).otherwise(F.lit(None)).cast("double").alias("duration_seconds"),
-        F.lit(None).cast("double").alias("rpe"),
-        F.when(k % 17 == 0, F.lit(3.0)).otherwise(F.lit(None)).cast("double").alias("custom_metric"),
+    vers = ", ".join(str(int(v)) for v in versions)
+    g = c.selectExpr("c_custkey AS k", "c_nationkey", "c_mktsegment", f"explode(array({vers})) AS ver") \
+        .selectExpr("*", "explode(sequence(0, 3)) AS ei").selectExpr("*", "explode(sequence(0, 2)) AS si") \
+        .where("(si < 2 OR (ver = 1 AND k % 9 = 0)) AND NOT (ver = 1 AND (k + ei) % 23 = 0)")
+    reps = "CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN NULL ELSE 6 + (k + ei) % 3 END"
+    return g.selectExpr(
+        "CAST(ver AS INT) AS ver",
+        "CAST(k AS STRING) AS routine_id",
+        "c_mktsegment || '-' || CAST(k % 10 AS STRING) AS title",
+        "CAST(c_nationkey AS STRING) AS folder_id",
+        f"TIMESTAMP_NTZ'{ROUTINE_UPDATED_AT}' AS updated_at",
+        f"TIMESTAMP_NTZ'{ROUTINE_CREATED_AT}' AS created_at",
+        "CAST(ei AS INT) AS exercise_index",
+        "'E-' || CAST(ei AS STRING) AS exercise_title",
+        "CAST(NULL AS STRING) AS exercise_notes",
+        "CAST(90 + 30 * (k % 3) AS INT) AS rest_seconds",
+        f"CAST((k * 4 + ei) % {N_TEMPLATES} AS STRING) AS exercise_template_id",
+        "CAST(CASE WHEN ei < 2 AND k % 4 = 0 THEN 1 END AS INT) AS superset_id",
+        "CAST(si AS INT) AS set_index",
+        "CASE WHEN si = 0 AND k % 5 = 0 THEN 'warmup' ELSE 'normal' END AS set_type",
+        "CAST(CASE WHEN ei = 3 OR k % 17 = 0 THEN NULL "
+        "ELSE 40 + 2.5 * ((k + CASE WHEN k % 7 = 0 THEN ver ELSE 0 END) % 6) END AS DOUBLE) AS weight_kg",
+        f"CAST({reps} AS INT) AS reps",
+        f"CAST({reps} - 1 AS DOUBLE) AS rep_range_start",
+        f"CAST({reps} + 1 AS DOUBLE) AS rep_range_end",
+        "CAST(NULL AS DOUBLE) AS distance_meters",
+        "CAST(CASE WHEN k % 13 = 0 THEN 60 END AS DOUBLE) AS duration_seconds",
+        "CAST(NULL AS DOUBLE) AS rpe",
+        "CAST(CASE WHEN k % 17 = 0 THEN 3 END AS DOUBLE) AS custom_metric",
     )
 
 
