@@ -65,7 +65,8 @@ def stall_analysis(history: DataFrame) -> DataFrame:
     * mean RPE of the newest 3 sessions (missing or 0 RPE ignored, none -> 0);
     * stall streak = leading run of sessions whose e1RM is at most 1 % above
       the next older one *and* whose RPE is at least 8.5;
-    * ordered status rules; metrics rounded to one decimal.
+    * ordered status rules; metrics rounded to one decimal half-to-even,
+      as Python's round() does for exactly representable ties.
     """
     n_all = history.groupBy("exercise_template_id").agg(F.count(F.lit(1)).alias("n_sessions"))
     p = history.filter(F.col("weight").isNotNull() & F.col("reps").isNotNull())
@@ -103,9 +104,9 @@ def stall_analysis(history: DataFrame) -> DataFrame:
     return j.select(
         "exercise_template_id",
         F.when(new, F.lit(0)).when(err, F.lit(None)).otherwise(F.col("streak")).cast("int").alias("stall_streak"),
-        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.round("cur", 1)).alias("e1rm_current"),
-        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.round("trend", 1)).alias("e1rm_trend_percent"),
-        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.round("avg_rpe", 1)).alias("avg_rpe_last_3"),
+        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.bround("cur", 1)).alias("e1rm_current"),
+        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.bround("trend", 1)).alias("e1rm_trend_percent"),
+        F.when(new, F.lit(0.0)).when(err, F.lit(None)).otherwise(F.bround("avg_rpe", 1)).alias("avg_rpe_last_3"),
         F.when(new, F.lit("NEW")).when(err, F.lit("ERROR")).otherwise(names[status]).alias("status"),
         F.when(new, F.lit("LINEAR_LOAD")).when(err, F.lit("MAINTAIN")).otherwise(actions[status])
         .alias("recommended_action"),

@@ -106,35 +106,36 @@ def apply(target: DataFrame | None, staged: DataFrame, run_ts: Column,
     key changed, or vanished from a complete snapshot) + inserts (new and
     changed keys). A key that reappears after deletion is new. With
     ``complete_snapshot=False`` (a partial extract) vanished keys stay open.
+
+    One FULL OUTER join of the current rows with the staged rows on the
+    business key; each joined row emits up to two output rows (the current
+    version, possibly closed, and the insert) through a generator, so each
+    input is read once and no second join is needed.
     """
     if target is None:
         return initial_load(staged, run_ts)
-    history = target.filter(~F.col("scd_is_current"))
-    cur = current(target)
-    s_min = staged.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("scd_hash").alias("_s_hash"))
-    c_min = cur.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("scd_hash").alias("_c_hash"))
-
-    def on(prefix: str) -> Column:
-        cond = None
-        for k in keys:
-            e = F.col(k) == F.col(f"{prefix}{k}")
-            cond = e if cond is None else cond & e
-        return cond
-
-    looked = cur.join(s_min, on("_s_"), "left")
-    gone = F.col("_s_hash").isNull()
-    changed = F.col("_s_hash").isNotNull() & (F.col("_s_hash") != F.col("scd_hash"))
-    expire = changed | gone if complete_snapshot else changed
-    kept_or_closed = looked.select(
-        *STAGED_COLS, "scd_valid_from",
-        F.when(expire, run_ts).otherwise(F.col("scd_valid_to")).alias("scd_valid_to"),
-        F.when(expire, F.lit(False)).otherwise(F.col("scd_is_current")).alias("scd_is_current"),
-        "scd_hash",
-    )
-    inserts = (staged.join(c_min, on("_c_"), "left")
-               .filter(F.col("_c_hash").isNull() | (F.col("_c_hash") != F.col("scd_hash"))))
-    inserts = initial_load(inserts.select(*STAGED_COLS, "scd_hash"), run_ts)
-    return history.select(*ALL_COLS).unionByName(kept_or_closed).unionByName(inserts)
+    history = target.filter(~F.col("scd_is_current")).select(*ALL_COLS)
+    cur = current(target).select(*[F.col(c).alias(f"c_{c}") for c in ALL_COLS])
+    stg = staged.select(*[F.col(c).alias(f"s_{c}") for c in STAGED_COLS + ["scd_hash"]])
+    cond = None
+    for k in keys:
+        e = F.col(f"c_{k}") == F.col(f"s_{k}")
+        cond = e if cond is None else cond & e
+    j = cur.join(stg, cond, "full_outer")
+    has_c = F.col("c_scd_hash").isNotNull()
+    has_s = F.col("s_scd_hash").isNotNull()
+    changed = has_c & has_s & (F.col("c_scd_hash") != F.col("s_scd_hash"))
+    expire = changed | (has_c & ~has_s) if complete_snapshot else changed
+    kept = F.struct(*[F.col(f"c_{c}").alias(c) for c in STAGED_COLS], F.col("c_scd_valid_from").alias("scd_valid_from"),
+                    F.when(expire, run_ts).otherwise(F.col("c_scd_valid_to")).alias("scd_valid_to"),
+                    F.when(expire, F.lit(False)).otherwise(F.col("c_scd_is_current")).alias("scd_is_current"),
+                    F.col("c_scd_hash").alias("scd_hash"))
+    inserted = F.struct(*[F.col(f"s_{c}").alias(c) for c in STAGED_COLS], run_ts.alias("scd_valid_from"),
+                        F.lit(None).cast("timestamp_ntz").alias("scd_valid_to"), F.lit(True).alias("scd_is_current"),
+                        F.col("s_scd_hash").alias("scd_hash"))
+    rows = F.array(F.when(has_c, kept), F.when(has_s & (~has_c | changed), inserted))
+    nxt = j.select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    return history.unionByName(nxt)
 
 
 def as_of(scd: DataFrame, probes: DataFrame, ts_col: str, on: list[str]) -> DataFrame:

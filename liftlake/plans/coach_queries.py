@@ -58,9 +58,9 @@ j AS (SELECT n.exercise_template_id, n.n_sessions, m.n_proc, m.cur, m.trend, m.a
       FROM n LEFT JOIN m ON n.exercise_template_id = m.exercise_template_id)
 SELECT exercise_template_id,
        CAST(CASE WHEN n_sessions < 2 THEN 0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE streak END AS INTEGER) AS stall_streak,
-       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE ROUND(cur, 1) END AS e1rm_current,
-       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE ROUND(trend, 1) END AS e1rm_trend_percent,
-       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE ROUND(avg_rpe, 1) END AS avg_rpe_last_3,
+       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE round_even(cur, 1) END AS e1rm_current,
+       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE round_even(trend, 1) END AS e1rm_trend_percent,
+       CASE WHEN n_sessions < 2 THEN 0.0 WHEN COALESCE(n_proc, 0) = 0 THEN NULL ELSE round_even(avg_rpe, 1) END AS avg_rpe_last_3,
        CASE WHEN n_sessions < 2 THEN 'NEW' WHEN COALESCE(n_proc, 0) = 0 THEN 'ERROR'
             ELSE ['REGRESSION', 'GRINDING', 'SANDBAGGING', 'STAGNATION', 'FAST_GAINS', 'PROGRESS'][s + 1] END AS status,
        CASE WHEN n_sessions < 2 THEN 'LINEAR_LOAD' WHEN COALESCE(n_proc, 0) = 0 THEN 'MAINTAIN'

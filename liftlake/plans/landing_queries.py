@@ -21,10 +21,13 @@ def run_ts():
 
 
 def _items(spark, d, entity: str) -> DataFrame:
+    """Landed pages of an entity (stored once per session, like files in a
+    landing folder), one row per raw item."""
     builders = {"workouts": landing.landed_workout_pages, "routines": landing.landed_routine_pages,
                 "exercise_templates": landing.landed_template_pages, "routine_folders": landing.landed_folder_pages,
                 "events": landing.landed_event_pages}
-    return landing.parse_pages(builders[entity](spark, d), entity)
+    pages = fx.stored(spark, d, f"pages-{entity}", lambda: builders[entity](spark, d))
+    return landing.parse_pages(pages, entity)
 
 
 def _valid(spark, d, entity: str, **kw) -> DataFrame:

@@ -27,10 +27,10 @@ class Pipeline:
         return fx.bronze(self.spark, self.sf_dir)
 
     def routines_snapshot(self, ver: int) -> DataFrame:
-        return fx.routines(self.spark, self.sf_dir, ver)
+        return fx.snapshot(self.spark, self.sf_dir, ver)[0]
 
     def details_snapshot(self, ver: int) -> DataFrame:
-        return fx.routine_details(self.spark, self.sf_dir, ver)
+        return fx.snapshot(self.spark, self.sf_dir, ver)[1]
 
     # ---------------------------------------------------------------- silver
     def staged(self, ver: int) -> DataFrame:

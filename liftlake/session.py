@@ -19,6 +19,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Runtime broadcast limit: AQE only applies it to a join side whose
+    # materialised size it has measured, so the bound is proven, not guessed.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -32,6 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LIFTLAKE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Whole-stage code for wide joins and long CASE chains yields large
+        # methods; let the JIT compile them instead of interpreting them.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)

@@ -139,7 +139,7 @@ def test_warmup_ladder_thresholds(spark, target):
     assert got == _py_warmup(target)
 
 
-@pytest.mark.parametrize("target,expected", [(0.0, []), (-5.0, []), (8.0, []), (10.0, [(5.0, 10)]),
+@pytest.mark.parametrize("target,expected", [(0.0, []), (-5.0, []), (6.0, []), (8.0, [(5.0, 10)]), (10.0, [(5.0, 10)]),
                                              (52.5, [(25.0, 10)]), (41.0, [(20.0, 10)])])
 def test_warmup_single(spark, target, expected):
     df = spark.createDataFrame([(target,)], "t double")
@@ -238,7 +238,7 @@ def test_e1rm_single_rep(spark):
     df = spark.createDataFrame([(100.0, 1), (100.0, 3)], "w double, r int")
     coach_form = [x[0] for x in df.select(e1rm(F.col("w"), F.col("r"))).collect()]
     dash_form = [x[0] for x in df.select(e1rm(F.col("w"), F.col("r"), single_rep_exact=False)).collect()]
-    assert coach_form == [100.0, 110.0] and dash_form[0] == pytest.approx(100 * (1 + 1 / 30.0))
+    assert coach_form == [100.0, 100.0 * (1 + 3 / 30.0)] and dash_form[0] == pytest.approx(100 * (1 + 1 / 30.0))
 
 
 WORKOUT_OK = {"id": "w1", "title": "t", "exercises": [
