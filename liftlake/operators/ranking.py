@@ -43,14 +43,66 @@ def default_bucket(dtype: T.DataType) -> Bucket:
     raise TypeError(f"no default bucket for {dtype}")
 
 
+def _default(dtype: T.DataType) -> Column | None:
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType,
+                          T.DecimalType)):
+        return F.lit(0).cast(dtype)
+    if isinstance(dtype, T.DateType):
+        return F.lit("1970-01-01").cast("date")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    return None
+
+
+def _null_safe_keys(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]] | None:
+    """Materialise (value-or-default, is-null) pairs so null-safe equality on
+    ``cols`` becomes plain equality on real columns (which keeps their hash
+    partitioning usable by later joins and aggregates)."""
+    names: list[str] = []
+    for c in cols:
+        d = _default(df.schema[c].dataType)
+        if d is None:
+            return None
+        df = df.withColumn(f"_k_{c}", F.coalesce(F.col(c), d)).withColumn(f"_n_{c}", F.col(c).isNull())
+        names += [f"_k_{c}", f"_n_{c}"]
+    return df, names
+
+
 def dense_rank_keys(df: DataFrame, group_cols: list[str], order_col: str, out: str,
                     bucket: Bucket | None = None) -> DataFrame:
     """Distinct (group_cols..., order_col) with ``out`` = dense rank of
     order_col within its group (ascending, nulls first). ``bucket`` must be
-    monotone in the order value (a coarser sort key)."""
-    keys = df.select(*group_cols, order_col).distinct()
-    b = bucket or default_bucket(keys.schema[order_col].dataType)
-    keys = keys.withColumn("_b", b(F.col(order_col)))
+    monotone in the order value (a coarser sort key).
+
+    The distinct keys are hash-partitioned once by (group, bucket); the
+    local numbering, the per-bucket counts and the join with the offsets all
+    reuse that partitioning, so only the small offset table moves again."""
+    sel = df.select(*group_cols, order_col)
+    b = bucket or default_bucket(sel.schema[order_col].dataType)
+    keys = sel.withColumn("_b", b(F.col(order_col))).distinct()
+    safe = _null_safe_keys(keys, group_cols + ["_b"])
+    if safe is None:
+        return _dense_rank_keys_generic(keys, group_cols, order_col, out)
+    keys, kcols = safe
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.repartition(n, *kcols)
+    local = Window.partitionBy(*kcols).orderBy(F.col(order_col).asc_nulls_first())
+    ranked = keys.withColumn("_local", F.row_number().over(local))
+    counts = ranked.groupBy(*kcols).agg(F.max("_local").alias("_n"))
+    gk = [c for c in kcols if not c.endswith("__b")]
+    earlier = (Window.partitionBy(*gk).orderBy(F.col("_n__b").desc(), F.col("_k__b").asc())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*kcols, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return ranked.join(offsets, kcols, "inner").select(
+        *group_cols, order_col, (F.col("_off") + F.col("_local")).cast("int").alias(out))
+
+
+def _dense_rank_keys_generic(keys: DataFrame, group_cols: list[str], order_col: str, out: str) -> DataFrame:
+    """Same result for key types without a null default (e.g. structs)."""
     counts = keys.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy(*group_cols).orderBy(F.col("_b").asc_nulls_first())
                .rowsBetween(Window.unboundedPreceding, -1))

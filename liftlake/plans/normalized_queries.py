@@ -215,3 +215,28 @@ def q_routine_with_exercises(spark, d):
     return j.select("routine_id", "routine_title", "order_index", "routine_exercise_id", "exercise_template_id",
                     "notes", "rest_seconds", "superset_id", "title", "base_increment", "set_type", "weight_kg",
                     "reps", "rep_range_start", "rep_range_end")
+
+
+@query("norm_enums", """
+WITH e AS (""" + " UNION ALL ".join(
+    f"SELECT 'silver_enums_{k}' AS table_name, '{v}' AS name" for k, vals in
+    __import__("liftlake.sources.enums", fromlist=["ENUMS"]).ENUMS.items() for v in vals) + """),
+u AS (SELECT DISTINCT 'silver_enums_muscle_group' AS table_name, lower(primary_muscle_group) AS name FROM fx_t_json
+      UNION SELECT DISTINCT 'silver_enums_exercise_type', lower(type) FROM fx_t_json)
+SELECT e.table_name, e.name, u.name IS NOT NULL AS in_use
+FROM e LEFT JOIN u ON e.table_name = u.table_name AND e.name = u.name""")
+def q_norm_enums(spark, d):
+    """The silver enum tables (as copied) with whether the landed
+    templates use each value."""
+    lg = Legacy(spark, d)
+    t = lg.templates
+    used = (t.select(F.lit("silver_enums_muscle_group").alias("table_name"),
+                     F.lower("primary_muscle_group").alias("name"))
+            .unionByName(t.select(F.lit("silver_enums_exercise_type").alias("table_name"), F.lower("type").alias("name")))
+            .filter(F.col("name").isNotNull()).distinct().withColumn("in_use", F.lit(True)))
+    enums = None
+    for table, df in nm.norm_enums(spark).items():
+        x = df.select(F.lit(table).alias("table_name"), "name")
+        enums = x if enums is None else enums.unionByName(x)
+    return (F.broadcast(enums).join(used, ["table_name", "name"], "left")
+            .select("table_name", "name", F.coalesce(F.col("in_use"), F.lit(False)).alias("in_use")))
