@@ -78,10 +78,10 @@ class Pipeline:
 
     @cached_property
     def fact_table(self) -> DataFrame:
-        """The silver fact as a written table (reliable checkpoint): what the
-        dashboards read. Downstream queries that read it several times then
-        share one materialisation instead of recomputing the plan match."""
-        return cut_lineage(self.fact, force=True)
+        """The silver fact as a written table: what the dashboards read, as
+        the silver layer is persisted once and read by every dashboard
+        query. Stored once per session and data directory."""
+        return fx.stored(self.spark, self.sf_dir, "silver_fact", lambda: self.fact)
 
     # ---------------------------------------------------------------- gold
     @cached_property
@@ -90,8 +90,10 @@ class Pipeline:
 
     @cached_property
     def gold_table(self) -> DataFrame:
-        """The gold table as written (reliable checkpoint): what the coach reads."""
-        return cut_lineage(self.gold, force=True)
+        """The gold table as written: what the coach reads (stored once per
+        session and data directory, built from the stored silver fact)."""
+        return fx.stored(self.spark, self.sf_dir, "gold", lambda: gold.gold_prompt(
+            self.fact_table, self.dim_exercise, self.dim_routine, self.bronze.routine_details))
 
     # ---------------------------------------------------------------- coach
     @cached_property

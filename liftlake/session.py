@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every job in this package, whatever the cluster:
@@ -38,6 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # Whole-stage code for wide joins and long CASE chains yields large
         # methods; let the JIT compile them instead of interpreting them.
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        # Constraint propagation re-derives filters across every join of the
+        # large silver plans and dominates their optimisation time.
+        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)
@@ -76,4 +80,11 @@ def cut_lineage(df: DataFrame, force: bool = False) -> DataFrame:
     if not conf and not sc.getCheckpointDir() and not force:
         return df
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    # Writing a reliable checkpoint runs a second job over the plan; with the
+    # rows persisted for the duration, that job reads them instead of
+    # recomputing the plan. The persisted copy is dropped once written.
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
