@@ -182,12 +182,7 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
         .selectExpr("*", "explode(sequence(0, 3)) AS ei").selectExpr("*", "explode(sequence(0, 2)) AS si") \
         .where("(si < 2 OR (ver = 1 AND k % 9 = 0)) AND NOT (ver = 1 AND (k + ei) % 23 = 0)")
     reps = "CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN NULL ELSE 6 + (k + ei) % 3 END"
-    # Spread the generated rows by routine (the customer file may be one
-    # split); the SCD2 joins on (routine, exercise, set) then reuse it. An
-    # explicit partition count is not coalesced away by AQE, which matters
-    # here because the rows feed CPU-heavy fingerprinting.
-    g = g.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
-    return g.selectExpr(
+    out = g.selectExpr(
         "CAST(ver AS INT) AS ver",
         "CAST(k AS STRING) AS routine_id",
         "c_mktsegment || '-' || CAST(k % 10 AS STRING) AS title",
@@ -212,6 +207,12 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
         "CAST(NULL AS DOUBLE) AS rpe",
         "CAST(CASE WHEN k % 17 = 0 THEN 3 END AS DOUBLE) AS custom_metric",
     )
+    # Spread the generated rows by routine id (the customer file may be one
+    # split): the SCD2 apply and the plan match join on keys that start with
+    # the routine id, so they reuse this partitioning. An explicit partition
+    # count is not coalesced away by AQE, which matters because the rows feed
+    # CPU-heavy fingerprinting.
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "routine_id")
 
 
 ROUTINE_HEADER_COLS = ["routine_id", "title", "folder_id", "updated_at", "created_at"]
