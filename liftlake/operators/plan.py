@@ -25,11 +25,9 @@ DEFAULT_WORKING_SETS = 3
 REP_RANGE_HALF_WIDTH = 2
 
 
-def parse_recommendations(responses: DataFrame) -> DataFrame:
-    """K15 + B8: (routine_id, response) -> one row per recommended exercise,
-    typed. Every field is read as text and coerced with try_cast; an entry
-    with a missing or uncoercible field rejects the routine's whole reply,
-    as does a reply that is not a JSON object with a recommendations map."""
+def _with_validity(responses: DataFrame) -> DataFrame:
+    """Adds the parsed reply ``_r`` and ``_valid``: a JSON object with a
+    recommendations map whose every entry has all six fields, coercible."""
     parsed = responses.withColumn("_r", F.from_json("response", _RAW_REC))
     m = F.col("_r.recommendations")
 
@@ -41,18 +39,25 @@ def parse_recommendations(responses: DataFrame) -> DataFrame:
                 c = c & v[f].try_cast(REC_TYPES[f]).isNotNull()
         return c
 
-    valid = m.isNotNull() & F.forall(F.map_values(m), ok)
-    good = parsed.filter(valid)
-    ex = good.select("routine_id", F.explode(m).alias("exercise_template_id", "v"))
+    return parsed.withColumn("_valid", F.coalesce(m.isNotNull() & F.forall(F.map_values(m), ok), F.lit(False)))
+
+
+def parse_recommendations(responses: DataFrame) -> DataFrame:
+    """K15 + B8: (routine_id, response) -> one row per recommended exercise,
+    typed. Every field is read as text and coerced with try_cast; an entry
+    with a missing or uncoercible field rejects the routine's whole reply,
+    as does a reply that is not a JSON object with a recommendations map."""
+    good = _with_validity(responses).filter(F.col("_valid"))
+    ex = good.select("routine_id", F.explode(F.col("_r.recommendations")).alias("exercise_template_id", "v"))
     return ex.select("routine_id", "exercise_template_id",
                      *[F.col("v")[f].try_cast(REC_TYPES[f]).alias(f) if REC_TYPES[f] != "string"
                        else F.col("v")[f].alias(f) for f in REC_FIELDS])
 
 
 def rejected_recommendations(responses: DataFrame) -> DataFrame:
-    """B6 for replies: routines whose reply failed validation."""
-    ok = parse_recommendations(responses).select("routine_id").distinct()
-    return responses.join(ok, "routine_id", "left_anti").select(
+    """B6 for replies: routines whose reply failed validation (an empty but
+    well-formed reply is valid)."""
+    return _with_validity(responses).filter(~F.col("_valid")).select(
         "routine_id", F.lit("invalid recommendations").alias("reason"))
 
 
