@@ -9,14 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import substring_dedup, suffix_dedup, trie_join
 
 _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": trie_join.op5,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": trie_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE,
 }
