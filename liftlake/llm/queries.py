@@ -9,16 +9,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup, trie_join
+from . import quality_rules, source_mix, substring_dedup, suffix_dedup, trie_join
 
 _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality_rules.op3,
     "op5_ngram_jaccard_join": trie_join.op5,
+    "op6_source_mix": source_mix.op6,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
     "op5_ngram_jaccard_join": trie_join.ORACLE,
+    "op6_source_mix": source_mix.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE,
 }
