@@ -9,12 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, source_mix, substring_dedup, suffix_dedup, trie_join
+from . import packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_files, trie_join
 
 _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3,
+    "op4_packing": packing.op4,
     "op5_ngram_jaccard_join": trie_join.op5,
     "op6_source_mix": source_mix.op6,
+    "op8_token_files": token_files.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
