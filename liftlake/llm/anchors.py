@@ -241,10 +241,11 @@ def segments(docs: DataFrame, win: Windows) -> DataFrame:
     """Rows (anchor, did, th, start, payload, repeats), partitioned by anchor
     and sorted by anchor and place. ``payload`` holds the run's window hashes
     (words) or its bytes; ``repeats`` the later places of an equal run."""
-    places = repeated_anchors(docs, win)
-    rows = docs.select("did", "th", "text").join(places, "did").select("did", "th", "text", "places")
+    # All columns go along: the caller's join by ``did`` then reads the same
+    # shuffled texts as this one instead of shuffling them again.
     return (
-        rows.mapInArrow(_cut(win), SEGMENT)
+        docs.join(repeated_anchors(docs, win), "did")
+        .mapInArrow(_cut(win), SEGMENT)
         .repartition(shuffle_partitions(docs.sparkSession), "anchor")
         .sortWithinPartitions("anchor", "did", "th", "start")
     )
@@ -268,13 +269,15 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("did", "th").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return spans.groupBy("did").agg(F.collect_list(F.struct("th", "start", "length")).alias("spans"))
 
 
-def covered(spans: list | None, size: int) -> np.ndarray:
-    """Boolean mask of the units that the spans cover."""
+def covered(spans: list, th: int, size: int) -> np.ndarray:
+    """Boolean mask of the units that the spans of this text cover."""
     step = np.zeros(size + 1, np.int32)
-    for s in spans or ():
+    for s in spans:
+        if s["th"] != th:
+            continue
         step[s["start"]] += 1
         step[min(s["start"] + s["length"], size)] -= 1
     return np.cumsum(step[:size]) > 0

@@ -104,7 +104,7 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS) -> DataFrame:
-    """(did, th, spans): word spans of each document that repeat earlier text.
+    """(did, spans): word spans of each document that repeat earlier text.
     ``docs`` comes from ``common.keyed``."""
     runs = segments(docs, Windows(window, gram, "word"))
     return spans_by_document(runs.mapInArrow(_parse(window), SPAN))
@@ -122,10 +122,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             out = []
-            for doc_id, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            for doc_id, th, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text", "spans"))):
                 kept = found = WORD.findall(text)
                 if spans:
-                    gone = covered(spans, len(found)).tolist()
+                    gone = covered(spans, th, len(found)).tolist()
                     kept = [w for w, g in zip(found, gone) if not g]
                 kept_text = " ".join(kept)
                 out.append((doc_id, len(found), len(found) - len(kept), kept_text, hashlib.sha256(kept_text.encode()).hexdigest()))
@@ -137,7 +137,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW_WORDS, gram: int
     its words without those covered by a window that starts earlier."""
     keys = keyed(docs)
     spans = duplicate_spans(keys, window, gram)
-    return keys.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, _RESULT)
+    return keys.join(spans, "did", "left").mapInArrow(_remove, _RESULT)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 def duplicate_spans(
     docs: DataFrame, width: int = MATCH_BYTES, gram: int = ANCHOR_BYTES, batch_strings: int = BATCH_STRINGS
 ) -> DataFrame:
-    """(did, th, spans): byte spans of each document that repeat earlier text.
+    """(did, spans): byte spans of each document that repeat earlier text.
     ``docs`` comes from ``common.keyed``."""
     runs = segments(docs, Windows(width, gram, "byte"))
     return spans_by_document(runs.mapInArrow(_scan(width, batch_strings), SPAN))
@@ -200,10 +200,10 @@ def _remove(schema: pa.Schema, with_kept: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_all, sizes, removed, runs, shas = [], [], [], [], []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for th, text, spans in zip(batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
                 kept, n = text, 0
                 if spans:
-                    gone = covered(spans, len(text))
+                    gone = covered(spans, th, len(text))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     n = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
                 kept_all.append(kept)
@@ -227,7 +227,7 @@ _FIGURES = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.i
 def removal_figures(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
     keys = keyed(docs)
-    rows = keys.join(duplicate_spans(keys, **options), ["did", "th"], "left").select("doc_id", "text", "spans")
+    rows = keys.join(duplicate_spans(keys, **options), "did", "left")
     schema = pa.schema([("doc_id", pa.int64()), *_FIGURES])
     return rows.mapInArrow(_remove(schema, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -240,7 +240,7 @@ def remove_repeated_bytes(docs: DataFrame, **options) -> DataFrame:
     rest = [c for c in columns if c != "text"]
     keys = keyed(docs, F.struct(*[F.col(c) for c in rest], F.col("text").isNull().alias("__null_text")).alias("row"))
     spans = duplicate_spans(keys, **options)
-    rows = keys.join(spans, ["did", "th"], "left").select("row", "text", "spans")
+    rows = keys.join(spans, "did", "left")
     row_type = rows.schema["row"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
