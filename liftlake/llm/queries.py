@@ -9,19 +9,23 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_files, trie_join
+from . import fingerprints, language_id, packing, preferences, quality_rules, source_mix, substring_dedup, suffix_dedup, token_files, trie_join
 
 _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1,
+    "op2_preference_format": preferences.op2,
     "op3_quality_rules": quality_rules.op3,
     "op4_packing": packing.op4,
     "op5_ngram_jaccard_join": trie_join.op5,
     "op6_source_mix": source_mix.op6,
+    "op7_fingerprints": fingerprints.op7,
     "op8_token_files": token_files.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_preference_format": preferences.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_ngram_jaccard_join": trie_join.ORACLE,
     "op6_source_mix": source_mix.ORACLE,
@@ -47,4 +51,10 @@ def _with_code(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _with_code(fn) for name, fn in _FUNCTIONS.items()}
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {name: _with_code(fn) for name, fn in (_FUNCTIONS | {"pipeline": _pipeline}).items()}
