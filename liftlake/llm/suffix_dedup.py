@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import SPAN, SPAN_ARROW, Windows, covered, grouped, segments, spans_by_document
 from .common import documents, keyed
@@ -196,7 +197,7 @@ def duplicate_spans(
 
 
 
-def _remove(schema: pa.Schema, with_kept: bool):
+def _remove(with_kept: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_all, sizes, removed, runs, shas = [], [], [], [], []
@@ -211,25 +212,25 @@ def _remove(schema: pa.Schema, with_kept: bool):
                 removed.append(len(text) - len(kept))
                 runs.append(n)
                 shas.append(hashlib.sha256(kept).hexdigest())
-            arrays = [batch.column("doc_id")]
+            arrays, names = [batch.column("doc_id")], ["doc_id"]
             if with_kept:
                 # A cut may fall inside a character; its rest goes with it.
                 arrays = [batch.column("row"), pa.array([k.decode("utf-8", "ignore") for k in kept_all], pa.string())]
+                names = ["row", "kept_text"]
             arrays += [pa.array(x, pa.int64()) for x in (sizes, removed, runs)] + [pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return remove
 
 
-_FIGURES = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+_FIGURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def removal_figures(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
     keys = keyed(docs)
     rows = keys.join(duplicate_spans(keys, **options), "did", "left")
-    schema = pa.schema([("doc_id", pa.int64()), *_FIGURES])
-    return rows.mapInArrow(_remove(schema, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_remove(False), f"doc_id long, {_FIGURES}")
 
 
 def remove_repeated_bytes(docs: DataFrame, **options) -> DataFrame:
@@ -241,14 +242,7 @@ def remove_repeated_bytes(docs: DataFrame, **options) -> DataFrame:
     keys = keyed(docs, F.struct(*[F.col(c) for c in rest], F.col("text").isNull().alias("__null_text")).alias("row"))
     spans = duplicate_spans(keys, **options)
     rows = keys.join(spans, "did", "left")
-    row_type = rows.schema["row"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("row", to_arrow_type(row_type, timezone="UTC")), ("kept_text", pa.string()), *_FIGURES])
-    out = rows.mapInArrow(
-        _remove(schema, True),
-        f"row {row_type.simpleString()}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-    )
+    out = rows.mapInArrow(_remove(True), T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"kept_text string, {_FIGURES}")]))
     text = F.when(~F.col("row.__null_text"), F.col("kept_text"))
     made = {"text": text.alias("text")}
     if "n_chars" in columns:
