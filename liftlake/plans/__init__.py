@@ -3,10 +3,6 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from liftlake.plans import silver_queries, gold_queries  # noqa: F401
-    for mod in ("dashboard_queries", "coach_queries", "landing_queries", "normalized_queries", "streaming_queries"):
-        try:
-            __import__(f"liftlake.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules still being written
-            if e.name != f"liftlake.plans.{mod}":
-                raise
+    from liftlake.plans import (  # noqa: F401
+        coach_queries, dashboard_queries, gold_queries, landing_queries, normalized_queries, silver_queries, streaming_queries,
+    )

@@ -302,7 +302,7 @@ SELECT 'updated' AS event_type, 'ev-' || CAST(event_id AS VARCHAR) AS workout_id
        CAST(NULL AS VARCHAR) AS description, date_trunc('second', ts) AS start_time, CAST(NULL AS TIMESTAMP) AS end_time,
        date_trunc('second', ts) AS updated_at, CAST(NULL AS TIMESTAMP) AS created_at, {RUN} AS ingestion_timestamp,
        0 AS exercise_index, 'E-0' AS exercise_title, CAST(NULL AS VARCHAR) AS exercise_notes,
-       CAST(user_id % 200 AS VARCHAR) AS exercise_template_id, CAST(NULL AS INTEGER) AS superset_id,
+       CAST(user_id % (SELECT max(p_partkey) + 1 FROM part) AS VARCHAR) AS exercise_template_id, CAST(NULL AS INTEGER) AS superset_id,
        0 AS set_index, 'normal' AS set_type, round(value / 2.5) * 2.5 AS weight_kg,
        CAST(event_id % 10 + 1 AS INTEGER) AS reps, CAST(NULL AS DOUBLE) AS distance_meters,
        CAST(NULL AS DOUBLE) AS duration_seconds, CAST(NULL AS DOUBLE) AS rpe, CAST(NULL AS DOUBLE) AS custom_metric

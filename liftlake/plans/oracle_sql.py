@@ -79,7 +79,7 @@ FROM fx_lines""")
 cte("fx_workout_exercises", """
 SELECT DISTINCT l.workout_id, l.exercise_index, 'E-' || CAST(l.exercise_index AS VARCHAR) AS title,
        CAST(NULL AS VARCHAR) AS notes,
-       CAST((w.fx_custkey * 4 + l.exercise_index) % 200 AS VARCHAR) AS exercise_template_id,
+       CAST((w.fx_custkey * 4 + l.exercise_index) % (SELECT max(p_partkey) + 1 FROM part) AS VARCHAR) AS exercise_template_id,
        CAST(CASE WHEN l.exercise_index < 2 AND w.fx_custkey % 4 = 0 THEN 1 ELSE NULL END AS INTEGER) AS superset_id,
        w.start_time + INTERVAL 1 DAY AS ingestion_timestamp
 FROM fx_lines l JOIN fx_workouts w ON l.workout_id = w.workout_id""")
@@ -94,14 +94,14 @@ SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title,
          AS secondary_muscle_groups,
        p_size > 40 AS is_custom,
        TIMESTAMP '1999-01-01 00:00:00' AS ingestion_timestamp
-FROM part WHERE p_partkey < 200""")
+FROM part""")
 
 cte("fx_progression_raw", """
 SELECT p_name AS exercise_name,
-       CASE LENGTH(p_name) % 4 WHEN 0 THEN CAST(0.0 AS DOUBLE) WHEN 1 THEN CAST(1.25 AS DOUBLE)
-                               WHEN 2 THEN CAST(2.5 AS DOUBLE) ELSE CAST(5.0 AS DOUBLE) END AS progression_step_kg,
+       CASE WHEN p_name LIKE 'old%' THEN NULL
+            ELSE list_extract([0.0::DOUBLE, 1.25, 2.5, 5.0], 1 + LENGTH(p_name) % 4) END AS progression_step_kg,
        p_partkey AS line_no
-FROM part WHERE p_name NOT LIKE 'old%'""")
+FROM part""")
 
 cte("fx_progression", """
 SELECT exercise_name, CAST(arg_max(progression_step_kg, line_no) AS DOUBLE) AS progression_step_kg
@@ -114,7 +114,7 @@ SELECT CAST(v.ver AS INTEGER) AS ver, CAST(c_custkey AS VARCHAR) AS routine_id,
        CAST(e.ei AS INTEGER) AS exercise_index, 'E-' || CAST(e.ei AS VARCHAR) AS exercise_title,
        CAST(NULL AS VARCHAR) AS exercise_notes,
        CAST(90 + 30 * (c_custkey % 3) AS INTEGER) AS rest_seconds,
-       CAST((c_custkey * 4 + e.ei) % 200 AS VARCHAR) AS exercise_template_id,
+       CAST((c_custkey * 4 + e.ei) % (SELECT max(p_partkey) + 1 FROM part) AS VARCHAR) AS exercise_template_id,
        CAST(CASE WHEN e.ei < 2 AND c_custkey % 4 = 0 THEN 1 ELSE NULL END AS INTEGER) AS superset_id,
        CAST(s.si AS INTEGER) AS set_index,
        CASE WHEN s.si = 0 AND c_custkey % 5 = 0 THEN 'warmup' ELSE 'normal' END AS set_type,

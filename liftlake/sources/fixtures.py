@@ -2,7 +2,7 @@
 
 The driver data holds no workouts, so orders become workouts, lineitems
 become performed sets, customers own one routine each (planned in two
-snapshots), and the first 200 parts are exercise templates. Every column is a
+snapshots), and parts are exercise templates. Every column is a
 pure function of the source row, so the projection scales with the source
 and costs one narrow pass per table (plus one small window over
 (order, exercise) groups of at most seven lines).
@@ -26,7 +26,6 @@ SNAPSHOT_RUN_TS = {0: "1996-01-01 00:00:00", 1: "1999-01-01 00:00:00"}
 ROUTINE_CREATED_AT = "1995-01-01 00:00:00"
 ROUTINE_UPDATED_AT = "1995-06-01 00:00:00"
 TEMPLATE_INGESTED_AT = "1999-01-01 00:00:00"
-N_TEMPLATES = 200
 
 
 def ts(text: str) -> Column:
@@ -50,6 +49,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def n_templates(spark: SparkSession, sf_dir: str) -> Column:
+    """Size of the template id range, as a scalar subquery on the part keys;
+    performed, planned and fed exercises take their template from it."""
+    return read_table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).scalar()
+
+
 # ---------------------------------------------------------------- workouts
 
 def workouts(spark: SparkSession, sf_dir: str, with_custkey: bool = False) -> DataFrame:
@@ -118,13 +123,13 @@ def workout_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    j = pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner")
+    j = pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner").withColumn("n_templates", n_templates(spark, sf_dir))
     return j.selectExpr(
         "CAST(l_orderkey AS STRING) AS workout_id",
         "exercise_index",
         "'E-' || CAST(exercise_index AS STRING) AS title",
         "CAST(NULL AS STRING) AS notes",
-        f"CAST((o_custkey * 4 + exercise_index) % {N_TEMPLATES} AS STRING) AS exercise_template_id",
+        "CAST((o_custkey * 4 + exercise_index) % n_templates AS STRING) AS exercise_template_id",
         "CAST(CASE WHEN exercise_index < 2 AND o_custkey % 4 = 0 THEN 1 END AS INT) AS superset_id",
         "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 1 DAY AS ingestion_timestamp",
     )
@@ -134,7 +139,7 @@ def workout_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exercise_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bronze_exercise_templates; secondary muscles as JSON text."""
-    p = read_table(spark, sf_dir, "part").filter(F.col("p_partkey") < N_TEMPLATES)
+    p = read_table(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").cast("string").alias("id"),
         F.col("p_name").alias("title"),
@@ -158,10 +163,11 @@ def secondary_muscles_array() -> Column:
 
 def progression_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progression reference rows (name, step, line_no); names starting with
-    'old' are absent on purpose, so some templates have no step. Part names
-    repeat, so the same name appears on several lines with one step."""
-    p = read_table(spark, sf_dir, "part").filter(~F.col("p_name").like("old%"))
-    step = (F.when(F.length("p_name") % 4 == 0, F.lit(0.0))
+    'old' have no step on purpose. Part names repeat, so the same name appears
+    on several lines with one step."""
+    p = read_table(spark, sf_dir, "part")
+    step = (F.when(F.col("p_name").like("old%"), F.lit(None))
+            .when(F.length("p_name") % 4 == 0, F.lit(0.0))
             .when(F.length("p_name") % 4 == 1, F.lit(1.25))
             .when(F.length("p_name") % 4 == 2, F.lit(2.5))
             .otherwise(F.lit(5.0))).cast("double")
@@ -182,7 +188,7 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
         .selectExpr("*", "explode(sequence(0, 3)) AS ei").selectExpr("*", "explode(sequence(0, 2)) AS si") \
         .where("(si < 2 OR (ver = 1 AND k % 9 = 0)) AND NOT (ver = 1 AND (k + ei) % 23 = 0)")
     reps = "CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN NULL ELSE 6 + (k + ei) % 3 END"
-    out = g.selectExpr(
+    out = g.withColumn("n_templates", n_templates(spark, sf_dir)).selectExpr(
         "CAST(ver AS INT) AS ver",
         "CAST(k AS STRING) AS routine_id",
         "c_mktsegment || '-' || CAST(k % 10 AS STRING) AS title",
@@ -193,7 +199,7 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
         "'E-' || CAST(ei AS STRING) AS exercise_title",
         "CAST(NULL AS STRING) AS exercise_notes",
         "CAST(90 + 30 * (k % 3) AS INT) AS rest_seconds",
-        f"CAST((k * 4 + ei) % {N_TEMPLATES} AS STRING) AS exercise_template_id",
+        "CAST((k * 4 + ei) % n_templates AS STRING) AS exercise_template_id",
         "CAST(CASE WHEN ei < 2 AND k % 4 = 0 THEN 1 END AS INT) AS superset_id",
         "CAST(si AS INT) AS set_index",
         "CASE WHEN si = 0 AND k % 5 = 0 THEN 'warmup' ELSE 'normal' END AS set_type",

@@ -146,7 +146,7 @@ def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exercise templates; by part key: % 29 -> no title (invalid), % 31 ->
     explicit null muscle list (invalid), % 37 -> muscle list absent
     (defaults to [])."""
-    p = fx.read_table(spark, sf_dir, "part").filter(F.col("p_partkey") < fx.N_TEMPLATES)
+    p = fx.read_table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     doc = F.struct(
         F.col("p_partkey").cast("string").alias("id"),
@@ -189,7 +189,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = F.struct(F.lit(0).alias("index"), F.lit("normal").alias("type"),
                   (F.round(F.col("value") / 2.5) * 2.5).alias("weight_kg"), (k % 10 + 1).cast("int").alias("reps"))
     ex = F.struct(F.lit(0).alias("index"), F.lit("E-0").alias("title"),
-                  (F.col("user_id") % fx.N_TEMPLATES).cast("string").alias("exercise_template_id"),
+                  (F.col("user_id") % fx.n_templates(spark, sf_dir)).cast("string").alias("exercise_template_id"),
                   F.array(st).alias("sets"))
     workout = F.struct(wid.alias("id"), F.concat(F.lit("W-"), wid).alias("title"),
                        _iso(F.col("ts")).alias("start_time"), _iso(F.col("ts")).alias("updated_at"),
