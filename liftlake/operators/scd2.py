@@ -36,8 +36,9 @@ def stage(headers: DataFrame, details: DataFrame) -> DataFrame:
     """E1 + E2 + E3: details LEFT JOIN headers, ingestion columns dropped,
     legacy ``supersets_id`` renamed, ids as text, indexes coerced to int
     (unparseable -> null), then the row fingerprint over every staged
-    column. Rows with a null business key cannot be versioned and are left
-    out (see ``quarantined_keys``)."""
+    column. Rows with a null business key cannot be versioned; they go to
+    ``quarantined_keys``. An extract without headers or without details
+    stages nothing."""
     if "supersets_id" in details.columns and "superset_id" not in details.columns:
         details = details.withColumnRenamed("supersets_id", "superset_id")
     d = details.drop(*[c for c in details.columns if "ingestion_timestamp" in c])
@@ -47,10 +48,15 @@ def stage(headers: DataFrame, details: DataFrame) -> DataFrame:
          .withColumn("superset_id", _int("superset_id")))
     h = headers.select(*HEADER_COLS).withColumn("routine_id", F.col("routine_id").cast("string"))
     staged = d.join(h, "routine_id", "left").select(*STAGED_COLS)
-    staged = staged.filter(_keys_present())
+    staged = staged.filter(_keys_present() & _any_row(headers))
     return staged.withColumn("scd_hash", row_hash(STAGED_COLS))
 
 
+def _any_row(df: DataFrame) -> Column:
+    """Whether a frame has a row, as a scalar subquery."""
+    return df.select(F.lit(1).alias("one")).limit(1).agg(F.count("one") > 0).scalar()
+
+
 def _keys_present(keys: list[str] = BUSINESS_KEYS) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -106,6 +112,8 @@ def apply(target: DataFrame | None, staged: DataFrame, run_ts: Column,
     key changed, or vanished from a complete snapshot) + inserts (new and
     changed keys). A key that reappears after deletion is new. With
     ``complete_snapshot=False`` (a partial extract) vanished keys stay open.
+    An empty extract changes nothing: a failed fetch must not close the
+    dimension.
 
     One FULL OUTER join of the current rows with the staged rows on the
     business key; each joined row emits up to two output rows (the current
@@ -125,7 +133,7 @@ def apply(target: DataFrame | None, staged: DataFrame, run_ts: Column,
     has_c = F.col("c_scd_hash").isNotNull()
     has_s = F.col("s_scd_hash").isNotNull()
     changed = has_c & has_s & (F.col("c_scd_hash") != F.col("s_scd_hash"))
-    expire = changed | (has_c & ~has_s) if complete_snapshot else changed
+    expire = changed | (has_c & ~has_s & _any_row(staged)) if complete_snapshot else changed
     kept = F.struct(*[F.col(f"c_{c}").alias(c) for c in STAGED_COLS], F.col("c_scd_valid_from").alias("scd_valid_from"),
                     F.when(expire, run_ts).otherwise(F.col("c_scd_valid_to")).alias("scd_valid_to"),
                     F.when(expire, F.lit(False)).otherwise(F.col("c_scd_is_current")).alias("scd_is_current"),

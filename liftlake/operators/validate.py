@@ -1,8 +1,10 @@
 """Record validation of landed documents (B1-B6), as column predicates.
 
 Items arrive as raw JSON text. Every scalar is read as text and coerced with
-``try_cast`` (so "5" is a valid int and 5.5 is not); nested lists are read
-as raw element texts so an explicit ``null`` can be told from a missing key.
+``try_cast`` (so "5" is a valid int and 5.5 is not). What that reading hides,
+the JSON kind of a value, is checked on the document as a variant: a list or
+object field of another kind, an explicit null list and a number in a text
+field reject the document, while unknown fields are ignored whatever they hold.
 A document is valid only if every nested exercise and set is valid: one bad
 set rejects the whole workout. Invalid documents go to a rejects frame with
 the first failing rule as reason, never silently dropped.
@@ -43,11 +45,49 @@ SET_TEXT = ("struct<index:string,type:string,weight_kg:string,reps:string,rep_ra
 EX_TEXT = (f"struct<index:string,title:string,notes:string,rest_seconds:string,exercise_template_id:string,"
            f"superset_id:string,sets:array<{SET_TEXT}>>")
 EXERCISES_TEXT = f"array<{EX_TEXT}>"
-_NULL_SETS = r'"sets"\s*:\s*null'
 WORKOUT_RAW = f"struct<{WORKOUT_HEAD},exercises:{EXERCISES_TEXT}>"
 ROUTINE_RAW = f"struct<{ROUTINE_HEAD},exercises:{EXERCISES_TEXT}>"
 
 
+def _kind(value: Column, path: str = "$") -> Column:
+    """JSON kind of the value at a path: STRING, BIGINT, OBJECT<...>,
+    ARRAY<...>, VOID for null and so on; null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _text(value: Column, field: str, required: bool = False, number: bool = False) -> Column:
+    kinds = ["STRING"] + ["BIGINT"] * number + ["VOID"] * (not required)
+    return F.coalesce(_kind(value, f"$.{field}").isin(kinds), F.lit(not required))
+
+
+def _texts(value: Column, required: list[str], optional: list[str]) -> Column:
+    ok = F.lit(True)
+    for f in required:
+        ok = ok & _text(value, f, True)
+    for f in optional:
+        ok = ok & _text(value, f)
+    return ok
+
+
+def _elements(value: Column, field: str) -> Column:
+    """Elements of a list field, none if it is missing or no list."""
+    return F.coalesce(F.try_variant_get(value, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _exercise_shapes(doc: Column, require_set_type: bool) -> Column:
+    """Whether the nested exercises and sets have the right JSON kinds."""
+    def set_ok(s: Column) -> Column:
+        rep_range = _kind(s, "$.rep_range")
+        return (_kind(s).startswith("OBJECT") & _text(s, "type", require_set_type)
+                & F.coalesce((rep_range == "VOID") | rep_range.startswith("OBJECT"), F.lit(True)))
+
+    def exercise_ok(e: Column) -> Column:
+        return (_kind(e).startswith("OBJECT") & _texts(e, ["title", "exercise_template_id"], ["notes"])
+                & F.coalesce(_kind(e, "$.sets").startswith("ARRAY"), F.lit(True)) & F.forall(_elements(e, "sets"), set_ok))
+
+    return F.coalesce(F.forall(_elements(doc, "exercises"), exercise_ok), F.lit(False))
+
+
 def _set_checks(v: Column, require_type: bool = True) -> Column:
     """Validity and typed value of one set parsed as text (no JSON parsing
     here: HOF lambdas are interpreted, so they only do field reads and casts)."""
@@ -83,15 +123,13 @@ def _exercise_checks(exercises: Column, require_set_type: bool = True) -> Column
     return F.transform(F.coalesce(exercises, F.array().cast(EXERCISES_TEXT)), one)
 
 
-def _with_exercises(df: DataFrame, keys: Column, raws: Column, text: Column,
+def _with_exercises(df: DataFrame, keys: Column, raws: Column, doc: Column,
                     require_set_type: bool = True) -> DataFrame:
-    """Check the (already parsed) exercise tree; adds ``_listed``,
-    ``_all_ok`` and ``_typed_ex``. An explicit ``"sets": null`` cannot be
-    seen in the parsed struct, so it is found in the document text (an
-    unescaped ``"sets":null`` cannot occur inside a JSON string)."""
+    """Check the (already parsed) exercise tree and its kinds in the document
+    variant; adds ``_listed``, ``_all_ok`` and ``_typed_ex``."""
     df = df.withColumn("_exc", _exercise_checks(raws, require_set_type))
     return (df.withColumn("_listed", _list_ok(keys, raws, "exercises"))
-            .withColumn("_all_ok", F.forall("_exc", lambda e: e["ok"]) & ~text.rlike(_NULL_SETS))
+            .withColumn("_all_ok", F.forall("_exc", lambda e: e["ok"]) & _exercise_shapes(doc, require_set_type))
             .withColumn("_typed_ex", F.transform("_exc", lambda e: e["t"])))
 
 
@@ -106,14 +144,21 @@ def _split(parsed: DataFrame, checks: list[tuple[str, Column]], typed_cols: list
     return valid, rejects
 
 
+def _workout_texts(doc: Column) -> Column:
+    return _text(doc, "id", True, number=True) & _texts(
+        doc, ["title"], ["description", "start_time", "end_time", "updated_at", "created_at", "routine_id"])
+
+
 def validate_workouts(items: DataFrame, require_set_type: bool = True) -> tuple[DataFrame, DataFrame]:
     """B1 (+B6): valid workout documents (typed) and rejects."""
     keep = [c for c in items.columns if c != "item"]
-    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", WORKOUT_RAW).alias("_v"))
+    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", WORKOUT_RAW).alias("_v"),
+                     F.try_parse_json("item").alias("_doc"))
     k, v = F.col("_k"), F.col("_v")
-    p = _with_exercises(p, k, v["exercises"], F.col("item"), require_set_type)
+    p = _with_exercises(p, k, v["exercises"], F.col("_doc"), require_set_type)
     checks = [("not a JSON object", k.isNotNull()), ("missing id", v["id"].isNotNull()),
-              ("missing title", v["title"].isNotNull()), ("exercises is not a list", F.col("_listed")),
+              ("missing title", v["title"].isNotNull()), ("a text field is not text", _workout_texts(F.col("_doc"))),
+              ("exercises is not a list", F.col("_listed")),
               ("invalid exercise or set", F.col("_all_ok"))]
     typed = [v["id"].alias("id"), v["title"].alias("title"), v["description"].alias("description"),
              v["start_time"].alias("start_time"), v["end_time"].alias("end_time"),
@@ -125,11 +170,14 @@ def validate_workouts(items: DataFrame, require_set_type: bool = True) -> tuple[
 def validate_routines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """B2 (+B6)."""
     keep = [c for c in items.columns if c != "item"]
-    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", ROUTINE_RAW).alias("_v"))
-    k, v = F.col("_k"), F.col("_v")
-    p = _with_exercises(p, k, v["exercises"], F.col("item"))
+    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", ROUTINE_RAW).alias("_v"),
+                     F.try_parse_json("item").alias("_doc"))
+    k, v, doc = F.col("_k"), F.col("_v"), F.col("_doc")
+    p = _with_exercises(p, k, v["exercises"], doc)
+    texts = _texts(doc, ["id", "title"], ["updated_at", "created_at"]) & _text(doc, "folder_id", number=True)
     checks = [("not a JSON object", k.isNotNull()), ("missing id", v["id"].isNotNull()),
-              ("missing title", v["title"].isNotNull()), ("exercises is not a list", F.col("_listed")),
+              ("missing title", v["title"].isNotNull()), ("a text field is not text", texts),
+              ("exercises is not a list", F.col("_listed")),
               ("invalid exercise or set", F.col("_all_ok"))]
     typed = [v["id"].alias("id"), v["title"].alias("title"), v["folder_id"].alias("folder_id"),
              v["updated_at"].alias("updated_at"), v["created_at"].alias("created_at"),
@@ -177,11 +225,11 @@ def validate_events(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     keep = [c for c in items.columns if c != "item"]
     p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", EVENT_RAW).alias("_v"))
     p = p.withColumn("_wk", F.json_object_keys(F.col("_v.workout"))).withColumn(
-        "_wv", F.from_json(F.col("_v.workout"), WORKOUT_RAW))
+        "_wv", F.from_json(F.col("_v.workout"), WORKOUT_RAW)).withColumn("_doc", F.try_parse_json("_v.workout"))
     k, v, wk, wv = F.col("_k"), F.col("_v"), F.col("_wk"), F.col("_wv")
-    p = _with_exercises(p, wk, wv["exercises"], F.col("_v.workout"))
+    p = _with_exercises(p, wk, wv["exercises"], F.col("_doc"))
     w_ok = v["workout"].isNull() | (wk.isNotNull() & wv["id"].isNotNull() & wv["title"].isNotNull()
-                                    & F.col("_listed") & F.col("_all_ok"))
+                                    & _workout_texts(F.col("_doc")) & F.col("_listed") & F.col("_all_ok"))
     checks = [("not a JSON object", k.isNotNull()), ("missing type", v["type"].isNotNull()),
               ("invalid workout", w_ok)]
     workout = F.when(v["workout"].isNotNull(), F.struct(

@@ -19,6 +19,20 @@ def q_scd2_staging(spark, d):
     return Pipeline(spark, d).staged(1).drop("scd_hash")
 
 
+@query("scd2_quarantine", """
+SELECT CAST(routine_id AS VARCHAR) AS routine_id, exercise_index, CAST(NULL AS INTEGER) AS set_index, exercise_template_id,
+       'null business key' AS reason
+FROM fx_plan WHERE ver = 1 AND CAST(routine_id AS BIGINT) % 41 = 0 AND set_index = 1""")
+def q_scd2_quarantine(spark, d):
+    """Details as a faulty extract would give them: some set indexes are text
+    that is no number."""
+    p = Pipeline(spark, d)
+    broken = (F.col("routine_id").cast("long") % 41 == 0) & (F.col("set_index") == 1)
+    details = p.details_snapshot(1).withColumn("set_index", F.when(broken, F.lit("n/a")).otherwise(F.col("set_index").cast("string")))
+    return scd2.quarantined_keys(p.routines_snapshot(1), details).select(
+        "routine_id", "exercise_index", "set_index", "exercise_template_id", "reason")
+
+
 @query("scd2_normalize", """
 SELECT CAST(routine_id AS VARCHAR) AS routine_id, TRY_CAST(CAST(exercise_index AS VARCHAR) AS INTEGER) AS exercise_index,
        TRY_CAST(CAST(set_index AS VARCHAR) AS INTEGER) AS set_index,

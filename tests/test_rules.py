@@ -101,6 +101,24 @@ def test_scd2_partial_snapshot_keeps_vanished_keys(spark):
     assert {r["routine_id"] for r in rows(scd2.current(s))} == {"r1", "r2"}
 
 
+def test_scd2_empty_extract_changes_nothing(spark):
+    run1 = _staged(spark, [("r1", 0, 0, 50.0), ("r2", 0, 0, 40.0)])
+    s = scd2.apply(None, run1, _ts("2024-01-01 00:00:00"))
+    again = scd2.apply(s, run1.where("false"), _ts("2024-02-01 00:00:00"))
+    assert sorted(map(str, rows(again))) == sorted(map(str, rows(s)))
+
+
+def test_scd2_staging_needs_headers_and_details(spark):
+    headers = spark.createDataFrame([("r1", "t", "f", None, None)], ", ".join(f"{c} string" for c in scd2.HEADER_COLS))
+    other = [c for c in scd2.STAGED_COLS if c not in scd2.HEADER_COLS]
+    data = [("r1", *["1" if c.endswith("_index") else None for c in other]), ("r1", *[None] * len(other)), (None, *["2"] * len(other))]
+    details = spark.createDataFrame(data, ", ".join(f"{c} string" for c in ["routine_id", *other]))
+    assert scd2.stage(headers, details).count() == 1
+    assert scd2.stage(headers.where("false"), details).count() == 0
+    assert scd2.stage(headers, details.where("false")).count() == 0
+    assert scd2.quarantined_keys(headers, details).count() == 2
+
+
 def test_as_of_half_open_boundaries(spark):
     run1 = _staged(spark, [("r1", 0, 0, 50.0)])
     run2 = _staged(spark, [("r1", 0, 0, 55.0)])
@@ -265,6 +283,17 @@ def _variant(path_value):
     ("missing sets", _variant(lambda d: d["exercises"][0].pop("sets")), True),
     ("missing title", _variant(lambda d: d.pop("title")), False),
     ("bad weight", _variant(lambda d: d["exercises"][0]["sets"][0].update(weight_kg="heavy")), False),
+    ("sets is text", _variant(lambda d: d["exercises"][0].update(sets="abc")), False),
+    ("sets is an object", _variant(lambda d: d["exercises"][0].update(sets={"index": 0})), False),
+    ("sets is a number", _variant(lambda d: d["exercises"][0].update(sets=5)), False),
+    ("a set is a number", _variant(lambda d: d["exercises"][0].update(sets=[5])), False),
+    ("rep_range is a number", _variant(lambda d: d["exercises"][0]["sets"][0].update(rep_range=5)), False),
+    ("null rep_range", _variant(lambda d: d["exercises"][0]["sets"][0].update(rep_range=None)), True),
+    ("unknown field with null sets", _variant(lambda d: d.update(meta={"sets": None})), True),
+    ("number as title", _variant(lambda d: d.update(title=5)), False),
+    ("number as id", _variant(lambda d: d.update(id=5)), True),
+    ("number as notes", _variant(lambda d: d["exercises"][0].update(notes=5)), False),
+    ("number as set type", _variant(lambda d: d["exercises"][0]["sets"][0].update(type=5)), False),
     ("not an object", "[1, 2]", False),
     ("not json", "{oops", False),
 ])
