@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from liftlake.operators import dims, fact, scd2
-from liftlake.plans.oracle_sql import _SCD_ALL, cte, fact_select
+from liftlake.plans.oracle_sql import _SCD_ALL, cte, fact_rows
 from liftlake.plans.pipeline import Pipeline
 from liftlake.plans.registry import query
 from liftlake.sources import fixtures as fx
@@ -100,9 +100,7 @@ def q_scd2_current(spark, d):
 
 
 @query("scd2_as_of", """
-SELECT h.workout_id, s.routine_id, s.exercise_index, s.set_index, s.weight_kg, s.scd_valid_from
-FROM fx_headers h JOIN fx_scd2 s ON h.routine_id = s.routine_id AND h.start_time >= s.scd_valid_from
- AND (h.start_time < s.scd_valid_to OR s.scd_valid_to IS NULL)""")
+SELECT workout_id, routine_id, exercise_index, set_index, plan.kg AS weight_kg, since AS scd_valid_from FROM fx_applicable""")
 def q_scd2_as_of(spark, d):
     p = Pipeline(spark, d)
     j = scd2.as_of(p.scd, fact.workout_headers(p.actual), "start_time", ["routine_id"])
@@ -162,21 +160,22 @@ def q_exercise_base_increment_truthy(spark, d):
 
 
 # ------------------------------------------------------------------ G: fact
-@query("fact_actual_sets", "SELECT * FROM fx_actual")
+@query("fact_actual_sets", "SELECT * FROM fx_performed")
 def q_fact_actual_sets(spark, d):
     return Pipeline(spark, d).actual
 
 
-@query("workout_headers", "SELECT * FROM fx_headers")
+@query("workout_headers", "SELECT * FROM fx_trainings")
 def q_workout_headers(spark, d):
     return fact.workout_headers(Pipeline(spark, d).actual)
 
 
 @query("applicable_plan", """
-SELECT workout_id AS p_workout_id, workout_start_time, routine_id, exercise_template_id, exercise_index, set_index,
-       set_type, folder_id, updated_at AS plan_updated_at, planned_weight_kg, planned_reps, planned_distance_meters,
-       planned_duration_seconds, planned_custom_metric, planned_rest
-FROM fx_applicable_plan""")
+SELECT workout_id AS p_workout_id, start_time AS workout_start_time, routine_id, exercise_template_id, exercise_index, set_index,
+       set_type, plan.folder_id AS folder_id, plan.changed AS plan_updated_at, plan.kg AS planned_weight_kg, plan.reps AS planned_reps,
+       plan.metres AS planned_distance_meters, plan.seconds AS planned_duration_seconds, plan.metric AS planned_custom_metric,
+       plan.rest AS planned_rest
+FROM fx_applicable""")
 def q_applicable_plan(spark, d):
     p = Pipeline(spark, d)
     return fact.applicable_plan(fact.workout_headers(p.actual), p.scd)
@@ -187,33 +186,21 @@ def q_fact_workout_history(spark, d):
     return Pipeline(spark, d).fact
 
 
-_FACT_LIST = """workout_id, routine_id, exercise_template_id, exercise_index, folder_id, cycle_number, set_type,
-       set_index, execution_status, diff_weight_kg, diff_reps, diff_duration_seconds, diff_custom_metric, weight_kg,
-       reps, distance_meters, duration_seconds, rpe, custom_metric, planned_weight_kg, planned_reps,
-       planned_distance_meters, planned_duration_seconds, planned_custom_metric, planned_rest, start_time, updated_at"""
-
-
-@query("fact_plan_match_as_executed", f"""
-SELECT {_FACT_LIST}, CAST(COUNT(*) AS BIGINT) AS plan_copies
-FROM ({fact_select("COALESCE(a.exercise_template_id, p.exercise_template_id)", with_workout_key=False,
-                   extra=", p.scd_valid_from AS _vf")}) x
-GROUP BY {_FACT_LIST}, _vf""")
+@query("fact_plan_match_as_executed", fact_rows("fx_matched_any").replace(
+    "m.updated_at", "m.updated_at, CAST(copies AS BIGINT) AS plan_copies", 1))
 def q_fact_plan_match_as_executed(spark, d):
     p = Pipeline(spark, d)
     return fact.fact_plan_match_as_executed(p.actual, p.scd, keys=p.cycle_keys)
 
 
-@query("fact_with_skipped", fact_select("COALESCE(a.exercise_template_id, p.exercise_template_id)",
-                                        join="FULL OUTER JOIN"))
+@query("fact_with_skipped", fact_rows("fx_matched_and_skipped"))
 def q_fact_with_skipped(spark, d):
     p = Pipeline(spark, d)
     return fact.fact_workout_history(p.actual, p.scd, include_skipped=True, keys=p.cycle_keys)
 
 
-@query("execution_status", """
-SELECT execution_status, CAST(COUNT(*) AS BIGINT) AS n FROM (""" + fact_select(
-    "COALESCE(a.exercise_template_id, p.exercise_template_id)", join="FULL OUTER JOIN") + """) x
-GROUP BY execution_status""")
+@query("execution_status", f"""
+SELECT execution_status, CAST(COUNT(*) AS BIGINT) AS n FROM ({fact_rows("fx_matched_and_skipped")}) x GROUP BY execution_status""")
 def q_execution_status(spark, d):
     p = Pipeline(spark, d)
     f = fact.fact_workout_history(p.actual, p.scd, include_skipped=True)
@@ -234,8 +221,7 @@ def q_cycle_number(spark, d):
     return Pipeline(spark, d).fact.select("exercise_template_id", "start_time", "cycle_number").distinct()
 
 
-@query("cycle_number_per_routine", fact_select(
-    "COALESCE(a.exercise_template_id, p.exercise_template_id), COALESCE(a.routine_id, p.routine_id)"))
+@query("cycle_number_per_routine", fact_rows("fx_matched", "exercise_template_id, routine_id"))
 def q_cycle_number_per_routine(spark, d):
     p = Pipeline(spark, d)
     return fact.fact_workout_history(p.actual, p.scd, per_routine=True, keys=p.cycle_keys)
