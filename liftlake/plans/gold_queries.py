@@ -25,7 +25,7 @@ def q_gold_prompt_planned_only(spark, d):
     return gold.gold_prompt(p.fact, p.dim_exercise, p.dim_routine, p.bronze.routine_details, exclude_unplanned=True)
 
 
-@query("gold_ordered")
+@query("gold_ordered", "SELECT * FROM fx_gold")
 def q_gold_ordered(spark, d):
     return gold.gold_ordered(Pipeline(spark, d).gold)
 

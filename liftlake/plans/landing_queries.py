@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from liftlake.operators import flatten as fl
 from liftlake.operators import validate as va
-from liftlake.plans.oracle_sql import cte
+from liftlake.plans.oracle_sql import _SCD_ALL, cte
 from liftlake.plans.pipeline import Pipeline
-from liftlake.plans.registry import query
+from liftlake.plans.registry import REGISTRY, query
 from liftlake.sources import enums, landing, sinks
 from liftlake.sources import fixtures as fx
 
@@ -110,10 +110,10 @@ def q_enum_dimensions(spark, d):
     return enums.enum_usage(spark, Pipeline(spark, d).bronze.exercise_templates)
 
 
-@query("table_scan_preview")
+@query("table_scan_preview", "SELECT * EXCLUDE (fx_custkey) FROM fx_workouts ORDER BY workout_id LIMIT 5")
 def q_table_scan_preview(spark, d):
     from liftlake.sources.sinks import preview
-    return preview(Pipeline(spark, d).bronze.workouts, 5)
+    return preview(fx.workouts(spark, d), 5, "workout_id")
 
 
 @query("raw_key_audit", """
@@ -371,18 +371,22 @@ def q_write_replace_nonempty(spark, d):
     return spark.read.parquet(path)
 
 
-@query("write_replace")
+REGISTRY["write_replace_nonempty"].sql = REGISTRY["bronze_workouts"].sql
+
+
+@query("write_replace", "SELECT * FROM fx_dim_routine")
 def q_write_replace(spark, d):
     path = sinks.scratch_path(spark, "dim_routine")
     sinks.write(Pipeline(spark, d).dim_routine, path, mode="overwrite")
     return spark.read.parquet(path)
 
 
-@query("write_append")
+@query("write_append", f"""
+SELECT {_SCD_ALL}, scd_valid_from, CAST(NULL AS TIMESTAMP) AS scd_valid_to, TRUE AS scd_is_current FROM fx_scd2""")
 def q_write_append(spark, d):
     path = sinks.scratch_path(spark, "scd2_inserts")
     p = Pipeline(spark, d)
     sinks.write(p.scd_after_first_run, path, mode="overwrite")
     inserts = p.scd.filter(F.col("scd_valid_from") == fx.ts(fx.SNAPSHOT_RUN_TS[1]))
     sinks.write(inserts, path, mode="append")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("scd_hash")

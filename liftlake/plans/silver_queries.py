@@ -227,6 +227,6 @@ def q_cycle_number_per_routine(spark, d):
     return fact.fact_workout_history(p.actual, p.scd, per_routine=True, keys=p.cycle_keys)
 
 
-@query("fact_ordered")
+@query("fact_ordered", "SELECT * FROM fx_fact")
 def q_fact_ordered(spark, d):
     return fact.fact_ordered(Pipeline(spark, d).fact)

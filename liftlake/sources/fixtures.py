@@ -13,8 +13,6 @@ the session time zone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -261,17 +259,6 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass
-class Bronze:
-    """The six bronze tables of the current pipeline (latest extract)."""
-    exercise_templates: DataFrame
-    routines: DataFrame
-    routine_details: DataFrame
-    workouts: DataFrame
-    workout_exercises: DataFrame
-    workout_sets: DataFrame
-
-
 _STORED: dict[tuple[int, str, str], DataFrame] = {}
 
 
@@ -290,20 +277,46 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return df
 
 
+class Bronze:
+    """The six bronze tables of the current pipeline (latest extract). A table
+    that is one narrow pass over its source is read from there; the others are
+    written when a query first asks for them, each on its own."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @property
+    def exercise_templates(self) -> DataFrame:
+        return exercise_templates(self.spark, self.sf_dir)
+
+    @property
+    def routines(self) -> DataFrame:
+        return routines(self.spark, self.sf_dir, 1)
+
+    @property
+    def workouts(self) -> DataFrame:
+        return workouts(self.spark, self.sf_dir)
+
+    @property
+    def routine_details(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "details1", lambda: routine_details(self.spark, self.sf_dir, 1))
+
+    @property
+    def workout_exercises(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "exercises", lambda: workout_exercises(self.spark, self.sf_dir))
+
+    @property
+    def workout_sets(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "sets", lambda: workout_sets(self.spark, self.sf_dir))
+
+
 def bronze(spark: SparkSession, sf_dir: str) -> Bronze:
-    return Bronze(
-        exercise_templates=stored(spark, sf_dir, "templates", lambda: exercise_templates(spark, sf_dir)),
-        routines=stored(spark, sf_dir, "routines1", lambda: routines(spark, sf_dir, 1)),
-        routine_details=stored(spark, sf_dir, "details1", lambda: routine_details(spark, sf_dir, 1)),
-        workouts=stored(spark, sf_dir, "workouts", lambda: workouts(spark, sf_dir)),
-        workout_exercises=stored(spark, sf_dir, "exercises", lambda: workout_exercises(spark, sf_dir)),
-        workout_sets=stored(spark, sf_dir, "sets", lambda: workout_sets(spark, sf_dir)),
-    )
+    return Bronze(spark, sf_dir)
 
 
 def snapshot(spark: SparkSession, sf_dir: str, ver: int) -> tuple[DataFrame, DataFrame]:
     """(routines, routine details) of one extract run, stored like bronze."""
-    return (stored(spark, sf_dir, f"routines{ver}", lambda: routines(spark, sf_dir, ver)),
+    return (routines(spark, sf_dir, ver),
             stored(spark, sf_dir, f"details{ver}", lambda: routine_details(spark, sf_dir, ver)))
 
 

@@ -49,9 +49,10 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*cols)
 
 
-def preview(df: DataFrame, limit: int = 5) -> DataFrame:
-    """The first rows of a table (the limit is the feature)."""
-    return df.limit(limit)
+def preview(df: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows of a table by the given columns (the limit is the
+    feature); each task keeps no more than that many."""
+    return df.orderBy(*order).limit(limit)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
