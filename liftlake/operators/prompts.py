@@ -163,42 +163,75 @@ def routine_prompts(gold: DataFrame) -> DataFrame:
                  F.array_join(F.transform("bs", lambda x: x["b"]), "")).alias("prompt"))
 
 
+ANALYTICS = ["stall_streak", "e1rm_current", "e1rm_trend_percent", "avg_rpe_last_3", "status", "recommended_action"]
+# The analysis of an exercise without history.
+NO_HISTORY = {"stall_streak": 0, "e1rm_current": 0.0, "e1rm_trend_percent": 0.0, "avg_rpe_last_3": 0.0,
+              "status": "NEW", "recommended_action": "LINEAR_LOAD"}
+
+
+def _json_value(c: Column) -> Column:
+    """A scalar as JSON text, null included."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def _json_lines(fields: list[tuple[str, Column]], indent: int) -> Column:
+    """Fields of an object as one line each; values are JSON text."""
+    pad = " " * indent
+    return F.concat_ws(",\n", *[F.concat(F.lit(f'{pad}"{k}": '), v) for k, v in fields])
+
+
 def coach_context(exercises: DataFrame, analytics: DataFrame, history: DataFrame) -> DataFrame:
-    """Per routine exercise the legacy coach context as JSON text:
-    id, name, base increment, analytics and the newest three sessions."""
+    """Per routine exercise the legacy coach context: id, name, base
+    increment, analytics and the newest three sessions, as JSON text and as
+    the indented text that the prompt shows. An exercise without history gets
+    the analysis of a new one; a failed analysis holds its status and action
+    only."""
     h3 = (history.filter(F.col("session_no") <= 3).groupBy("exercise_template_id")
           .agg(F.array_sort(F.collect_list(F.struct("session_no", F.date_format("date", "yyyy-MM-dd").alias("date"),
                                                     "weight", "reps", "rpe"))).alias("h")))
     j = (exercises.join(analytics, "exercise_template_id", "left").join(h3, "exercise_template_id", "left"))
-    ctx = F.struct(
-        F.col("exercise_template_id").alias("id"), F.col("title").alias("name"),
-        F.coalesce(F.nullif(F.col("base_increment"), F.lit(0.0)), F.lit(2.5)).alias("base_increment"),
-        F.struct("stall_streak", "e1rm_current", "e1rm_trend_percent", "avg_rpe_last_3", "status",
-                 "recommended_action").alias("analytics"),
-        F.coalesce(F.transform("h", lambda x: F.struct(x["date"].alias("date"), x["weight"].alias("weight"),
-                                                         x["reps"].alias("reps"),
-                                                         F.coalesce(x["rpe"].cast("string"), F.lit("N/A"))
-                                                         .alias("rpe"))),
-                   F.array().cast("array<struct<date:string,weight:double,reps:int,rpe:string>>"))
-        .alias("history_summary"),
-    )
-    return j.select("routine_id", "order_index", "exercise_template_id",
-                    F.to_json(ctx, {"ignoreNullFields": "false"}).alias("context_json"))
+    known = F.col("status").isNotNull()
+    j = j.withColumns({k: F.when(known, F.col(k)).otherwise(F.lit(v)) for k, v in NO_HISTORY.items() if k != "status"}
+                      | {"status": F.coalesce("status", F.lit(NO_HISTORY["status"]))})
+    head = [("id", F.col("exercise_template_id")), ("name", F.col("title")),
+            ("base_increment", F.coalesce(F.nullif(F.col("base_increment"), F.lit(0.0)), F.lit(2.5)))]
+    head = [(k, _json_value(v)) for k, v in head]
+    full = [(k, _json_value(F.col(k))) for k in ANALYTICS]
+    failed = F.col("status") == "ERROR"
+    sessions = F.coalesce("h", F.array().cast("array<struct<session_no:int,date:string,weight:double,reps:int,rpe:double>>"))
+
+    def session(x: Column) -> list[tuple[str, Column]]:
+        return [(k, _json_value(x[k])) for k in ("date", "weight", "reps", "rpe")]
+
+    def compact(fields: list[tuple[str, Column]]) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields]), F.lit("}"))
+
+    context = compact([*head, ("analytics", F.when(failed, compact(full[-2:])).otherwise(compact(full))), (
+        "history_summary", F.concat(F.lit("["), F.array_join(F.transform(sessions, lambda x: compact(session(x))), ","), F.lit("]")))])
+    shown = F.concat(F.lit("  {\n"), _json_lines([
+        *head,
+        ("analytics", F.concat(F.lit("{\n"), F.when(failed, _json_lines(full[-2:], 6)).otherwise(_json_lines(full, 6)), F.lit("\n    }"))),
+        ("history_summary", F.when(F.size(sessions) == 0, F.lit("[]")).otherwise(F.concat(
+            F.lit("[\n"),
+            F.array_join(F.transform(sessions, lambda x: F.concat(F.lit("      {\n"), _json_lines(session(x), 8), F.lit("\n      }"))), ",\n"),
+            F.lit("\n    ]")))),
+    ], 4), F.lit("\n  }"))
+    return j.select("routine_id", "order_index", "exercise_template_id", context.alias("context_json"), shown.alias("context_text"))
 
 
 def coach_prompts(contexts: DataFrame, phase_date: Column) -> DataFrame:
     """Legacy prompt per routine: the system text with the phase of
     ``phase_date`` followed by the exercise contexts."""
     per = (contexts.groupBy("routine_id")
-           .agg(F.array_sort(F.collect_list(F.struct("order_index", "exercise_template_id", "context_json")))
+           .agg(F.array_sort(F.collect_list(F.struct("order_index", "exercise_template_id", "context_text")))
                 .alias("cs")))
     with_date = with_phase(per.withColumn("_d", phase_date), "_d")
     system = _fill(LEGACY_SYSTEM_TEMPLATE, {
         "phase_name": F.col("phase_name"), "phase_week": F.col("phase_week").cast("string"),
         "phase_goal": F.col("phase_goal"), "phase_rpe": F.col("phase_rpe_target"),
         "phase_instruction": F.col("phase_instruction")})
-    user = F.concat(F.lit(LEGACY_USER_HEADER), F.lit("["),
-                    F.array_join(F.transform("cs", lambda x: x["context_json"]), ", "), F.lit("]"),
+    user = F.concat(F.lit(LEGACY_USER_HEADER), F.lit("[\n"),
+                    F.array_join(F.transform("cs", lambda x: x["context_text"]), ",\n"), F.lit("\n]"),
                     F.lit(LEGACY_USER_FOOTER))
     return with_date.select("routine_id", *[c for c in PHASE_COLS[:2]],
                             F.concat(system, F.lit("\n\n"), user).alias("prompt"))

@@ -347,3 +347,25 @@ def test_lag_by_position_matches_lag(spark):
     want = base.select("g", "d", "v", F.lag("v").over(Window.partitionBy("g").orderBy("d")).alias("prev_v"))
     got = ranking.lag_by_position(base, ["g"], "d", ["v"]).select("g", "d", "v", "prev_v")
     assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+
+
+def test_coach_context_without_history_and_its_indented_text(spark):
+    from liftlake.operators import prompts
+    exercises = spark.createDataFrame(
+        [("r", 0, "a", 'Bench "x"', 0.0), ("r", 1, "b", "Squat", 5.0), ("r", 2, "c", "Row", None)],
+        "routine_id string, order_index int, exercise_template_id string, title string, base_increment double")
+    analytics = spark.createDataFrame(
+        [("a", 1, 100.0, 2.5, 8.5, "STALLED", "DELOAD"), ("b", None, None, None, None, "ERROR", "MAINTAIN")],
+        "exercise_template_id string, stall_streak int, e1rm_current double, e1rm_trend_percent double, "
+        "avg_rpe_last_3 double, status string, recommended_action string")
+    history = spark.createDataFrame(
+        [("a", 1, dt.datetime(2024, 1, 2), 50.0, 5, 8.0), ("a", 2, dt.datetime(2024, 1, 1), 47.5, 5, None)],
+        "exercise_template_id string, session_no int, date timestamp_ntz, weight double, reps int, rpe double")
+    got = rows(prompts.coach_context(exercises, analytics, history).orderBy("order_index"))
+    contexts = [json.loads(r["context_json"]) for r in got]
+    assert "[\n" + ",\n".join(r["context_text"] for r in got) + "\n]" == json.dumps(contexts, indent=2)
+    assert contexts[0]["history_summary"][0]["rpe"] == 8.0 and contexts[0]["history_summary"][1]["rpe"] is None
+    assert contexts[1]["analytics"] == {"status": "ERROR", "recommended_action": "MAINTAIN"}
+    assert contexts[2]["analytics"] == {"stall_streak": 0, "e1rm_current": 0.0, "e1rm_trend_percent": 0.0, "avg_rpe_last_3": 0.0,
+                                        "status": "NEW", "recommended_action": "LINEAR_LOAD"}
+    assert contexts[2]["base_increment"] == 2.5 and contexts[2]["history_summary"] == []
