@@ -68,8 +68,9 @@ FROM (SELECT DISTINCT id, title, type, primary_muscle_group, is_custom FROM fx_t
 LEFT JOIN fx_norm_progression p ON t.title = p.exercise_title""")
 
 cte("fx_norm_routine_exercises", """
-SELECT *, CAST(DENSE_RANK() OVER (ORDER BY routine_id, order_index NULLS FIRST, exercise_template_id NULLS FIRST,
-                                  superset_id NULLS FIRST, rest_seconds NULLS FIRST, notes NULLS FIRST) AS INTEGER) AS id
+SELECT *, CAST('0x' || md5(array_to_string([ifnull(CAST(k AS VARCHAR), chr(30)) FOR k IN [
+         routine_id, CAST(order_index AS VARCHAR), exercise_template_id, CAST(superset_id AS VARCHAR), CAST(rest_seconds AS VARCHAR), notes]],
+         chr(31)))[1:15] AS BIGINT) AS id
 FROM (SELECT DISTINCT routine_id, exercise_template_id, supersets_id AS superset_id, rest_seconds,
              exercise_notes AS notes, exercise_index AS order_index FROM fx_flat_routines) d""")
 
@@ -78,8 +79,9 @@ SELECT DISTINCT workout_id AS id, title, description, start_time, end_time, crea
 FROM fx_flat_workouts""")
 
 cte("fx_norm_workout_exercises", """
-SELECT *, CAST(DENSE_RANK() OVER (ORDER BY workout_id, order_index NULLS FIRST, exercise_template_id NULLS FIRST,
-                                  superset_id NULLS FIRST, notes NULLS FIRST) AS INTEGER) AS id
+SELECT *, CAST('0x' || md5(array_to_string([ifnull(CAST(k AS VARCHAR), chr(30)) FOR k IN [
+         workout_id, CAST(order_index AS VARCHAR), exercise_template_id, CAST(superset_id AS VARCHAR), notes]],
+         chr(31)))[1:15] AS BIGINT) AS id
 FROM (SELECT DISTINCT workout_id, exercise_template_id, supersets_id AS superset_id, exercise_notes AS notes,
              exercise_index AS order_index FROM fx_flat_workouts) d""")
 

@@ -27,16 +27,17 @@ def read_event_stream(spark: SparkSession, landing_dir: str, max_files_per_trigg
 def start_event_feed(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str, run_ts: Column,
                      available_now: bool = True):
     """Start the feed; returns the StreamingQuery. Output tables:
-    ``out_dir/updated`` and ``out_dir/deleted`` (Parquet, one folder per
-    micro-batch id)."""
+    ``out_dir/updated``, ``out_dir/deleted`` and ``out_dir/rejects`` (Parquet,
+    one folder per micro-batch id). A batch is parsed once for the three."""
     items = read_event_stream(spark, landing_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        valid, _ = validate.validate_events(batch)
-        updated = flatten.updated_events_flat(valid, run_ts)
-        deleted = flatten.deleted_events(batch)
-        updated.write.mode("overwrite").parquet(f"{out_dir}/updated/batch_id={batch_id}")
-        deleted.write.mode("overwrite").parquet(f"{out_dir}/deleted/batch_id={batch_id}")
+        batch = batch.persist()
+        valid, rejects = validate.validate_events(batch)
+        tables = {"updated": flatten.updated_events_flat(valid, run_ts), "deleted": flatten.deleted_events(batch), "rejects": rejects}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+        batch.unpersist()
 
     w = items.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -53,7 +54,7 @@ def run_event_feed(spark: SparkSession, landing_dir: str, out_dir: str, checkpoi
     return upd, dele
 
 
-def land_event_pages(spark: SparkSession, sf_dir: str, landing_dir: str, files: int = 4) -> None:
-    """Land the event pages derived from the ``events`` table as text files."""
-    pages = landing.landed_event_pages(spark, sf_dir).repartition(files)
-    landing.write_pages(pages, landing_dir)
+def land_event_pages(spark: SparkSession, sf_dir: str, landing_dir: str) -> None:
+    """Land the event pages derived from the ``events`` table as text files,
+    as many as the pages have partitions."""
+    landing.write_pages(landing.landed_event_pages(spark, sf_dir), landing_dir)
