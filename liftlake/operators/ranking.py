@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftlake.session import cut_lineage
+from liftlake.session import written
 
 Bucket = Callable[[Column], Column]
 
@@ -142,11 +142,11 @@ def lag_by_position(df: DataFrame, group_cols: list[str], order_col: str, value_
     one task. Null group values form their own group, as in SQL windows.
 
     ``df`` is read three times; with ``materialize`` it is first written as a
-    reliable checkpoint (it is usually a small aggregate over an expensive
+    table (it is usually a small aggregate over an expensive
     plan, and column pruning would otherwise make the three reads differ and
     recompute that plan each time)."""
     if materialize:
-        df = cut_lineage(df, force=True)
+        df = written(df, "lag")
     ranks = dense_rank_keys(df, group_cols, order_col, "_pos")
     d = join_rank(df, ranks, group_cols, order_col)
     prev = d.select(*[F.col(c).alias(f"_lg_{c}") for c in group_cols], (F.col("_pos") + 1).alias("_lg_pos"),

@@ -49,15 +49,27 @@ WORKOUT_RAW = f"struct<{WORKOUT_HEAD},exercises:{EXERCISES_TEXT}>"
 ROUTINE_RAW = f"struct<{ROUTINE_HEAD},exercises:{EXERCISES_TEXT}>"
 
 
-def _kind(value: Column, path: str = "$") -> Column:
-    """JSON kind of the value at a path: STRING, BIGINT, OBJECT<...>,
-    ARRAY<...>, VOID for null and so on; null if there is none."""
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+# Text in which some value may have the wrong kind: a text field that starts
+# with neither a quote nor null, a list without a bracket, an object without a
+# brace, a list element that is no object. One search of the text spares nearly all documents the variant.
+_SUSPECT = (r'"(id|title|description|start_time|end_time|updated_at|created_at|routine_id|folder_id|notes|exercise_template_id|type)"'
+            r'\s*:\s*[^"n\s]|"(sets|exercises)"\s*:\s*([^\[\s]|\[\s*[^{\]\s])|"rep_range"\s*:\s*[^{n\s]'
+            r'|\}\s*,\s*([^{"\s]|"[^"\\]*"\s*[,\]])')
+
+
+def _kinds(text: Column, check) -> Column:
+    """Whether ``check`` holds for the document, as a variant, of a suspect text."""
+    return ~text.rlike(_SUSPECT) | F.coalesce(check(F.try_parse_json(text)), F.lit(False))
+
+
+def _at(value: Column, field: str, kind: str = "variant") -> Column:
+    """The value of a field as a kind; null if missing or of another kind."""
+    return F.try_variant_get(value, f"$.{field}", kind)
 
 
 def _text(value: Column, field: str, required: bool = False, number: bool = False) -> Column:
     kinds = ["STRING"] + ["BIGINT"] * number + ["VOID"] * (not required)
-    return F.coalesce(_kind(value, f"$.{field}").isin(kinds), F.lit(not required))
+    return F.coalesce(F.schema_of_variant(_at(value, field)).isin(kinds), F.lit(not required))
 
 
 def _texts(value: Column, required: list[str], optional: list[str]) -> Column:
@@ -69,23 +81,19 @@ def _texts(value: Column, required: list[str], optional: list[str]) -> Column:
     return ok
 
 
-def _elements(value: Column, field: str) -> Column:
-    """Elements of a list field, none if it is missing or no list."""
-    return F.coalesce(F.try_variant_get(value, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def _exercise_shapes(doc: Column, require_set_type: bool) -> Column:
-    """Whether the nested exercises and sets have the right JSON kinds."""
+    """Whether nested lists, objects and texts have their JSON kinds. Elements
+    that are no objects are left to the typed parse, which gives null there."""
     def set_ok(s: Column) -> Column:
-        rep_range = _kind(s, "$.rep_range")
-        return (_kind(s).startswith("OBJECT") & _text(s, "type", require_set_type)
-                & F.coalesce((rep_range == "VOID") | rep_range.startswith("OBJECT"), F.lit(True)))
+        rep_range = _at(s, "rep_range")
+        return _text(s, "type", require_set_type) & (
+            rep_range.isNull() | F.is_variant_null(rep_range) | _at(s, "rep_range", "struct<start:variant,end:variant>").isNotNull())
 
     def exercise_ok(e: Column) -> Column:
-        return (_kind(e).startswith("OBJECT") & _texts(e, ["title", "exercise_template_id"], ["notes"])
-                & F.coalesce(_kind(e, "$.sets").startswith("ARRAY"), F.lit(True)) & F.forall(_elements(e, "sets"), set_ok))
+        sets = F.forall(_at(e, "sets", "array<variant>"), set_ok)
+        return _texts(e, ["title", "exercise_template_id"], ["notes"]) & F.coalesce(sets, _at(e, "sets").isNull())
 
-    return F.coalesce(F.forall(_elements(doc, "exercises"), exercise_ok), F.lit(False))
+    return F.coalesce(F.forall(_at(doc, "exercises", "array<variant>"), exercise_ok), F.lit(True))
 
 
 def _set_checks(v: Column, require_type: bool = True) -> Column:
@@ -123,13 +131,13 @@ def _exercise_checks(exercises: Column, require_set_type: bool = True) -> Column
     return F.transform(F.coalesce(exercises, F.array().cast(EXERCISES_TEXT)), one)
 
 
-def _with_exercises(df: DataFrame, keys: Column, raws: Column, doc: Column,
+def _with_exercises(df: DataFrame, keys: Column, raws: Column, text: Column, texts,
                     require_set_type: bool = True) -> DataFrame:
-    """Check the (already parsed) exercise tree and its kinds in the document
-    variant; adds ``_listed``, ``_all_ok`` and ``_typed_ex``."""
+    """Check the (already parsed) exercise tree and the kinds of all values,
+    those of the document itself by ``texts``; adds ``_listed``, ``_all_ok`` and ``_typed_ex``."""
     df = df.withColumn("_exc", _exercise_checks(raws, require_set_type))
     return (df.withColumn("_listed", _list_ok(keys, raws, "exercises"))
-            .withColumn("_all_ok", F.forall("_exc", lambda e: e["ok"]) & _exercise_shapes(doc, require_set_type))
+            .withColumn("_all_ok", F.forall("_exc", lambda e: e["ok"]) & _kinds(text, lambda doc: texts(doc) & _exercise_shapes(doc, require_set_type)))
             .withColumn("_typed_ex", F.transform("_exc", lambda e: e["t"])))
 
 
@@ -152,13 +160,11 @@ def _workout_texts(doc: Column) -> Column:
 def validate_workouts(items: DataFrame, require_set_type: bool = True) -> tuple[DataFrame, DataFrame]:
     """B1 (+B6): valid workout documents (typed) and rejects."""
     keep = [c for c in items.columns if c != "item"]
-    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", WORKOUT_RAW).alias("_v"),
-                     F.try_parse_json("item").alias("_doc"))
+    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", WORKOUT_RAW).alias("_v"))
     k, v = F.col("_k"), F.col("_v")
-    p = _with_exercises(p, k, v["exercises"], F.col("_doc"), require_set_type)
+    p = _with_exercises(p, k, v["exercises"], F.col("item"), _workout_texts, require_set_type)
     checks = [("not a JSON object", k.isNotNull()), ("missing id", v["id"].isNotNull()),
-              ("missing title", v["title"].isNotNull()), ("a text field is not text", _workout_texts(F.col("_doc"))),
-              ("exercises is not a list", F.col("_listed")),
+              ("missing title", v["title"].isNotNull()), ("exercises is not a list", F.col("_listed")),
               ("invalid exercise or set", F.col("_all_ok"))]
     typed = [v["id"].alias("id"), v["title"].alias("title"), v["description"].alias("description"),
              v["start_time"].alias("start_time"), v["end_time"].alias("end_time"),
@@ -170,14 +176,12 @@ def validate_workouts(items: DataFrame, require_set_type: bool = True) -> tuple[
 def validate_routines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """B2 (+B6)."""
     keep = [c for c in items.columns if c != "item"]
-    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", ROUTINE_RAW).alias("_v"),
-                     F.try_parse_json("item").alias("_doc"))
-    k, v, doc = F.col("_k"), F.col("_v"), F.col("_doc")
-    p = _with_exercises(p, k, v["exercises"], doc)
-    texts = _texts(doc, ["id", "title"], ["updated_at", "created_at"]) & _text(doc, "folder_id", number=True)
+    p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", ROUTINE_RAW).alias("_v"))
+    k, v = F.col("_k"), F.col("_v")
+    p = _with_exercises(p, k, v["exercises"], F.col("item"), lambda doc: _texts(
+        doc, ["id", "title"], ["updated_at", "created_at"]) & _text(doc, "folder_id", number=True))
     checks = [("not a JSON object", k.isNotNull()), ("missing id", v["id"].isNotNull()),
-              ("missing title", v["title"].isNotNull()), ("a text field is not text", texts),
-              ("exercises is not a list", F.col("_listed")),
+              ("missing title", v["title"].isNotNull()), ("exercises is not a list", F.col("_listed")),
               ("invalid exercise or set", F.col("_all_ok"))]
     typed = [v["id"].alias("id"), v["title"].alias("title"), v["folder_id"].alias("folder_id"),
              v["updated_at"].alias("updated_at"), v["created_at"].alias("created_at"),
@@ -225,11 +229,11 @@ def validate_events(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     keep = [c for c in items.columns if c != "item"]
     p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", EVENT_RAW).alias("_v"))
     p = p.withColumn("_wk", F.json_object_keys(F.col("_v.workout"))).withColumn(
-        "_wv", F.from_json(F.col("_v.workout"), WORKOUT_RAW)).withColumn("_doc", F.try_parse_json("_v.workout"))
+        "_wv", F.from_json(F.col("_v.workout"), WORKOUT_RAW))
     k, v, wk, wv = F.col("_k"), F.col("_v"), F.col("_wk"), F.col("_wv")
-    p = _with_exercises(p, wk, wv["exercises"], F.col("_doc"))
+    p = _with_exercises(p, wk, wv["exercises"], F.col("_v.workout"), _workout_texts)
     w_ok = v["workout"].isNull() | (wk.isNotNull() & wv["id"].isNotNull() & wv["title"].isNotNull()
-                                    & _workout_texts(F.col("_doc")) & F.col("_listed") & F.col("_all_ok"))
+                                    & F.col("_listed") & F.col("_all_ok"))
     checks = [("not a JSON object", k.isNotNull()), ("missing type", v["type"].isNotNull()),
               ("invalid workout", w_ok)]
     workout = F.when(v["workout"].isNotNull(), F.struct(

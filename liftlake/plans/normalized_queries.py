@@ -13,13 +13,13 @@ from liftlake.plans.landing_queries import _valid, run_ts
 from liftlake.plans.oracle_sql import cte
 from liftlake.plans.pipeline import Pipeline
 from liftlake.plans.registry import query
-from liftlake.session import cut_lineage
+from liftlake.session import written
 
 
 class Legacy:
     """Inputs of the legacy chain: the flattened landed documents (built on
     first use; every DataFrame is analysed when created). The flat set tables
-    are written (checkpointed) as the legacy bronze tables were, since the
+    are written (stored) as the legacy bronze tables were, since the
     normalised tables read them several times."""
 
     def __init__(self, spark, d):
@@ -27,11 +27,11 @@ class Legacy:
 
     @cached_property
     def flat_routines(self):
-        return cut_lineage(fl.flat_routines_outer(_valid(self.spark, self.d, "routines"), run_ts()), force=True)
+        return written(fl.flat_routines_outer(_valid(self.spark, self.d, "routines"), run_ts()), "flat_routines")
 
     @cached_property
     def flat_workouts(self):
-        return cut_lineage(fl.flat_workouts_outer(_valid(self.spark, self.d, "workouts"), run_ts()), force=True)
+        return written(fl.flat_workouts_outer(_valid(self.spark, self.d, "workouts"), run_ts()), "flat_workouts")
 
     @cached_property
     def templates(self):

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.operators import coach, dims, fact, gold, plan, scd2
-from liftlake.session import cut_lineage
+from liftlake.session import written
 from liftlake.sources import fixtures as fx
 
 
@@ -104,7 +104,7 @@ class Pipeline:
     @cached_property
     def sessions(self) -> DataFrame:
         """At most 5 rows per exercise, read several times by the analytics."""
-        return cut_lineage(coach.session_history(self.recent_sets), force=True)
+        return written(coach.session_history(self.recent_sets), "sessions")
 
     @cached_property
     def stall(self) -> DataFrame:

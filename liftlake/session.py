@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset, a local
+    session gets a fresh scratch folder (tests); a cluster must name one, as
+    its executors do not share a folder that the driver makes up."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -63,11 +65,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="liftlake-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of their own in the shared folder: later
+    reads prune columns and push filters, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/liftlake-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame, force: bool = False) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder named by the
     session (survives executor loss, unlike a local checkpoint). Without a

@@ -263,16 +263,14 @@ _STORED: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A bronze table as a written table: built once per session and data
-    directory, then kept as a reliable checkpoint in the session's shared
-    checkpoint folder, the way the bronze layer is persisted before silver
-    and gold read it. Every later query of the session reads the stored
-    rows instead of re-deriving them."""
-    from liftlake.session import cut_lineage
+    """A layer table as a written Parquet table in the shared folder, built
+    once per session and data directory, the way the bronze layer is persisted
+    before silver and gold read it."""
+    from liftlake.session import written
     key = (id(spark), sf_dir, name)
     df = _STORED.get(key)
     if df is None or df.sparkSession is not spark:
-        df = cut_lineage(build(), force=True)
+        df = written(build(), name)
         _STORED[key] = df
     return df
 

@@ -287,6 +287,8 @@ def _variant(path_value):
     ("sets is an object", _variant(lambda d: d["exercises"][0].update(sets={"index": 0})), False),
     ("sets is a number", _variant(lambda d: d["exercises"][0].update(sets=5)), False),
     ("a set is a number", _variant(lambda d: d["exercises"][0].update(sets=[5])), False),
+    ("a later set is text", _variant(lambda d: d["exercises"][0]["sets"].append("x")), False),
+    ("a later set is a number", _variant(lambda d: d["exercises"][0]["sets"].append(7)), False),
     ("rep_range is a number", _variant(lambda d: d["exercises"][0]["sets"][0].update(rep_range=5)), False),
     ("null rep_range", _variant(lambda d: d["exercises"][0]["sets"][0].update(rep_range=None)), True),
     ("unknown field with null sets", _variant(lambda d: d.update(meta={"sets": None})), True),
