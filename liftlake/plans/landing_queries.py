@@ -107,7 +107,8 @@ def q_scan_event_pages(spark, d):
 
 @query("enum_dimensions", enums.ORACLE_SQL)
 def q_enum_dimensions(spark, d):
-    return enums.enum_usage(spark, Pipeline(spark, d).bronze.exercise_templates)
+    b = Pipeline(spark, d).bronze
+    return enums.enum_usage(spark, b.exercise_templates, b.workout_sets)
 
 
 @query("table_scan_preview", "SELECT * EXCLUDE (fx_custkey) FROM fx_workouts ORDER BY workout_id LIMIT 5")
