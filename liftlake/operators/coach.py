@@ -132,7 +132,7 @@ def exercise_attributes(gold: DataFrame) -> DataFrame:
     attrs = F.struct(F.col("exercise_index"), F.col("superset_id"), F.col("exercise_name").alias("title"),
                      "primary_muscle_group", "progression_step_kg", F.col("planned_rest").alias("rest_seconds"))
     return (gold.groupBy("routine_id", "exercise_template_id")
-            .agg(F.min_by(attrs, _first_key()).alias("a"), F.first("routine_name", ignorenulls=True).alias("rt"),
+            .agg(F.min_by(attrs, _first_key()).alias("a"), F.max("routine_name").alias("rt"),
                  F.max("cycle_number").alias("last_cycle"))
             .select("routine_id", F.col("rt").alias("routine_title"), "exercise_template_id", "a.*", "last_cycle"))
 

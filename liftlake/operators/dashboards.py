@@ -64,7 +64,12 @@ def plateaus(prog: DataFrame) -> DataFrame:
                                   F.max("rep_max_progression").alias("_worst"),
                                   F.max_by("rep_max_progression", "cycle_number").alias("last_delta"),
                                   F.min_by("rep_max_progression", "cycle_number").alias("previous_delta")))
-    j = n.join(last2, GROUP, "left")
+    # Null names form a group of their own, as in the grouping.
+    last2 = last2.withColumnsRenamed({c: f"_{c}" for c in GROUP})
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    j = n.join(last2, same, "left")
     flag = (F.col("n_cycles") >= 3) & (F.col("_k") == 2) & (F.col("_worst") <= 0)
     return j.select(*GROUP, "n_cycles", F.when(F.col("_k") == 2, F.col("last_delta")).alias("last_delta"),
                     F.when(F.col("_k") == 2, F.col("previous_delta")).alias("previous_delta"),
