@@ -55,7 +55,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("letters", "n_letters", "word_chars", low=75),
     Rule("stop_words", "n_stop_words", "n_words", low=3),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
 )
@@ -181,7 +181,7 @@ f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     concat_ws(',', CASE WHEN 100 * word_chars NOT BETWEEN 250 * n_words AND 1200 * n_words THEN 'word_length' END,
       CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END, CASE WHEN 100 * n_letters < 75 * word_chars THEN 'letters' END,
-      CASE WHEN 100 * n_stop < 3 * n_words THEN 'stop_words' END, CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 'duplicate_lines' END,
+      CASE WHEN 100 * n_stop < 3 * n_words THEN 'stop_words' END, CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'duplicate_lines' END,
       CASE WHEN 100 * bullets > 90 * n_lines THEN 'bullet_lines' END, CASE WHEN 100 * dots > 30 * n_lines THEN 'ellipsis_lines' END) AS failed_rules
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
