@@ -23,8 +23,9 @@ result gives each document's component. The join is exact.
 
 Defined results: null or empty texts, and texts without words, have an empty
 set and form a component of their own; equal rows are one document stated
-twice; a null id orders first and a component led by it has a null id; other
-columns are ignored.
+twice; rows that share an id or have none, but differ in text, are documents of
+their own and meet only by links; a null id orders first and a component with
+one in it has a null id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -388,8 +389,8 @@ def _join(percent: int):
 
 def class_links(docs: DataFrame, leads: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes, enough to connect every component.
-    ``docs`` comes from ``common.keyed``; ``leads`` has (key, lead), each
-    class's smallest document."""
+    ``docs`` comes from ``common.keyed``; ``leads`` has (key, lead), a number
+    for each class."""
     parts = shuffle_partitions(docs.sparkSession)
     buckets = min(parts, 1 << 16)
     dealt = docs.select("text").mapInArrow(_deal(k, buckets), _BLOCK).repartitionById(buckets, "bucket")
@@ -425,14 +426,21 @@ def class_links(docs: DataFrame, leads: DataFrame, k: int = SHINGLE_WORDS, perce
 
 
 def components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(did, th, n_shingles, component): the smallest ``did`` that each document
-    reaches by links. ``docs`` comes from ``common.keyed``."""
+    """(did, th, n_shingles, root, component): the number of the class that
+    stands for each document's component, null for an empty set, and the smallest
+    ``did`` that the document reaches by links. ``docs`` comes from
+    ``common.keyed``."""
     signed = stored(docs.select("did", "th", "text").mapInArrow(_signatures(k), "did long, th long, n_shingles long, key binary"))
-    leads = stored(signed.where("key is not null").groupBy("key").agg(F.min("did").alias("lead")))
-    roots = connected_components(class_links(docs, leads, k, percent, block)).withColumnRenamed("node", "lead")
-    # A root is the smallest class of its component, led by its smallest id.
-    label = leads.join(roots, "lead", "left").select("key", F.coalesce("root", "lead").alias("component"))
-    return signed.join(label, "key", "left").select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"))
+    # Ids may be missing or shared, so classes get numbers; stored ones stay.
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("did").alias("did"))
+    leads = stored(classes.withColumn("lead", F.monotonically_increasing_id()))
+    roots = connected_components(class_links(docs, leads.select("key", "lead"), k, percent, block)).withColumnRenamed("node", "lead")
+    linked = roots.unionByName(roots.select(F.col("root").alias("lead"), "root").distinct())
+    least = linked.join(leads, "lead").groupBy("root").agg(F.min("did").alias("least"))
+    label = leads.join(linked.join(least, "root"), "lead", "left").select(
+        "key", F.coalesce("root", "lead").alias("root"), F.coalesce("least", "did").alias("component")
+    )
+    return signed.join(label, "key", "left").select("did", "th", "n_shingles", "root", F.coalesce("component", "did").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
@@ -445,7 +453,9 @@ def one_of_each_component(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each component left: the smallest id, of
     equal ids the smallest text hash. Columns stay as they are."""
     found = components(keyed(docs), **options)
-    chosen = found.groupBy("component").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
+    # Documents with an empty set are components of their own.
+    own = [F.when(F.col("root").isNull(), F.col(c)).alias(f"own_{c}") for c in ("did", "th")]
+    chosen = found.groupBy("root", *own).agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     rows = keyed(docs, F.struct(*docs.columns).alias("row"))
     kept = rows.join(chosen, ["did", "th"], "left_semi").select("did", "th", "row").dropDuplicates(["did", "th"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

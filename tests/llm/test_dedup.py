@@ -101,6 +101,25 @@ def test_jaccard_edges(odd_docs, odd_rows, no_docs):
     assert not {40, 41, 42, 44, 45} & set(ids)
 
 
+def test_jaccard_keeps_missing_and_shared_ids_apart(spark, odd_docs, odd_rows):
+    rows = [(d, t) for d, t, _ in odd_rows]
+    long = max((t for _, t in rows if t and len(t) < 2000), key=len)
+    rows += [(None, long + " once"), (None, "all else is different here"), (None, "all  else is different HERE"), (None, ""), (60, "a text under a used id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {(brute.order_key(d), t or ""): brute.shingles(t) for d, t in rows}
+    want = brute.components(sets)
+    public = lambda d: None if d == brute.order_key(None) else d
+    got = trie_join.jaccard_components(docs).collect()
+    by_id = lambda x: (brute.order_key(x[0]), x[1], brute.order_key(x[2]))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=by_id) == sorted(
+        ((d, len(sets[brute.order_key(d), t or ""]), public(want[brute.order_key(d), t or ""][0])) for d, t in rows), key=by_id
+    )
+    kept = trie_join.one_of_each_component(docs).collect()
+    assert len(kept) == len(set(want.values()))
+    assert {want[brute.order_key(r.doc_id), r.text or ""] for r in kept} == set(want.values())
+    assert sum(r.doc_id is None for r in kept) >= 3
+
+
 def test_prefix_tree_finds_all_components():
     rng = random.Random(11)
     for _ in range(150):
