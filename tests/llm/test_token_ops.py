@@ -24,6 +24,20 @@ def test_piecewise_ids_equal_whole_ids(name, odd_rows):
         assert encode(text) == encode.whole(text), repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_file_as_given(name, odd_rows):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    encode, given = TextIds(path), Tokenizer.from_file(path)
+    added = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "<|im_start|>"]
+    glued = [f(a) for a in added for f in (str, "{} hi".format, "a {}b".format, "word {} {}\n".replace("{} {}", a + " " + a).format, "no {}.".format)]
+    for text in [*SPACES, *MARKS, *LETTERS, *glued, *(t or "" for _, t, _ in odd_rows)]:
+        want = given.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text)
+    assert np.frombuffer(encode("<|endoftext|> hi"), "<u4").tolist() == {"byte_bpe_50k.json": [50256, 23105], "word_bpe_49k.json": [49407, 1883]}[name]
+
+
 def _ids(name, odd_rows, end):
     encode = TextIds(tokenizer_path(name))
     return {(brute.order_key(d), t or ""): encode.whole(t or "") + end.to_bytes(4, "little") for d, t, _ in odd_rows}
