@@ -5,7 +5,9 @@ presence only); the kernel of two texts is the number of n-grams they share
 over the geometric mean of their numbers. Landmark texts give a Nystroem
 feature map, on which one-versus-rest kernel ridge regression is solved in
 closed form. A block of texts is scored by two matrix products: presence by
-landmarks, then by the coefficients.
+landmarks, then by the coefficients. Every letter of the sample counts as itself
+whatever its script (class 0 is anything but a letter, class 1 a letter that the
+sample lacks, whose n-grams are none of its features).
 
 The model is fitted on a bounded sample of the labelled rows outside the
 held-out fold: the ``per_language`` smallest hashes of each language, at most
@@ -20,7 +22,6 @@ is ``und``; repeated rows get equal results; other columns are ignored.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +39,11 @@ SAMPLE_ROWS = 4000
 MAX_FIT_CHARS = 20_000
 LANDMARKS = 128
 RIDGE = 1e-3
-# Character classes: 0 is anything but a letter, 1 a letter outside the alphabet.
-CLASSES = 64
+# Texts scored at once and, with many n-grams, presence cells at once.
 BLOCK_TEXTS = 256
+BLOCK_CELLS = 1 << 26
+# Gram codes are looked up in a table up to this size, else by binary search.
+TABLE_CODES = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -63,10 +66,11 @@ def code_points(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, starts[bounds]
 
 
-def grams(classes: np.ndarray, n: int) -> np.ndarray:
-    code = classes[: len(classes) - n + 1].astype(np.int32)
+def grams(classes: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Codes of the n-grams of a run of classes below ``base``."""
+    code = classes[: len(classes) - n + 1].astype(np.int32 if base**n < 1 << 31 else np.int64)
     for i in range(1, n):
-        code = code * CLASSES + classes[i : len(classes) - n + 1 + i]
+        code = code * base + classes[i : len(classes) - n + 1 + i]
     return code
 
 
@@ -74,30 +78,57 @@ def grams(classes: np.ndarray, n: int) -> np.ndarray:
 class Model:
     languages: list[str]
     classes: np.ndarray  # by code point
-    features: list[np.ndarray]  # for each length, gram code to feature or -1
-    landmarks: np.ndarray  # features x landmarks, divided by the landmark's norm
+    base: int  # number of classes
+    codes: list[np.ndarray]  # for each length, the sample's gram codes in order
+    tables: list[np.ndarray | None]  # for each length, gram code to feature or -1 where that is a small table
+    size: int  # features
+    marks: np.ndarray  # features x landmarks, as packed bits
+    norms: np.ndarray  # by landmark
     weights: np.ndarray  # landmarks x languages
 
-    def presence(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Texts by features, 1 where the text has the n-gram."""
-        out = np.zeros((len(bounds) - 1, len(self.landmarks)), np.float32)
+    @property
+    def block(self) -> int:
+        """Texts whose presence fits a task's memory."""
+        return max(1, min(BLOCK_TEXTS, BLOCK_CELLS // max(1, self.size)))
+
+    def features(self, code: np.ndarray, n: int) -> np.ndarray:
+        if self.tables[n - 1] is not None:
+            return self.tables[n - 1][code]
+        own = self.codes[n - 1]
+        at = np.minimum(np.searchsorted(own, code), len(own) - 1)
+        return np.where(own[at] == code, at + sum(map(len, self.codes[: n - 1])), -1)
+
+    def presence(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts by the features that occur in them, 1 where the text has the
+        n-gram, and those features."""
         classes = self.classes[points]
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        for n, features in enumerate(self.features, 1):
-            if len(classes) < n:
+        place, every = np.zeros(self.size, np.int32), []
+        for n in range(1, len(self.codes) + 1):
+            if len(classes) < n or not len(self.codes[n - 1]):
                 continue
-            found = features[grams(classes, n)]
+            found = self.features(grams(classes, n, self.base), n)
             last = len(found)
             ok = (found >= 0) & (text[:last] == text[n - 1 : n - 1 + last])
-            out[text[:last][ok], found[ok]] = 1
-        return out
-
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(presence.sum(axis=1), 1))
-        return presence @ self.landmarks / norm[:, None]
+            every.append((text[:last][ok], found[ok]))
+            place[found[ok]] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        out = np.zeros((len(bounds) - 1, len(used)), np.float32)
+        for rows, found in every:
+            out[rows, place[found]] = 1
+        return out, used
+
+    def kernel(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        presence, used = self.presence(points, bounds)
+        shared = np.zeros((len(presence), len(self.norms)), np.float32)
+        for a in range(0, len(used), 1 << 15):
+            marks = np.unpackbits(self.marks[used[a : a + (1 << 15)]], axis=1, count=len(self.norms))
+            shared += presence[:, a : a + (1 << 15)] @ marks.astype(np.float32)
+        return shared / np.sqrt(np.maximum(presence.sum(axis=1), 1))[:, None] / self.norms
 
     def scores(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return self.kernel(self.presence(points, bounds)) @ self.weights
+        return self.kernel(points, bounds) @ self.weights
 
 
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,39 +142,43 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     languages = sorted(set(labels))
     points, bounds = _flat(texts)
     lowered = _lowered()
-    letters = lowered[points]
-    common = [c for c, _ in sorted(Counter(letters[letters > 0].tolist()).items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
-    by_letter = np.ones(0x110000, np.uint8)
+    alphabet = np.flatnonzero(np.bincount(lowered[points], minlength=2)[1:]) + 1
+    by_letter = np.ones(0x110000, np.int32)
     by_letter[0] = 0
-    by_letter[common] = np.arange(2, 2 + len(common))
+    by_letter[alphabet] = np.arange(2, 2 + len(alphabet))
     classes = by_letter[lowered]
-    classes[lowered == 0] = 0
-    own = classes[points]
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    features, size = [], 0
+    base = 2 + len(alphabet)
+    codes, tables, size = [], [], 0
     for n in (1, 2, 3):
-        table = np.full(CLASSES**n, -1, np.int32)
-        if len(own) >= n:
-            inside = text[: len(own) - n + 1] == text[n - 1 :]
-            found = np.unique(grams(own, n)[inside])
-            table[found] = np.arange(size, size + len(found))
-            size += len(found)
-        features.append(table)
+        found = [np.zeros(0, np.int64)]
+        for a in range(0, len(texts), BLOCK_TEXTS):
+            at = bounds[a : a + BLOCK_TEXTS + 1]
+            own, text = classes[points[at[0] : at[-1]]], np.repeat(np.arange(len(at) - 1), np.diff(at))
+            if len(own) >= n:
+                found.append(np.unique(grams(own, n, base)[text[: len(own) - n + 1] == text[n - 1 :]]))
+        codes.append(np.unique(np.concatenate(found)))
+        tables.append(None)
+        if base**n <= TABLE_CODES:
+            tables[-1] = np.full(base**n, -1, np.int32)
+            tables[-1][codes[-1]] = np.arange(size, size + len(codes[-1]))
+        size += len(codes[-1])
     turn: dict[str, int] = {}
     order = []
     for i, label in enumerate(labels):
         turn[label] = turn.get(label, 0) + 1
         order.append((turn[label], label, i))
     picked = [i for _, _, i in sorted(order)[:landmarks]]
-    model = Model(languages, classes, features, np.zeros((size, 1), np.float32), np.zeros((1, 1), np.float32))
-    rows = [model.presence(points[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]])) for i in picked]
-    marks = np.concatenate(rows)
-    model.landmarks = np.ascontiguousarray((marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]).T.astype(np.float32))
+    norms = np.ones(len(picked), np.float32)
+    model = Model(languages, classes, base, codes, tables, size, np.zeros((size, -(-len(picked) // 8)), np.uint8), norms, np.zeros((1, 1), np.float32))
+    for j, i in enumerate(picked):
+        _, used = model.presence(points[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
+        model.marks[used, j >> 3] |= np.uint8(128 >> (j & 7))
+        norms[j] = np.sqrt(max(1, len(used)))
     kernel = np.concatenate([
-        model.kernel(model.presence(points[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]))
-        for a in range(0, len(texts), BLOCK_TEXTS) for b in [min(a + BLOCK_TEXTS, len(texts))]
+        model.kernel(points[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        for a in range(0, len(texts), model.block) for b in [min(a + model.block, len(texts))]
     ]).astype(np.float64)
-    among = model.kernel(marks).astype(np.float64)
+    among = kernel[picked]
     # Nystroem map: the inverse square root of the landmarks' own kernel.
     value, vector = np.linalg.eigh((among + among.T) / 2)
     use = value > 1e-6 * value.max()
@@ -188,8 +223,9 @@ def _predict(shared):
                 points, at = code_points(raw, bounds)
                 letter = np.concatenate(([0], np.cumsum(lowered[points] > 0)))
                 known = letter[at[1:]] > letter[at[:-1]]
-                for a in range(0, len(known), BLOCK_TEXTS):
-                    b = min(a + BLOCK_TEXTS, len(known))
+                step = model.block if model else BLOCK_TEXTS
+                for a in range(0, len(known), step):
+                    b = min(a + step, len(known))
                     if model is None:
                         names += ["und"] * (b - a)
                         scores += [0.0] * (b - a)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -112,6 +113,27 @@ def test_language_id(spark, odd_docs, odd_rows, no_docs):
     assert language_id.predict_languages(no_docs.withColumn("lang", F.lit("xx"))).count() == 0
 
 
+def test_languages_of_one_rare_script_differ(monkeypatch):
+    rng = random.Random(8)
+    script = lambda a, n: [chr(c) for c in range(a, a + n)]
+    letters = {"en": script(0x61, 26), "ru": script(0x430, 32), "el": script(0x3B1, 17), "zh": script(0x4E00, 200)}
+    letters |= {"he": script(0x5D0, 13), "yi": script(0x5DD, 13), "ja": script(0x4E00 + 200, 200)}
+
+    def text(lang):
+        n = 40 if lang in ("he", "yi") else 300
+        return " ".join("".join(rng.choices(letters[lang], k=4)) for _ in range(n))
+
+    for codes in (1 << 20, 1):
+        monkeypatch.setattr(language_id, "TABLE_CODES", codes, raising=False)
+        rows = [(text(lang), lang) for _ in range(12) for lang in letters]
+        model = language_id.fit([t for t, _ in rows], [lang for _, lang in rows])
+        fresh = [(text(lang), lang) for _ in range(5) for lang in letters]
+        for step in (1, len(fresh)):
+            for a in range(0, len(fresh), step):
+                best = model.scores(*language_id._flat([t for t, _ in fresh[a : a + step]])).argmax(axis=1)
+                assert [model.languages[j] for j in best] == [lang for _, lang in fresh[a : a + step]]
+
+
 def test_preferences(spark):
     data = [
         (1, 0, "user", "hi", "x"), (1, 1, "assistant", "hello", "x"), (1, 2, "user", "more", "x"), (1, 3, "assistant", "sure", "x"),
