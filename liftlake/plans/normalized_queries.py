@@ -166,7 +166,12 @@ def q_check_primary_keys(spark, d):
     lg = Legacy(spark, d)
     parts = [nm.pk_violations(nm.norm_routines(lg.flat_routines), "silver_routines", ["id"]),
              nm.pk_violations(nm.norm_workouts_priority(lg.flat_workouts), "silver_workouts", ["id"]),
-             nm.pk_violations(lg.templates_norm(), "silver_exercise_templates", ["id"], ["title"])]
+             nm.pk_violations(lg.templates_norm(), "silver_exercise_templates", ["id"], ["title"]),
+             nm.pk_violations(nm.norm_folders(lg.folders), "silver_routine_folders", ["id"]),
+             nm.pk_violations(lg.routine_exercises(), "silver_routine_exercises", ["id"]),
+             nm.pk_violations(lg.workout_exercises(), "silver_workout_exercises", ["id"]),
+             nm.pk_violations(lg.progression, "silver_exercise_progression", ["exercise_title"]),
+             *(nm.pk_violations(df, table, ["name"]) for table, df in nm.norm_enums(spark).items())]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -371,3 +371,18 @@ def test_coach_context_without_history_and_its_indented_text(spark):
     assert contexts[2]["analytics"] == {"stall_streak": 0, "e1rm_current": 0.0, "e1rm_trend_percent": 0.0, "avg_rpe_last_3": 0.0,
                                         "status": "NEW", "recommended_action": "LINEAR_LOAD"}
     assert contexts[2]["base_increment"] == 2.5 and contexts[2]["history_summary"] == []
+
+
+def test_primary_keys_of_all_keyed_tables_are_checked(spark, monkeypatch):
+    from liftlake.operators import normalized as nm
+    from liftlake.plans.normalized_queries import q_check_primary_keys
+    from tests.conftest import SF_SMALL
+
+    def twice(fn):
+        return lambda *args: (lambda df: df.unionByName(df.limit(2)).unionByName(df.limit(1).withColumn(df.columns[0] if "id" not in df.columns else "id", F.lit(None))))(fn(*args))
+
+    for name in ("norm_folders", "norm_routine_exercises", "norm_workout_exercises", "norm_progression"):
+        monkeypatch.setattr(nm, name, twice(getattr(nm, name)))
+    got = {(r.table_name, r.problem) for r in q_check_primary_keys(spark, SF_SMALL).collect()}
+    tables = {"silver_routine_folders", "silver_routine_exercises", "silver_workout_exercises", "silver_exercise_progression"}
+    assert {(t, p) for t in tables for p in ("duplicate key", "null key")} <= got
