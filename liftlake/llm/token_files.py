@@ -4,8 +4,10 @@ Documents are ordered by id over range partitions, tokenized, closed with an
 end id and cut into shards of about a million ids. A shard repeats Re-Pair
 rounds: its most frequent pairs of neighbouring symbols become nonterminals.
 One round replaces many pairs at once, chosen so that no symbol is the left
-part of one and the right part of another; their places then never overlap. No
-pair goes over the end of a document, so each document is a slice of symbols.
+part of one and the right part of another; their places then never overlap. Of
+a run of one symbol every second pair counts. Rounds end when no pair is left
+that occurs ``MIN_COUNT`` times. No pair goes over the end of a document, so each
+document is a slice of symbols.
 
 File format: a Parquet table in the given folder, one row for each shard:
 ``part``, ``shard`` (order), ``n_tokens``, ``terminals`` (ids below it stand
@@ -39,7 +41,6 @@ from .tokens import text_ids, tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 3
 PAIRS_A_ROUND = 2048
 MIN_COUNT = 24
 
@@ -81,18 +82,16 @@ def spell(symbols: np.ndarray, ids: np.ndarray, first: np.ndarray, length: np.nd
     return ids[np.repeat(first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def re_pair(ids: np.ndarray, end_id: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> Grammar:
+def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> Grammar:
     terminals = int(ids.max()) + 1 if len(ids) else 1
-    if terminals < 1 << 16:
-        pairs_left = (1 << 16) - terminals  # symbols then fit 16 bits
-    else:
-        pairs_left = rounds * pairs
     symbols, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(symbols) < 2 or not pairs_left:
-            break
+    while len(symbols) > 1:
         key = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
         inside = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+        same = symbols[:-1] == symbols[1:]
+        places = np.arange(len(same))
+        run = np.maximum.accumulate(np.where(same & np.concatenate(([True], ~same[:-1])), places, 0))
+        inside &= ~same | ((places - run) % 2 == 0)
         ordered = np.sort(key[inside])
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(heads, len(ordered)))
@@ -101,22 +100,21 @@ def re_pair(ids: np.ndarray, end_id: int, rounds: int = ROUNDS, pairs: int = PAI
         left, right, chosen = set(), set(), []
         for k in ordered[heads[often]].tolist():
             a, b = k >> 32, k & 0xFFFFFFFF
-            if a not in right and b not in left and a != b:
+            if a not in right and b not in left:
                 left.add(a)
                 right.add(b)
                 chosen.append(k)
-                if len(chosen) == min(pairs, pairs_left):
+                if len(chosen) == pairs:
                     break
         if not chosen:
             break
         base = terminals + len(rules)
         rules.extend((k >> 32, k & 0xFFFFFFFF) for k in chosen)
-        pairs_left -= len(chosen)
         wanted = np.array(chosen, np.uint64)
         order = np.argsort(wanted)
         is_left = np.zeros(base, bool)
         is_left[list(left)] = True
-        maybe = np.flatnonzero(is_left[symbols[:-1]])
+        maybe = np.flatnonzero(is_left[symbols[:-1]] & inside)
         at = np.searchsorted(wanted[order], key[maybe])
         at[at == len(wanted)] = 0
         hit = wanted[order][at] == key[maybe]

@@ -97,6 +97,22 @@ def test_re_pair_round_trip_and_random_access():
             assert grammar.expand(100, 200).tolist() == ids[reached[99] : reached[199]].tolist()
 
 
+def test_re_pair_ends_without_a_frequent_pair():
+    rng = np.random.default_rng(9)
+    text = np.append(rng.integers(3, 5000, 700), 2)
+    runs = np.concatenate([np.append(np.full(n, 7), 2) for n in (5, 1, 3000, 64, 2, 2, 0)])
+    for ids, most in ((np.tile(text, 40), 200), (runs, 120), (np.concatenate([np.tile(text, 30), runs]), 400)):
+        grammar = token_files.re_pair(ids.astype(np.uint32), end_id=2, min_count=24)
+        assert grammar.expand().tolist() == ids.tolist()
+        assert len(grammar.symbols) < most
+        counts, free = {}, -1
+        for i, pair in enumerate(zip(grammar.symbols[:-1].tolist(), grammar.symbols[1:].tolist())):
+            if 2 not in pair and not (pair[0] == pair[1] and i == free):
+                counts[pair] = counts.get(pair, 0) + 1
+                free = i + 1 if pair[0] == pair[1] else -1
+        assert max(counts.values(), default=0) < 24
+
+
 def test_token_files_round_trip(spark, odd_docs, odd_rows, no_docs):
     want = _ids("byte_bpe_50k.json", odd_rows, 2)
     folder = token_files.write_token_files(odd_docs, f"{shared_folder(spark)}/tokens", shard_tokens=900)
