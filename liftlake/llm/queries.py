@@ -9,7 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, packing, preferences, quality_rules, source_mix, substring_dedup, suffix_dedup, token_files, trie_join
+from . import (
+    alignment, fingerprints, hard_negatives, language_id, packing, preferences, quality_rules, source_mix, substring_dedup, suffix_dedup, token_files,
+    tree_bpe, trie_join,
+)
 
 _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
@@ -22,6 +25,9 @@ _FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
+    "op11_bpe_codec": tree_bpe.op11,
+    "op12_token_alignment": alignment.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,6 +37,7 @@ ORACLES: dict[str, str] = {
     "op6_source_mix": source_mix.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
 
 
