@@ -32,6 +32,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ CHUNK_CHARS = 1 << 22
 MAX_UNITS, MAX_CHARS = 1 << 19, 1 << 25
 # Characters of new units in one product.
 BATCH_CHARS = 1 << 16
+# In place of numbers: white space at an edge, bytes that differ.
+EDGE, DIFFERS = -2, -1
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -130,81 +133,106 @@ class Aligner:
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.match(p)) else p.replace("\u2581", " ").encode() for p in pieces]
         # Cuts before a space are safe if no piece goes over one.
         self.cuts = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        table = lambda named: np.array([len(named.get(i, b"")) for i in range(max(named) + 1)], np.int64)
+        self.length_a, self.length_b = table(self.bytes_a), table(dict(enumerate(self.bytes_b)))
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}  # -1: a tokenizer's bytes differ
+        self.numbers: dict[str, int] = {}  # by unit
+        self.apart: dict[str, int] = {}  # by unit with white space at an edge
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int, int]] = []  # A tokens, B tokens, groups
+        self.sizes = np.zeros((0, 3), np.int64)  # A tokens, B tokens, groups
+        self.pairs, self.pair_ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.chars = 0
 
-    def tokens(self, unit: str) -> tuple[list[int], list[int]] | None:
-        """Ids of space + unit by both tokenizers, None if their bytes differ
+    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of space + text by both tokenizers, None if their bytes differ
         from it."""
-        a = self.a.encode(" " + unit, add_special_tokens=False).ids
-        b = self.b.encode(unit)
-        raw = b" " + unit.encode()
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        raw = b" " + text.encode()
         if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
         return a, b
 
     def ends(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum([len(self.bytes_a[i]) for i in a], dtype=np.int64), np.cumsum([len(self.bytes_b[i]) for i in b], dtype=np.int64)
-
-    def cut(self, text: str) -> list[str]:
-        """The units of a text that is not empty."""
-        if not self.cuts:
-            return [text]
-        words = text.split(" ")
-        if all([w and not w[0].isspace() and not w[-1].isspace() for w in words]):
-            return words
-        first, *rest = _CUT.split(" " + text)
-        return [first[1:], *rest]
-
-    def learn(self, units: Iterable[str]) -> None:
-        """Numbers for units not met before, by products over many at once."""
+        return np.cumsum(self.length_a[np.array(a, np.int64)]), np.cumsum(self.length_b[np.array(b, np.int64)])
+
+    def numbered(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's units; none for a text without tokens."""
+        cut = [t.split(" ") if t and self.cuts else [t] * bool(t) for t in texts]
+        self._learn(self.numbers, dict.fromkeys(chain.from_iterable(cut)), alone=not self.cuts)
+        out = []
+        for text, words in zip(texts, cut):
+            found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            if len(found) and found.min() == EDGE:
+                first, *rest = _CUT.split(" " + text)
+                words = [first[1:], *rest]
+                self._learn(self.apart, dict.fromkeys(words), True)
+                found = np.fromiter(map(self.apart.__getitem__, words), np.int64, len(words))
+            out.append(found if len(found) and found.min() >= 0 else found[:0])
+        return out
+
+    def _learn(self, numbers: dict[str, int], units: Iterable[str], alone: bool) -> None:
+        """Numbers for units not met before. Units without white space at their
+        edges are encoded together, a space apart, as they lie in texts."""
         batch, size = [], 0
         for unit in units:
-            if unit in self.numbers:
+            if unit in numbers:
                 continue
             self.chars += len(unit)
-            found = self.tokens(unit)
-            if found is None:
-                self.numbers[unit] = -1
+            if alone:
+                self._settle(numbers, [unit])
                 continue
-            self.numbers[unit] = len(self.groups) + len(batch)
-            batch.append((unit, *found))
+            if not unit or unit[0].isspace() or unit[-1].isspace():
+                numbers[unit] = EDGE
+                continue
+            batch.append(unit)
             size += len(unit)
             if size >= BATCH_CHARS:
-                self._settle(batch)
+                self._settle(numbers, batch)
                 batch, size = [], 0
         if batch:
-            self._settle(batch)
-
-    def _settle(self, batch: list[tuple[str, list[int], list[int]]]) -> None:
-        ids_a, ids_b = [i for _, a, _ in batch for i in a], [i for _, _, b in batch for i in b]
-        ends_a, ends_b = self.ends(ids_a, ids_b)
+            self._settle(numbers, batch)
+
+    def _settle(self, numbers: dict[str, int], units: list[str]) -> None:
+        found = self.tokens(" ".join(units))
+        if found is None:
+            if len(units) == 1:
+                numbers[units[0]] = DIFFERS
+            else:
+                for unit in units:
+                    self._settle(numbers, [unit])
+            return
+        ids_a, ids_b = np.array(found[0], np.int64), np.array(found[1], np.int64)
+        ends_a, ends_b = self.ends(*found)
         links, shared, cuts = align(ends_a, ends_b)
-        pairs = np.array(ids_a, np.int64)[links.rows()] << 32 | np.array(ids_b, np.int64)[links.indices]
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        past = np.searchsorted(cuts, unit_ends) + 1  # groups up to each unit's end
+        past_a, past_b = np.searchsorted(ends_a, unit_ends) + 1, np.searchsorted(ends_b, unit_ends) + 1
         # A group's B tokens are linked with its first A token, and so back.
-        back = shared.transposed()
-        heads_a = np.searchsorted(ends_a, np.concatenate(([0], cuts[:-1])), side="right").tolist()
-        heads_b = np.searchsorted(ends_b, np.concatenate(([0], cuts[:-1])), side="right").tolist()
-        names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-        mates, mates_at, own, own_at = shared.indices.tolist(), shared.indptr.tolist(), back.indices.tolist(), back.indptr.tolist()
-        sides = [
-            ",".join([names_a[i] for i in own[own_at[b] : own_at[b + 1]]]) + "|" + ",".join([names_b[i] for i in mates[mates_at[a] : mates_at[a + 1]]])
-            for a, b in zip(heads_a, heads_b)
-        ]
-        at_a = at_group = 0
-        last_groups = np.searchsorted(cuts, ends_a).tolist()
-        for _, a, b in batch:
-            past = last_groups[at_a + len(a) - 1] + 1
-            self.groups.append(";".join(sides[at_group:past]))
-            self.pairs.append(pairs[links.indptr[at_a] : links.indptr[at_a + len(a)]].copy())
-            self.sizes.append((len(a), len(b), past - at_group))
-            at_a, at_group = at_a + len(a), past
+        starts = np.concatenate(([0], cuts[:-1]))
+        in_b = np.diff(shared.indptr)[np.searchsorted(ends_a, starts, side="right")]
+        in_a = np.diff(shared.transposed().indptr)[np.searchsorted(ends_b, starts, side="right")]
+        # Names in the order A side, B side of each group, each with the mark after it.
+        side = np.repeat(np.tile([0, 1], len(cuts)), np.stack([in_a, in_b], 1).ravel())
+        names = np.empty(len(side), np.int64)
+        names[side == 0], names[side == 1] = ids_a, ids_b
+        marks = np.full(len(side), ",", "U1")
+        group_ends = np.cumsum(in_a + in_b)
+        marks[group_ends - in_b - 1], marks[group_ends - 1] = "|", ";"
+        unit_at = group_ends[past - 1]
+        marks[unit_at - 1] = ""
+        mixed = [None] * (2 * len(side))
+        mixed[::2], mixed[1::2] = map(str, names.tolist()), marks.tolist()
+        first = len(self.groups)
+        numbers.update(zip(units, range(first, first + len(units))))
+        at = [0, *(2 * unit_at).tolist()]
+        self.groups += ["".join(mixed[x:y]) for x, y in zip(at, at[1:])]
+        own = ids_a[links.rows()] << 32 | ids_b[links.indices]
+        last = self.pair_ends[-1] if len(self.pair_ends) else 0
+        self.sizes = np.concatenate((self.sizes, np.diff(np.stack([past_a, past_b, past], 1), axis=0, prepend=0)))
+        self.pairs, self.pair_ends = np.concatenate((self.pairs, own)), np.concatenate((self.pair_ends, last + links.indptr[past_a]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -223,14 +251,17 @@ _CHUNK_ARROW = pa.schema([
 ])
 
 
+def _spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def chunk_row(own: Aligner, chunk: int, doc_ids: list[int | None], texts: list[str]) -> tuple:
     """A chunk's documents: sizes (A tokens, B tokens, groups, links) and digest
     of each, which of the chunk's pairs each holds and how often, and the pairs
     with their number of documents."""
-    cut = [own.cut(t) if t else [] for t in texts]
-    own.learn(dict.fromkeys(w for words in cut for w in words))
-    numbers = [np.array(list(map(own.numbers.__getitem__, words)), np.int64) for words in cut]
-    numbers = [n if len(n) and n.min() >= 0 else n[:0] for n in numbers]
+    numbers = own.numbered(texts)
     digests = [hashlib.sha256(";".join(map(own.groups.__getitem__, n.tolist())).encode()).digest() if len(n) else bytes(32) for n in numbers]
     used, unit = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_inverse=True)
     doc = np.repeat(np.arange(len(texts)), [len(n) for n in numbers])
@@ -238,14 +269,14 @@ def chunk_row(own: Aligner, chunk: int, doc_ids: list[int | None], texts: list[s
     # A document's units, then their pairs, each with how often it occurs.
     held, often = np.unique(doc * max(len(used), 1) + unit, return_counts=True)
     doc, unit = np.divmod(held, max(len(used), 1))
-    of_unit = np.array([own.sizes[u] for u in used.tolist()], np.int64).reshape(-1, 3)
-    np.add.at(sizes[:, :3], doc, of_unit[unit] * often[:, None])
-    lists = [own.pairs[u] for u in used.tolist()]
-    length = np.array([len(x) for x in lists], np.int64)
-    pairs, place = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_inverse=True)
+    np.add.at(sizes[:, :3], doc, own.sizes[used][unit] * often[:, None])
+    first = np.concatenate(([0], own.pair_ends))[used]
+    length = own.pair_ends[used] - first
+    at = _spread(first, length)
+    pairs, place = np.unique(own.pairs[at], return_inverse=True)
     first = np.cumsum(length) - length
-    n = length[unit] if len(unit) else np.zeros(0, np.int64)
-    at = np.repeat(first[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(unit) else np.zeros(0, np.int64)
+    n = length[unit]
+    at = _spread(first[unit], n)
     key = np.repeat(doc, n) * max(len(pairs), 1) + place[at]
     order = np.argsort(key, kind="stable")
     key, weight = key[order], np.repeat(often, n)[order]

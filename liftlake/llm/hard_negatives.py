@@ -48,7 +48,8 @@ LOW, HIGH = 30, 90
 SCALE, LIMIT = 256, 1 << 26
 BLOCK_ROWS = 4096
 PACK_ANCHORS = 2048
-GROUP_ROWS = 1 << 20
+# Components that the blocks of one cell hold at most, on average.
+CELL_NUMBERS = 1 << 24
 # Dimensions read between two looks at the bitmap.
 STEP = 8
 # Below this, sums of whole numbers are exact in doubles.
@@ -279,7 +280,8 @@ def _on_grid(blocks: DataFrame, anchors: DataFrame, packs: int, parts: int, nega
         F.lit(None).cast("long").alias("anchor_id"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<int>").alias("vector"),
         F.lit(None).cast("array<long>").alias("scores"), "n", "width", "ids", "no_id", "labels", "columns",
     )
-    cells = left.unionByName(right).repartition(shuffle_partitions(blocks.sparkSession), "pack", "part").sortWithinPartitions("pack", "part", "block", "anchor_id")
+    tasks = max(shuffle_partitions(blocks.sparkSession), packs * parts)
+    cells = left.unionByName(right).repartition(tasks, "pack", "part").sortWithinPartitions("pack", "part", "block", "anchor_id")
     return cells.mapInArrow(_cells(negatives), _FOUND)
 
 
@@ -291,7 +293,7 @@ def _first(found: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def hard_negatives(
     rows: DataFrame, anchor: Column | str = f"vec_id % {ANCHOR_EVERY} = 0", block_rows: int = BLOCK_ROWS, pack_anchors: int = PACK_ANCHORS,
-    group_rows: int = GROUP_ROWS,
+    cell_numbers: int = CELL_NUMBERS,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score,
     negative_score) for the rows ``anchor`` picks, against all rows."""
@@ -304,10 +306,10 @@ def hard_negatives(
     picked.groupBy(F.col("vec_id").alias("anchor_id"), "label", "vector").agg(F.count(F.lit(1)).alias("copies")).write.parquet(f"{folder}/anchors")
     anchors = spark.read.parquet(f"{folder}/anchors")
     n_anchors = anchors.count()
-    n_rows = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    numbers = blocks.agg(F.coalesce(F.sum(F.col("n").cast("long") * (F.col("width") + 4)), F.lit(0))).first()[0]
     packs = -(-n_anchors // pack_anchors) or 1
-    # Enough cells for all tasks, and none of more than so many rows.
-    parts = max(1, -(-shuffle_partitions(spark) // packs), -(-n_rows // group_rows))
+    # Enough cells for all tasks, and small ones: a task reads one or a few.
+    parts = max(1, -(-shuffle_partitions(spark) // packs), -(-numbers // cell_numbers))
 
     own_score = F.aggregate(F.transform("vector", lambda x: x.cast("long") * x), F.lit(0).cast("long"), lambda a, x: a + x)
     near = _first(_on_grid(blocks, anchors.withColumn("scores", F.lit(None).cast("array<long>")), packs, parts, False), _KEY, POSITIVES + 1)
