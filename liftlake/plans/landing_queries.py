@@ -10,7 +10,7 @@ from liftlake.operators import validate as va
 from liftlake.plans.oracle_sql import _SCD_ALL, cte
 from liftlake.plans.pipeline import Pipeline
 from liftlake.plans.registry import REGISTRY, query
-from liftlake.sources import enums, landing, sinks
+from liftlake.sources import enums, landing, page_files, sinks
 from liftlake.sources import fixtures as fx
 
 RUN_TS = fx.SNAPSHOT_RUN_TS[1]
@@ -20,14 +20,28 @@ def run_ts():
     return fx.ts(RUN_TS)
 
 
+_PAGES = {
+    "workouts": landing.landed_workout_pages, "routines": landing.landed_routine_pages, "exercise_templates": landing.landed_template_pages,
+    "routine_folders": landing.landed_folder_pages, "events": landing.landed_event_pages,
+}
+
+
+def _pages(spark, d, entity: str) -> DataFrame:
+    """Landed page files of an entity, read once into a table of pages."""
+    multi_line = entity in landing.MULTI_LINE
+
+    def land(path: str) -> None:
+        landing.write_pages(landing.with_failed_downloads(_PAGES[entity](spark, d)), path, multi_line)
+
+    def read() -> DataFrame:
+        return page_files.read_pages(spark, fx.landed(spark, d, f"landing-{entity}", land), entity, multi_line)
+
+    return fx.stored(spark, d, f"pages-{entity}", read)
+
+
 def _items(spark, d, entity: str) -> DataFrame:
-    """Landed pages of an entity (stored once per session, like files in a
-    landing folder), one row per raw item."""
-    builders = {"workouts": landing.landed_workout_pages, "routines": landing.landed_routine_pages,
-                "exercise_templates": landing.landed_template_pages, "routine_folders": landing.landed_folder_pages,
-                "events": landing.landed_event_pages}
-    pages = fx.stored(spark, d, f"pages-{entity}", lambda: builders[entity](spark, d))
-    return landing.parse_pages(pages, entity)
+    """One row per raw item of the landed pages that count."""
+    return page_files.page_items(_pages(spark, d, entity))
 
 
 def _valid(spark, d, entity: str, **kw) -> DataFrame:
@@ -80,31 +94,69 @@ RUN = "TIMESTAMP '1999-01-01 00:00:00'"
 
 
 # ------------------------------------------------------------------ A: scans
-@query("scan_workout_pages", "SELECT CAST(CAST(workout_id AS BIGINT) // 10 + 1 AS INTEGER) AS page, workout_id AS id FROM fx_workouts")
+@query("scan_workout_pages", "SELECT CAST(CAST(workout_id AS BIGINT) // 10 + 1 AS BIGINT) AS page, workout_id AS id FROM fx_workouts")
 def q_scan_workout_pages(spark, d):
     return _items(spark, d, "workouts").select("page", F.get_json_object("item", "$.id").alias("id"))
 
 
-@query("scan_routine_pages", "SELECT CAST(CAST(routine_id AS BIGINT) // 10 + 1 AS INTEGER) AS page, routine_id AS id FROM fx_routines")
+@query("scan_routine_pages", "SELECT CAST(CAST(routine_id AS BIGINT) // 10 + 1 AS BIGINT) AS page, routine_id AS id FROM fx_routines")
 def q_scan_routine_pages(spark, d):
     return _items(spark, d, "routines").select("page", F.get_json_object("item", "$.id").alias("id"))
 
 
-@query("scan_template_pages", "SELECT CAST(CAST(id AS BIGINT) // 100 + 1 AS INTEGER) AS page, id FROM fx_templates")
+@query("scan_template_pages", "SELECT CAST(CAST(id AS BIGINT) // 100 + 1 AS BIGINT) AS page, id FROM fx_templates")
 def q_scan_template_pages(spark, d):
     return _items(spark, d, "exercise_templates").select("page", F.get_json_object("item", "$.id").alias("id"))
 
 
-@query("scan_folder_pages", "SELECT CAST(n_nationkey // 10 + 1 AS INTEGER) AS page, CAST(n_nationkey AS VARCHAR) AS id FROM nation")
+@query("scan_folder_pages", "SELECT CAST(n_nationkey // 10 + 1 AS BIGINT) AS page, CAST(n_nationkey AS VARCHAR) AS id FROM nation")
 def q_scan_folder_pages(spark, d):
     return _items(spark, d, "routine_folders").select("page", F.get_json_object("item", "$.id").alias("id"))
 
 
-@query("scan_event_pages", "SELECT CAST(event_id // 20 + 1 AS INTEGER) AS page, type FROM fx_events_typed")
+@query("scan_event_pages", "SELECT CAST(event_id // 20 + 1 AS BIGINT) AS page, type FROM fx_events_typed")
 def q_scan_event_pages(spark, d):
     return _items(spark, d, "events").select("page", F.get_json_object("item", "$.type").alias("type"))
 
 
+_LANDED = """
+WITH p AS (
+  SELECT 'workouts' AS entity, CAST(CAST(workout_id AS BIGINT) // 10 + 1 AS BIGINT) AS page, 10 AS size, COUNT(*) AS n FROM fx_workouts GROUP BY 2
+  UNION ALL SELECT 'routines', CAST(CAST(routine_id AS BIGINT) // 10 + 1 AS BIGINT), 10, COUNT(*) FROM fx_routines GROUP BY 2
+  UNION ALL SELECT 'exercise_templates', CAST(CAST(id AS BIGINT) // 100 + 1 AS BIGINT), 100, COUNT(*) FROM fx_templates GROUP BY 2
+  UNION ALL SELECT 'routine_folders', CAST(n_nationkey // 10 + 1 AS BIGINT), 10, COUNT(*) FROM nation GROUP BY 2
+  UNION ALL SELECT 'events', CAST(event_id // 20 + 1 AS BIGINT), 20, COUNT(*) FROM events GROUP BY 2),
+m AS (SELECT entity, MAX(page) AS last FROM p GROUP BY 1)"""
+
+
+@query("page_report", _LANDED + """
+SELECT entity, 'unreadable' AS problem, page, CAST(NULL AS BIGINT) AS page_count, CAST(NULL AS INTEGER) AS n_items, FALSE AS kept
+FROM p WHERE page % 17 = 3
+UNION ALL SELECT entity, 'no item list', page, 1, NULL, FALSE FROM p WHERE page % 19 = 5
+UNION ALL SELECT entity, 'repeated', page, last, CAST(n AS INTEGER), FALSE FROM p JOIN m USING (entity) WHERE page % 23 = 7
+UNION ALL SELECT entity, 'short', page, last, CAST(n AS INTEGER), TRUE FROM p JOIN m USING (entity) WHERE n < size AND page < last
+UNION ALL SELECT entity, 'missing', g.page, NULL, NULL, FALSE
+FROM (SELECT entity, unnest(range(1, last + 1)) AS page FROM m) g ANTI JOIN p ON p.entity = g.entity AND p.page = g.page""")
+def q_page_report(spark, d):
+    out = None
+    for entity in _PAGES:
+        own = page_files.page_report(_pages(spark, d, entity), entity).drop("file")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("item_provenance", """
+SELECT CAST(CAST(workout_id AS BIGINT) // 10 + 1 AS BIGINT) AS page, workout_id AS id,
+       CAST(row_number() OVER (PARTITION BY CAST(workout_id AS BIGINT) // 10 ORDER BY CAST(workout_id AS BIGINT)) - 1 AS INTEGER) AS position,
+       'txt' AS file_kind, TRUE AS landed
+FROM fx_workouts""")
+def q_item_provenance(spark, d):
+    items = page_files.item_provenance(_pages(spark, d, "workouts"))
+    return items.select(
+        "page", F.get_json_object("item", "$.id").alias("id"), "position", F.regexp_extract("file", r"\.(\w+)$", 1).alias("file_kind"),
+        F.col("landed_at").isNotNull().alias("landed"))
+
+
 @query("enum_dimensions", enums.ORACLE_SQL)
 def q_enum_dimensions(spark, d):
     b = Pipeline(spark, d).bronze

@@ -13,7 +13,7 @@ from liftlake.plans.landing_queries import _valid, run_ts
 from liftlake.plans.oracle_sql import cte
 from liftlake.plans.pipeline import Pipeline
 from liftlake.plans.registry import query
-from liftlake.session import written
+from liftlake.sources import fixtures as fx
 
 
 class Legacy:
@@ -27,11 +27,11 @@ class Legacy:
 
     @cached_property
     def flat_routines(self):
-        return written(fl.flat_routines_outer(_valid(self.spark, self.d, "routines"), run_ts()), "flat_routines")
+        return fx.stored(self.spark, self.d, "flat_routines", lambda: fl.flat_routines_outer(_valid(self.spark, self.d, "routines"), run_ts()))
 
     @cached_property
     def flat_workouts(self):
-        return written(fl.flat_workouts_outer(_valid(self.spark, self.d, "workouts"), run_ts()), "flat_workouts")
+        return fx.stored(self.spark, self.d, "flat_workouts", lambda: fl.flat_workouts_outer(_valid(self.spark, self.d, "workouts"), run_ts()))
 
     @cached_property
     def templates(self):

@@ -1,8 +1,9 @@
 """The medallion flow over one data directory, as lazily built DataFrames.
 
-Nothing here runs a job except the lineage cut between SCD2 runs (a reliable
-checkpoint when the session names a checkpoint folder). Each attribute is a
-logical plan; Catalyst prunes what a query does not use.
+Each attribute is a logical plan; Catalyst prunes what a query does not use.
+Layer tables (set-grain bronze, plan details, the silver fact, gold, sessions)
+are the exception: asking for one looks at the source files, and writes the
+layer when its version is not current (see ``sources.catalog``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.operators import coach, dims, fact, gold, plan, scd2
-from liftlake.session import written
 from liftlake.sources import fixtures as fx
 
 
@@ -80,7 +80,7 @@ class Pipeline:
     def fact_table(self) -> DataFrame:
         """The silver fact as a written table: what the dashboards read, as
         the silver layer is persisted once and read by every dashboard
-        query. Stored once per session and data directory."""
+        query."""
         return fx.stored(self.spark, self.sf_dir, "silver_fact", lambda: self.fact)
 
     # ---------------------------------------------------------------- gold
@@ -90,8 +90,8 @@ class Pipeline:
 
     @cached_property
     def gold_table(self) -> DataFrame:
-        """The gold table as written: what the coach reads (stored once per
-        session and data directory, built from the stored silver fact)."""
+        """The gold table as written: what the coach reads (built from the
+        stored silver fact)."""
         return fx.stored(self.spark, self.sf_dir, "gold", lambda: gold.gold_prompt(
             self.fact_table, self.dim_exercise, self.dim_routine, self.bronze.routine_details))
 
@@ -104,7 +104,7 @@ class Pipeline:
     @cached_property
     def sessions(self) -> DataFrame:
         """At most 5 rows per exercise, read several times by the analytics."""
-        return written(coach.session_history(self.recent_sets), "sessions")
+        return fx.stored(self.spark, self.sf_dir, "sessions", lambda: coach.session_history(self.recent_sets))
 
     @cached_property
     def stall(self) -> DataFrame:

@@ -13,10 +13,14 @@ the session time zone.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.parsing import python_json_list
+from liftlake.sources import inputs
+from liftlake.sources.catalog import Catalog
 
 # Fixed values of the fixture (they define the projection, shared with the
 # DuckDB oracle text in liftlake/plans/oracle_sql.py).
@@ -31,20 +35,9 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One DataFrame per (session, table): file listing and footer schema
-    inference happen once, and every query over the table shares the same
-    relation."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READS[key] = df
-    return df
+    """A source table in its present state."""
+    return inputs.relation(spark, sf_dir, name)
 
 
 def n_templates(spark: SparkSession, sf_dir: str) -> Column:
@@ -259,20 +252,25 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[int, str, str], DataFrame] = {}
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+SET_SOURCES, PLAN_SOURCES = ("orders", "lineitem", "part"), ("orders", "lineitem", "customer", "part")
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """A layer table in the shared folder, built once for each state of the
+    tables it comes from, the way the bronze layer is persisted before silver
+    and gold read it."""
+    return Catalog(spark).table(_layer(sf_dir, name), inputs.state_key(spark, sf_dir, sources), build)
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, write, sources: tuple[str, ...] = SOURCES) -> str:
+    """Path of landed files, written by ``write(path)`` once for each state of
+    the tables they come from."""
+    return Catalog(spark).folder(_layer(sf_dir, name), inputs.state_key(spark, sf_dir, sources), write)["path"]
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A layer table as a written Parquet table in the shared folder, built
-    once per session and data directory, the way the bronze layer is persisted
-    before silver and gold read it."""
-    from liftlake.session import written
-    key = (id(spark), sf_dir, name)
-    df = _STORED.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = written(build(), name)
-        _STORED[key] = df
-    return df
+def _layer(sf_dir: str, name: str) -> str:
+    return f"{name}-{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:10]}"
 
 
 class Bronze:
@@ -297,15 +295,15 @@ class Bronze:
 
     @property
     def routine_details(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "details1", lambda: routine_details(self.spark, self.sf_dir, 1))
+        return stored(self.spark, self.sf_dir, "details1", lambda: routine_details(self.spark, self.sf_dir, 1), PLAN_SOURCES)
 
     @property
     def workout_exercises(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "exercises", lambda: workout_exercises(self.spark, self.sf_dir))
+        return stored(self.spark, self.sf_dir, "exercises", lambda: workout_exercises(self.spark, self.sf_dir), SET_SOURCES)
 
     @property
     def workout_sets(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "sets", lambda: workout_sets(self.spark, self.sf_dir))
+        return stored(self.spark, self.sf_dir, "sets", lambda: workout_sets(self.spark, self.sf_dir), SET_SOURCES)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> Bronze:
@@ -315,7 +313,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> Bronze:
 def snapshot(spark: SparkSession, sf_dir: str, ver: int) -> tuple[DataFrame, DataFrame]:
     """(routines, routine details) of one extract run, stored like bronze."""
     return (routines(spark, sf_dir, ver),
-            stored(spark, sf_dir, f"details{ver}", lambda: routine_details(spark, sf_dir, ver)))
+            stored(spark, sf_dir, f"details{ver}", lambda: routine_details(spark, sf_dir, ver), PLAN_SOURCES))
 
 
 # ---------------------------------------------------------------- coach replies

@@ -1,15 +1,12 @@
-"""Landing zone: paged JSON documents of the training-log service (A1-A5).
-
-A page is one JSON object ``{"page": n, "page_count": N, "<entity>": [...]}``.
-Readers keep every item as its raw JSON text, so the validator can tell a
-missing key from an explicit null and reject a whole document when any
-nested part is bad.
-
-``landed_*`` build such pages from the driver tables (documents nested with
-``collect_list(struct)`` over bounded groups: sets of one exercise,
-exercises of one workout, items of one page), with a deterministic share of
-broken documents, so the landing -> validate -> flatten chain runs over data
-that grows with the input.
+"""Pages of the training-log service as they land: documents nested from the
+driver tables, put into pages and written as text files.
+
+``landed_*`` build the pages (documents nested with ``collect_list(struct)``
+over bounded groups: sets of one exercise, exercises of one workout, items of
+one page), with a deterministic share of broken documents. ``write_pages``
+lands them as files, with a share of broken and repeated pages on top, so that
+the chain files -> pages -> validate -> flatten runs over data that grows with
+the input. ``page_files`` reads them.
 """
 
 from __future__ import annotations
@@ -18,47 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlake.sources import fixtures as fx
+from liftlake.sources.page_files import PAGE_KEYS, parsed
 
-# Page body key and page size per entity.
-PAGE_KEYS = {
-    "workouts": ("workouts", 10),
-    "routines": ("routines", 10),
-    "exercise_templates": ("exercise_templates", 100),
-    "routine_folders": ("routine_folders", 10),
-    "events": ("events", 20),
-}
-
-
-def page_schema(entity: str) -> str:
-    key, _ = PAGE_KEYS[entity]
-    return f"struct<page:int, page_count:int, {key}:array<string>>"
-
-
-def read_pages(spark: SparkSession, path: str, entity: str, multi_line: bool = False) -> DataFrame:
-    """Landed page files -> one row per item: (page, item) with the item as
-    raw JSON text. ``multi_line`` for one pretty-printed page per file;
-    otherwise one page per line (JSON Lines)."""
-    key, _ = PAGE_KEYS[entity]
-    text = spark.read.text(path, wholetext=multi_line).withColumnRenamed("value", "body")
-    return parse_pages(text, entity)
+# Entities that land pretty-printed, one page to a file.
+MULTI_LINE = ("routine_folders",)
 
 
 def parse_pages(pages: DataFrame, entity: str, body_col: str = "body") -> DataFrame:
-    key, _ = PAGE_KEYS[entity]
-    p = pages.select(F.from_json(F.col(body_col), page_schema(entity)).alias("p"))
-    return p.select(F.col("p.page").alias("page"), F.explode(F.col(f"p.{key}")).alias("item"))
+    """(page, item) of page texts taken as they are (the event stream, where a
+    batch knows nothing of other copies of its pages)."""
+    p = pages.select(parsed(F.col(body_col), entity).alias("p"))
+    return p.select(F.col("p.page").alias("page"), F.explode(F.col("p.items")).alias("item"))
 
 
 def _paged(items: DataFrame, entity: str, order_key: str) -> DataFrame:
-    """Group item texts into pages of the entity's page size (bounded groups)."""
+    """(page, body): item texts in pages of the entity's size (bounded groups)."""
     key, size = PAGE_KEYS[entity]
-    paged = items.withColumn("_page", F.floor(F.col(order_key) / size).cast("int"))
+    paged = items.withColumn("_page", F.floor(F.col(order_key) / size).cast("long"))
     pages = paged.groupBy("_page").agg(F.array_sort(F.collect_list(F.struct(order_key, "item"))).alias("_it"))
     n = pages.agg(F.max("_page")).scalar()
-    body = F.concat(F.lit('{"page":'), (F.col("_page") + 1).cast("string"), F.lit(',"page_count":'),
-                    (n + 1).cast("string"), F.lit(f',"{key}":['),
-                    F.array_join(F.transform("_it", lambda x: x["item"]), ","), F.lit("]}"))
-    return pages.select(body.alias("body"))
+    br = "\n  " if entity in MULTI_LINE else ""
+    end = br[:1]
+    body = F.concat(F.lit(f'{{{br}"page":'), (F.col("_page") + 1).cast("string"), F.lit(f',{br}"page_count":'),
+                    (n + 1).cast("string"), F.lit(f',{br}"{key}":[{br}'),
+                    F.array_join(F.transform("_it", lambda x: x["item"]), f",{br}"), F.lit(f"{end}]{end}}}"))
+    return pages.select((F.col("_page") + 1).alias("page"), body.alias("body"))
 
 
 _NULLS = {"ignoreNullFields": "false"}
@@ -208,6 +189,21 @@ def landed_event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paged(event_documents(spark, sf_dir), "events", "key")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Land pages as JSON Lines text files (one page per line)."""
-    pages.select(F.col("body").alias("value")).write.mode("overwrite").text(path)
+def with_failed_downloads(pages: DataFrame) -> DataFrame:
+    """(page, copy, body): the pages with what a broken connection leaves on
+    top; by page number: % 17 == 3 -> a copy that breaks off in the middle,
+    % 19 == 5 -> an error body without items, % 23 == 7 -> the page again."""
+    page, body = F.col("page"), F.col("body")
+    half = body.substr(F.lit(1), (F.length(body) / 2).cast("int"))
+    error = F.concat(F.lit('{"page":'), page.cast("string"), F.lit(',"page_count":1,"error":"timeout"}'))
+    texts = F.array(body, F.when(page % 17 == 3, half), F.when(page % 19 == 5, error), F.when(page % 23 == 7, body))
+    return pages.select("page", F.posexplode(texts).alias("copy", "body")).where("body IS NOT NULL")
+
+
+def write_pages(pages: DataFrame, path: str, multi_line: bool = False) -> None:
+    """Land page texts as files: JSON Lines, or one page to a file."""
+    if multi_line:
+        name = F.concat_ws("-", *[c for c in ("page", "copy") if c in pages.columns])
+        pages.select(name.alias("landed"), F.col("body").alias("value")).write.mode("overwrite").partitionBy("landed").text(path)
+    else:
+        pages.select(F.col("body").alias("value")).write.mode("overwrite").text(path)
