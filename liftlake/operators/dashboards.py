@@ -125,12 +125,11 @@ def last_ingestion(workouts: DataFrame) -> DataFrame:
     return workouts.agg(F.max("ingestion_timestamp").alias("last_update"))
 
 
-def workout_detail(fact: DataFrame, workouts: DataFrame, dim_ex: DataFrame, dim_rt: DataFrame) -> DataFrame:
-    """Set rows with workout start, names, date, ISO year-week label and
-    volume (missing numbers count as 0)."""
+def workout_detail(fact: DataFrame, dim_ex: DataFrame, dim_rt: DataFrame) -> DataFrame:
+    """Set rows with workout start (which the fact holds), names, date,
+    ISO year-week label and volume (missing numbers count as 0)."""
     j = (fact.select("workout_id", "routine_id", "exercise_template_id", "set_type", "weight_kg", "reps", "rpe",
-                     "execution_status")
-         .join(workouts.select("workout_id", "start_time"), "workout_id", "left")
+                     "execution_status", "start_time")
          .join(dim_ex.select("exercise_template_id", F.col("exercise_name").alias("exercise_title")),
                "exercise_template_id", "left")
          .join(dim_rt.select("routine_id", F.col("routine_name").alias("workout_title")), "routine_id", "left"))

@@ -71,6 +71,14 @@ def workout_headers(actual: DataFrame) -> DataFrame:
     return actual.select("workout_id", "routine_id", "start_time").distinct()
 
 
+def workout_headers_of(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> DataFrame:
+    """G2 from the workouts themselves: those that follow a routine and have a
+    set of a listed exercise. No value of a set is read."""
+    listed = sets.select("workout_id", "exercise_index").join(exercises.select("workout_id", "exercise_index"), ["workout_id", "exercise_index"], "left_semi")
+    w = workouts.filter(F.col("routine_id").isNotNull()).select("workout_id", "routine_id", "start_time")
+    return w.join(listed.select("workout_id"), "workout_id", "left_semi").distinct()
+
+
 def _plan_side(scd: DataFrame) -> DataFrame:
     return scd.select(
         "routine_id", "exercise_template_id", "exercise_index", "set_index",
@@ -118,13 +126,20 @@ def _with_cycle(df: DataFrame, per_routine: bool, key_source: DataFrame | None =
 
 
 def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: bool = False,
-                         per_routine: bool = False, keys: DataFrame | None = None) -> DataFrame:
+                         per_routine: bool = False, keys: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
     """G4 (default) / G6 (``include_skipped``) with G7 status, G8 diffs and
     G9/G10 cycle numbers. ``keys`` (see ``cycle_keys``) is a narrow source of
-    the actual (template, routine, start) keys; without it they are taken
-    from ``actual``."""
+    the actual (template, routine, start) keys, ``headers`` (see
+    ``workout_headers_of``) of the workouts; without them they are taken from
+    ``actual``."""
     if include_skipped:
-        return _fact_full_outer(actual, scd, per_routine, keys)
+        return _fact_full_outer(actual, scd, per_routine, keys, headers)
+    out = matched_sets(actual, scd)
+    return _with_cycle(out, per_routine, keys if keys is not None else actual).select(*FACT_COLS)
+
+
+def matched_sets(actual: DataFrame, scd: DataFrame) -> DataFrame:
+    """The LEFT match with status and differences (G7, G8), without cycles."""
     a = actual.alias("a")
     p = _plan_side(scd).alias("p")
     cond = None
@@ -143,15 +158,15 @@ def fact_workout_history(actual: DataFrame, scd: DataFrame, include_skipped: boo
         F.coalesce(F.col("a.updated_at"), F.col("p.plan_updated_at")).alias("updated_at"),
         F.col("p.routine_id").isNotNull().alias("_planned"),
     )
-    out = base.select(
+    return base.select(
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
         *_status_and_values("TRUE", "_planned"), "start_time", "updated_at",
     )
-    return _with_cycle(out, per_routine, keys if keys is not None else actual).select(*FACT_COLS)
 
 
-def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool, keys: DataFrame | None = None) -> DataFrame:
-    plan = applicable_plan(workout_headers(actual), scd)
+def matched_and_skipped(actual: DataFrame, plan: DataFrame) -> DataFrame:
+    """The FULL OUTER match with the per-workout plan copies (see
+    ``applicable_plan``), without cycles."""
     a = actual.alias("a")
     p = plan.alias("p")
     cond = F.col("a.workout_id") == F.col("p.p_workout_id")
@@ -173,10 +188,17 @@ def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool, keys:
         F.col("a.workout_id").isNotNull().alias("_actual"),
         F.col("p.p_workout_id").isNotNull().alias("_planned"),
     )
-    out = base.select(
+    return base.select(
         "workout_id", "routine_id", "exercise_template_id", "exercise_index", "folder_id", "set_type", "set_index",
         *_status_and_values("_actual", "_planned"), "start_time", "updated_at",
     )
+
+
+def _fact_full_outer(
+    actual: DataFrame, scd: DataFrame, per_routine: bool, keys: DataFrame | None = None, headers: DataFrame | None = None
+) -> DataFrame:
+    plan = applicable_plan(headers if headers is not None else workout_headers(actual), scd)
+    out = matched_and_skipped(actual, plan)
     # The (template, routine, start) keys of the result are exactly those of
     # the performed sets plus those of the plan copies (a matched copy has
     # the key of its set), so the rank reads two narrow frames instead of
@@ -186,7 +208,9 @@ def _fact_full_outer(actual: DataFrame, scd: DataFrame, per_routine: bool, keys:
     return _with_cycle(out, per_routine, actual_keys.unionByName(copy_keys)).select(*FACT_COLS)
 
 
-def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def fact_plan_match_as_executed(
+    actual: DataFrame, scd: DataFrame, keys: DataFrame | None = None, headers: DataFrame | None = None
+) -> DataFrame:
     """G5, re-aimed. The executed pipeline matched sets to the per-workout plan
     copies *without* the workout id, so each set paired with the plan copy of
     every workout of its routine. Emitting those pairs is quadratic in the
@@ -195,7 +219,7 @@ def fact_plan_match_as_executed(actual: DataFrame, scd: DataFrame, keys: DataFra
     how many workouts of the routine carried that version (the pair count).
     The status and diffs of the pairs depend only on the version, so
     expanding each row ``plan_copies`` times gives the executed table."""
-    headers = workout_headers(actual)
+    headers = headers if headers is not None else workout_headers(actual)
     # Per plan version: number of workouts of the routine whose start lies in
     # its interval. Aggregated on (routine, version interval) before joining.
     versions = scd.select("routine_id", "scd_valid_from", "scd_valid_to").distinct()

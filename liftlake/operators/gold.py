@@ -58,6 +58,13 @@ def gold_ordered(gold: DataFrame) -> DataFrame:
     return gold.orderBy("routine_id", "cycle_number", "exercise_index", "exercise_template_id", "set_index")
 
 
+def routine_names(fact: DataFrame, dim_rt: DataFrame) -> DataFrame:
+    """(routine_id, routine_name) of the routines in the gold table, which has
+    those of all rows with a workout, without its other columns and joins."""
+    ids = fact.filter(F.col("workout_id").isNotNull()).select("routine_id").distinct()
+    return ids.join(dim_rt.select("routine_id", "routine_name"), "routine_id", "left")
+
+
 def routine_list(df: DataFrame, id_col: str, name_col: str, require_name: bool = False,
                  ordered: bool = True) -> DataFrame:
     """H4 / H5 / H6: distinct (id, title) of routines, by title."""

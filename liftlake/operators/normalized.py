@@ -77,13 +77,16 @@ def norm_routine_exercises(flat_routines: DataFrame) -> DataFrame:
     return d.withColumn("id", surrogate_id(["routine_id", "order_index", *_EX_KEY]))
 
 
-def norm_routine_sets(flat_routines: DataFrame, routine_exercises: DataFrame) -> DataFrame:
-    """Plan set rows with the routine-exercise id of (routine, index)."""
-    m = routine_exercises.select(F.col("id").alias("routine_exercise_id"), F.col("routine_id").alias("_r"),
-                                 "order_index")
-    j = flat_routines.join(m, (F.col("routine_id") == F.col("_r")) & (F.col("exercise_index") == F.col("order_index")))
-    return j.select("routine_exercise_id", "set_type", "weight_kg", "reps", "rep_range_start", "rep_range_end",
-                    "distance_meters", "duration_seconds", "rpe")
+_ROUTINE_EX = ["routine_id", "exercise_index", "exercise_template_id", "supersets_id", "rest_seconds", "exercise_notes"]
+_WORKOUT_EX = ["workout_id", "exercise_index", "exercise_template_id", "supersets_id", "exercise_notes"]
+
+
+def norm_routine_sets(flat_routines: DataFrame) -> DataFrame:
+    """Plan set rows with the id of their routine exercise, which each flat
+    row makes from its own columns."""
+    rows = flat_routines.where("routine_id IS NOT NULL AND exercise_index IS NOT NULL")
+    return rows.select(surrogate_id(_ROUTINE_EX).alias("routine_exercise_id"), "set_type", "weight_kg", "reps", "rep_range_start",
+                       "rep_range_end", "distance_meters", "duration_seconds", "rpe")
 
 
 def norm_workouts_priority(flat_workouts: DataFrame, n: int = PRIORITY_COUNT) -> DataFrame:
@@ -105,13 +108,11 @@ def norm_workout_exercises(flat_workouts: DataFrame) -> DataFrame:
     return d.withColumn("id", surrogate_id(["workout_id", "order_index", "exercise_template_id", "superset_id", "notes"]))
 
 
-def norm_workout_sets(flat_workouts: DataFrame, workout_exercises: DataFrame) -> DataFrame:
-    """I10."""
-    m = workout_exercises.select(F.col("id").alias("workout_exercise_id"), F.col("workout_id").alias("_w"),
-                                 "order_index")
-    j = flat_workouts.join(m, (F.col("workout_id") == F.col("_w")) & (F.col("exercise_index") == F.col("order_index")))
-    return j.select("workout_exercise_id", "set_type", "weight_kg", "reps", "distance_meters", "duration_seconds",
-                    "rpe", "custom_metric")
+def norm_workout_sets(flat_workouts: DataFrame) -> DataFrame:
+    """I10, as I7."""
+    rows = flat_workouts.where("workout_id IS NOT NULL AND exercise_index IS NOT NULL")
+    return rows.select(surrogate_id(_WORKOUT_EX).alias("workout_exercise_id"), "set_type", "weight_kg", "reps", "distance_meters",
+                       "duration_seconds", "rpe", "custom_metric")
 
 
 def pk_violations(df: DataFrame, table: str, keys: list[str], not_null: list[str] = ()) -> DataFrame:

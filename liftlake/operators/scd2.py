@@ -9,7 +9,7 @@ overwritten by the same job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.hashing import row_hash
@@ -162,6 +162,72 @@ def as_of(scd: DataFrame, probes: DataFrame, ts_col: str, on: list[str]) -> Data
     return p.join(s, cond, "inner")
 
 
+def as_of_latest(versions: DataFrame, probes: DataFrame, ts_col: str, on: list[str], block_days: int = 30) -> DataFrame:
+    """E9 for long histories: every probe row with the one version of its key
+    that is valid at its time stamp, as struct ``version`` (null: none).
+
+    An equi-join with the interval as residual predicate meets every version of
+    a key before it drops all but one. Here versions and probes are one stream
+    of events, and the newest version is carried forward in time: inside a
+    block of ``block_days`` by a window over (key, block), and into a block from
+    the last version of the blocks before it, a row for each (key, block) that
+    has events. No step makes more rows than there are events, and a key with
+    very many of them is spread over its blocks. The versions of a key must not
+    overlap; a probe without a complete key or time stamp has no version."""
+    known = None
+    for k in on:
+        e = F.col(k).isNotNull()
+        known = e if known is None else known & e
+    seconds = lambda c: F.unix_seconds(F.to_timestamp_ltz(c.cast("string")))
+    block = F.floor(seconds(F.col("_t")) / F.lit(block_days * 86400)).alias("_block")
+    kind_p, kind_v = probes.schema, versions.schema
+    nothing = lambda schema: F.lit(None).cast(schema)
+    v = versions.where(known & F.col("scd_valid_from").isNotNull()).select(
+        *on, F.col("scd_valid_from").alias("_t"), F.lit(0).alias("_kind"), nothing(kind_p).alias("_p"), F.struct(*versions.columns).alias("_v"))
+    found = known & F.col(ts_col).isNotNull()
+    p = probes.where(found).select(
+        *on, F.col(ts_col).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_kind"), F.struct(*probes.columns).alias("_p"), nothing(kind_v).alias("_v"))
+    n = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = v.unionByName(p).withColumn("_block", block).repartition(n, *on, "_block")
+    inside = Window.partitionBy(*on, "_block").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 1")
+    before = Window.partitionBy(*on).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # max_by skips no nulls of its own: only versions count, probes order as null.
+    last = events.groupBy(*on, "_block").agg(F.max_by("_v", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_last"))
+    carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).select(*on, "_block", "_carried")
+    newest = F.coalesce("_own", "_carried")
+    open_at = newest["scd_valid_to"].isNull() | (F.col("_t") < newest["scd_valid_to"])
+    matched = seen.join(carried, [*on, "_block"], "left").select("_p.*", F.when(open_at, newest).alias("version"))
+    rest = probes.where(~F.coalesce(found, F.lit(False))).select(*probes.columns, nothing(kind_v).alias("version"))
+    return matched.unionByName(rest)
+
+
+def replay(snapshots: DataFrame, keys: list[str] = BUSINESS_KEYS, run_col: str = "run_ts") -> DataFrame:
+    """E7 + E8 over many runs in one pass: the dimension after all complete
+    snapshots in ``snapshots`` (staged rows with the time of their run), equal to
+    applying them one after the other.
+
+    A version is an island: a stretch of neighbouring runs in which a key has
+    the same fingerprint. It begins with its first run and ends with the run
+    after its last one, where the key changed or is gone. Runs that staged no
+    row are no runs here, as an empty extract changes nothing. One shuffle by
+    business key, whatever the number of runs; a key has at most one row a run."""
+    order = Window.orderBy(run_col)
+    # One row a run: a small table.
+    runs = snapshots.select(run_col).distinct().select(
+        F.col(run_col).alias("_run_ts"), F.row_number().over(order).alias("_run"), F.lead(run_col).over(order).alias("_next_ts"))
+    rows = snapshots.join(F.broadcast(runs), F.col(run_col) == F.col("_run_ts"))
+    by_key = Window.partitionBy(*keys).orderBy("_run")
+    same = (F.lag("_run").over(by_key) == F.col("_run") - 1) & (F.lag("scd_hash").over(by_key) == F.col("scd_hash"))
+    island = F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(by_key)
+    others = [c for c in STAGED_COLS if c not in keys]
+    first = F.struct(*others, "scd_hash", F.col("_run_ts").alias("scd_valid_from"))
+    versions = rows.withColumn("_island", island).groupBy(*keys, "_island").agg(
+        F.min_by(first, "_run").alias("_first"), F.max_by("_next_ts", "_run").alias("scd_valid_to"))
+    out = versions.select(*keys, "_first.*", "scd_valid_to", F.col("scd_valid_to").isNull().alias("scd_is_current"))
+    return out.select(*ALL_COLS)
+
+
 def apply_runs(snapshots: list[tuple[DataFrame, Column]], keys: list[str] = BUSINESS_KEYS,
                checkpoint_every: int = 4) -> DataFrame:
     """Replay several snapshot runs in order (staged frame, run time). Every

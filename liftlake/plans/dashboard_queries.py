@@ -48,7 +48,7 @@ def _prog(spark, d):
 
 def _detail(spark, d):
     p = Pipeline(spark, d)
-    return db.workout_detail(p.fact_table, p.bronze.workouts, p.dim_exercise, p.dim_routine)
+    return db.workout_detail(p.fact_table, p.dim_exercise, p.dim_routine)
 
 
 @query("workout_stats", "SELECT * FROM fx_workout_stats")

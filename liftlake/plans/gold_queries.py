@@ -22,7 +22,7 @@ def q_gold_prompt(spark, d):
 SELECT current_index AS exercise_index, {_GOLD} FROM fx_gold_wide WHERE planned_rest IS NOT NULL""")
 def q_gold_prompt_planned_only(spark, d):
     p = Pipeline(spark, d)
-    return gold.gold_prompt(p.fact, p.dim_exercise, p.dim_routine, p.bronze.routine_details, exclude_unplanned=True)
+    return gold.gold_prompt(p.fact_table, p.dim_exercise, p.dim_routine, p.bronze.routine_details, exclude_unplanned=True)
 
 
 @query("gold_ordered", "SELECT * FROM fx_gold")
@@ -32,7 +32,8 @@ def q_gold_ordered(spark, d):
 
 @query("routine_list", "SELECT DISTINCT routine_id AS id, routine_name AS title FROM fx_gold")
 def q_routine_list(spark, d):
-    return gold.routine_list(Pipeline(spark, d).gold, "routine_id", "routine_name")
+    p = Pipeline(spark, d)
+    return gold.routine_list(gold.routine_names(p.fact_table, p.dim_routine), "routine_id", "routine_name")
 
 
 @query("routine_list_named", """

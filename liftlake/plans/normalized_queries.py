@@ -129,7 +129,7 @@ def q_norm_routine_exercises(spark, d):
 @query("norm_routine_sets", "SELECT * FROM fx_norm_routine_sets")
 def q_norm_routine_sets(spark, d):
     lg = Legacy(spark, d)
-    return nm.norm_routine_sets(lg.flat_routines, lg.routine_exercises())
+    return nm.norm_routine_sets(lg.flat_routines)
 
 
 @query("norm_workouts_priority", """
@@ -147,7 +147,7 @@ def q_norm_workout_exercises(spark, d):
 @query("norm_workout_sets", "SELECT * FROM fx_norm_workout_sets")
 def q_norm_workout_sets(spark, d):
     lg = Legacy(spark, d)
-    return nm.norm_workout_sets(lg.flat_workouts, lg.workout_exercises())
+    return nm.norm_workout_sets(lg.flat_workouts)
 
 
 @query("check_primary_keys", """

@@ -46,6 +46,16 @@ class Pipeline:
         stays short; ``scd2.apply_runs`` cuts it for longer histories)."""
         return scd2.apply(self.scd_after_first_run, self.staged(1), fx.ts(fx.SNAPSHOT_RUN_TS[1]))
 
+    def snapshots(self) -> DataFrame:
+        """All extracts of the plan history as staged rows with their run time."""
+        from liftlake.functions.hashing import row_hash
+        return fx.plan_history(self.spark, self.sf_dir).select(*scd2.STAGED_COLS, "run_ts").withColumn("scd_hash", row_hash(scd2.STAGED_COLS))
+
+    @cached_property
+    def scd_history(self) -> DataFrame:
+        """The dimension after all of them."""
+        return fx.stored(self.spark, self.sf_dir, "scd_history", lambda: scd2.replay(self.snapshots()), fx.PLAN_SOURCES)
+
     @cached_property
     def progression_raw(self) -> DataFrame:
         return fx.progression_raw(self.spark, self.sf_dir)
@@ -60,21 +70,30 @@ class Pipeline:
 
     @cached_property
     def dim_routine(self) -> DataFrame:
-        return dims.dim_routine(self.scd)
+        return dims.dim_routine(self.scd_table)
 
     @cached_property
     def actual(self) -> DataFrame:
         b = self.bronze
-        return fact.actual_sets(b.workout_sets, b.workouts, b.workout_exercises)
+        return fact.actual_sets(b.workout_sets, b.workouts_by_id, b.workout_exercises)
 
     @cached_property
     def cycle_keys(self) -> DataFrame:
         b = self.bronze
-        return fact.cycle_keys(b.workout_sets, b.workouts, b.workout_exercises)
+        return fact.cycle_keys(b.workout_sets, b.workouts_by_id, b.workout_exercises)
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return fact.workout_headers_of(self.bronze.workout_sets, self.bronze.workouts_by_id, self.bronze.workout_exercises)
+
+    @cached_property
+    def scd_table(self) -> DataFrame:
+        """The dimension as the last run wrote it: what the fact reads."""
+        return fx.stored(self.spark, self.sf_dir, "silver_scd", lambda: self.scd)
 
     @cached_property
     def fact(self) -> DataFrame:
-        return fact.fact_workout_history(self.actual, self.scd, keys=self.cycle_keys)
+        return fact.fact_workout_history(self.actual, self.scd_table, keys=self.cycle_keys)
 
     @cached_property
     def fact_table(self) -> DataFrame:
@@ -86,20 +105,19 @@ class Pipeline:
     # ---------------------------------------------------------------- gold
     @cached_property
     def gold(self) -> DataFrame:
-        return gold.gold_prompt(self.fact, self.dim_exercise, self.dim_routine, self.bronze.routine_details)
+        """Gold reads the silver fact as written, as every run of it does."""
+        return gold.gold_prompt(self.fact_table, self.dim_exercise, self.dim_routine, self.bronze.routine_details)
 
     @cached_property
     def gold_table(self) -> DataFrame:
-        """The gold table as written: what the coach reads (built from the
-        stored silver fact)."""
-        return fx.stored(self.spark, self.sf_dir, "gold", lambda: gold.gold_prompt(
-            self.fact_table, self.dim_exercise, self.dim_routine, self.bronze.routine_details))
+        """The gold table as written: what the coach reads."""
+        return fx.stored(self.spark, self.sf_dir, "gold", lambda: self.gold)
 
     # ---------------------------------------------------------------- coach
     @cached_property
     def recent_sets(self) -> DataFrame:
         b = self.bronze
-        return coach.recent_sets(b.workout_sets, b.workouts, b.workout_exercises)
+        return coach.recent_sets(b.workout_sets, b.workouts_by_id, b.workout_exercises)
 
     @cached_property
     def sessions(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from liftlake.operators import dims, fact, scd2
+from liftlake.operators.ranking import dense_rank_keys
 from liftlake.plans.oracle_sql import _SCD_ALL, cte, fact_rows
 from liftlake.plans.pipeline import Pipeline
 from liftlake.plans.registry import query
@@ -103,11 +104,55 @@ def q_scd2_current(spark, d):
 SELECT workout_id, routine_id, exercise_index, set_index, plan.kg AS weight_kg, since AS scd_valid_from FROM fx_applicable""")
 def q_scd2_as_of(spark, d):
     p = Pipeline(spark, d)
-    j = scd2.as_of(p.scd, fact.workout_headers(p.actual), "start_time", ["routine_id"])
+    j = scd2.as_of(p.scd_table, p.headers, "start_time", ["routine_id"])
     return j.select("p.workout_id", "s.routine_id", "s.exercise_index", "s.set_index", "s.weight_kg",
                     "s.scd_valid_from")
 
 
+# The islands again by another route: within a key and weight, runs that
+# follow one another keep the same distance to their rank.
+cte("fx_replay", """
+SELECT routine_id, exercise_index, set_index, exercise_template_id, set_type, weight_kg, reps,
+       MIN(run_ts) AS scd_valid_from, MAX(next_ts) FILTER (WHERE run = last) AS scd_valid_to
+FROM (
+  SELECT *, MAX(run) OVER (PARTITION BY routine_id, exercise_index, set_index, kg, run - place) AS last, run - place AS island
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY routine_id, exercise_index, set_index, kg ORDER BY run) AS place
+    FROM (
+      SELECT p.* REPLACE (p.weight_kg + 2.5 * ((h.r + CAST(p.routine_id AS BIGINT) % 5) // 4) AS weight_kg),
+             ifnull(CAST(p.weight_kg + 2.5 * ((h.r + CAST(p.routine_id AS BIGINT) % 5) // 4) AS VARCHAR), '') AS kg,
+             h.run, h.run_ts, h.next_ts
+      FROM fx_plan p
+      JOIN (SELECT r, run_ts, row_number() OVER (ORDER BY r) AS run, lead(run_ts) OVER (ORDER BY r) AS next_ts
+            FROM (SELECT range AS r, TIMESTAMP '1992-01-01 00:00:00' + to_months(CAST(6 * range AS INTEGER)) AS run_ts FROM range(12)) WHERE r <> 6) h
+        ON p.ver = 0 AND (CAST(p.routine_id AS BIGINT) + p.exercise_index + h.r) % 7 <> 0)))
+GROUP BY routine_id, exercise_index, set_index, exercise_template_id, set_type, weight_kg, reps, kg, island""")
+
+
+@query("scd2_replay", """
+SELECT routine_id, exercise_index, set_index, weight_kg, reps, scd_valid_from, scd_valid_to, scd_valid_to IS NULL AS scd_is_current
+FROM fx_replay""")
+def q_scd2_replay(spark, d):
+    return scd2.replay(Pipeline(spark, d).snapshots()).select(
+        "routine_id", "exercise_index", "set_index", "weight_kg", "reps", "scd_valid_from", "scd_valid_to", "scd_is_current")
+
+
+@query("scd2_as_of_latest", """
+SELECT f.workout_id, f.exercise_index, f.set_index, f.start_time,
+       CASE WHEN r.scd_valid_to IS NULL OR f.start_time < r.scd_valid_to THEN r.scd_valid_from END AS scd_valid_from,
+       CASE WHEN r.scd_valid_to IS NULL OR f.start_time < r.scd_valid_to THEN r.weight_kg END AS planned_weight_kg
+FROM fx_performed f ASOF LEFT JOIN (SELECT * REPLACE (ifnull(set_type, 'normal') AS set_type) FROM fx_replay) r
+  ON f.routine_id = r.routine_id AND f.exercise_template_id = r.exercise_template_id AND f.exercise_index = r.exercise_index
+  AND f.set_index = r.set_index AND f.set_type = r.set_type AND f.start_time >= r.scd_valid_from""")
+def q_scd2_as_of_latest(spark, d):
+    """Every performed set with the plan row valid then, over the long history."""
+    p = Pipeline(spark, d)
+    versions = p.scd_history.withColumn("set_type", F.coalesce("set_type", F.lit("normal")))
+    found = scd2.as_of_latest(versions, p.actual, "start_time", fact.MATCH_KEYS)
+    return found.select("workout_id", "exercise_index", "set_index", "start_time", F.col("version.scd_valid_from").alias("scd_valid_from"),
+                        F.col("version.weight_kg").alias("planned_weight_kg"))
+
+
 # ------------------------------------------------------------------ F: dimensions
 @query("progression_lookup", "SELECT * FROM fx_progression")
 def q_progression_lookup(spark, d):
@@ -167,7 +212,7 @@ def q_fact_actual_sets(spark, d):
 
 @query("workout_headers", "SELECT * FROM fx_trainings")
 def q_workout_headers(spark, d):
-    return fact.workout_headers(Pipeline(spark, d).actual)
+    return Pipeline(spark, d).headers
 
 
 @query("applicable_plan", """
@@ -178,7 +223,7 @@ SELECT workout_id AS p_workout_id, start_time AS workout_start_time, routine_id,
 FROM fx_applicable""")
 def q_applicable_plan(spark, d):
     p = Pipeline(spark, d)
-    return fact.applicable_plan(fact.workout_headers(p.actual), p.scd)
+    return fact.applicable_plan(p.headers, p.scd_table)
 
 
 @query("fact_workout_history", "SELECT * FROM fx_fact")
@@ -190,20 +235,20 @@ def q_fact_workout_history(spark, d):
     "m.updated_at", "m.updated_at, CAST(copies AS BIGINT) AS plan_copies", 1))
 def q_fact_plan_match_as_executed(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_plan_match_as_executed(p.actual, p.scd, keys=p.cycle_keys)
+    return fact.fact_plan_match_as_executed(p.actual, p.scd_table, keys=p.cycle_keys, headers=p.headers)
 
 
 @query("fact_with_skipped", fact_rows("fx_matched_and_skipped"))
 def q_fact_with_skipped(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_workout_history(p.actual, p.scd, include_skipped=True, keys=p.cycle_keys)
+    return fact.fact_workout_history(p.actual, p.scd_table, include_skipped=True, keys=p.cycle_keys, headers=p.headers)
 
 
 @query("execution_status", f"""
 SELECT execution_status, CAST(COUNT(*) AS BIGINT) AS n FROM ({fact_rows("fx_matched_and_skipped")}) x GROUP BY execution_status""")
 def q_execution_status(spark, d):
     p = Pipeline(spark, d)
-    f = fact.fact_workout_history(p.actual, p.scd, include_skipped=True)
+    f = fact.matched_and_skipped(p.actual, fact.applicable_plan(p.headers, p.scd_table))
     return f.groupBy("execution_status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
@@ -211,20 +256,21 @@ def q_execution_status(spark, d):
 SELECT workout_id, exercise_index, set_index, diff_weight_kg, diff_reps, diff_duration_seconds, diff_custom_metric
 FROM fx_fact""")
 def q_plan_diffs(spark, d):
-    return Pipeline(spark, d).fact.select("workout_id", "exercise_index", "set_index", "diff_weight_kg", "diff_reps",
-                                          "diff_duration_seconds", "diff_custom_metric")
+    p = Pipeline(spark, d)
+    return fact.matched_sets(p.actual, p.scd_table).select(
+        "workout_id", "exercise_index", "set_index", "diff_weight_kg", "diff_reps", "diff_duration_seconds", "diff_custom_metric")
 
 
 @query("cycle_number", """
 SELECT exercise_template_id, start_time, cycle_number FROM fx_fact GROUP BY ALL""")
 def q_cycle_number(spark, d):
-    return Pipeline(spark, d).fact.select("exercise_template_id", "start_time", "cycle_number").distinct()
+    return dense_rank_keys(Pipeline(spark, d).cycle_keys, ["exercise_template_id"], "start_time", "cycle_number")
 
 
 @query("cycle_number_per_routine", fact_rows("fx_matched", "exercise_template_id, routine_id"))
 def q_cycle_number_per_routine(spark, d):
     p = Pipeline(spark, d)
-    return fact.fact_workout_history(p.actual, p.scd, per_routine=True, keys=p.cycle_keys)
+    return fact.fact_workout_history(p.actual, p.scd_table, per_routine=True, keys=p.cycle_keys)
 
 
 @query("fact_ordered", "SELECT * FROM fx_fact")

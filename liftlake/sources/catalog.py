@@ -10,11 +10,17 @@ a new one is switched to.
 
 A layer whose key has not changed is read as it is, also by a later session
 with the same shared folder.
+
+A layer may be bucketed: its rows are hash-partitioned and sorted by some
+columns when written, so joins and aggregations on them need no exchange. Only
+columns with few rows each (a workout's sets) are meant for this, as a bucket
+holds all rows of a value.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -107,10 +113,10 @@ class Catalog:
         stay = {p.rsplit("/", 1)[1] for p in (path, *before)}
         for old in self.files.folders(f"{self.base}/{name}"):
             if old not in stay:
-                self.files.remove(f"{self.base}/{name}/{old}")
+                self._drop(f"{self.base}/{name}/{old}")
         return entry
 
-    def table(self, name: str, key: str, build: Callable[[], DataFrame], sort_by: tuple[str, ...] = ()) -> DataFrame:
+    def table(self, name: str, key: str, build: Callable[[], DataFrame], bucket_by: tuple[str, ...] = ()) -> DataFrame:
         """The layer as a Parquet table, built when its key is new."""
         kept = self._kept.get((session_key(self.spark), f"{self.base}/{name}"))
         if kept is not None and kept[0] == key:
@@ -120,11 +126,38 @@ class Catalog:
         def write(path: str) -> None:
             df = build()
             about["schema"] = json.loads(df.schema.json())
-            (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
-
-        current = self.manifest(name)
-        if current is None or current["key"] != key:
-            current = self.folder(name, key, write, about)
-        df = self.spark.read.schema(StructType.fromJson(current["schema"])).parquet(current["path"])
+            if not bucket_by:
+                df.write.parquet(path)
+                return
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            about["buckets"], about["bucket_by"] = n, list(bucket_by)
+            spread = df.repartition(n, *bucket_by).write.bucketBy(n, *bucket_by).sortBy(*bucket_by)
+            spread.option("path", path).format("parquet").saveAsTable(_table_name(path))
+
+        entry = self.folder(name, key, write, about)
+        df = self._read(entry)
         self._kept[session_key(self.spark), f"{self.base}/{name}"] = (key, df)
         return df
+
+    def _read(self, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        if "bucket_by" not in entry:
+            return self.spark.read.schema(schema).parquet(entry["path"])
+        name = _table_name(entry["path"])
+        if not self.spark.catalog.tableExists(name):  # written by another session
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            keys = ", ".join(f"`{c}`" for c in entry["bucket_by"])
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {entry['buckets']} BUCKETS"
+                f" LOCATION '{entry['path']}'"
+            )
+        return self.spark.table(name)
+
+    def _drop(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+        self.files.remove(path)
+
+
+def _table_name(path: str) -> str:
+    """Name of a bucketed version in the session's catalog."""
+    return "liftlake_" + re.sub(r"\W", "_", "_".join(path.rsplit("/", 2)[-2:]))

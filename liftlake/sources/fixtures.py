@@ -212,6 +212,22 @@ def plan_rows(spark: SparkSession, sf_dir: str, versions=(0, 1)) -> DataFrame:
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "routine_id")
 
 
+HISTORY_RUNS = 12
+
+
+def plan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan as ``HISTORY_RUNS`` half-yearly extracts from 1992 on would
+    have it: rows of the first snapshot with ``run_ts``; by routine key k, run r
+    and exercise e: absent where (k + e + r) % 7 == 0, weights rising by 2.5
+    every fourth run (at another one for each k % 5); the extract of run 6 is
+    empty."""
+    p = plan_rows(spark, sf_dir, versions=(0,)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(HISTORY_RUNS - 1))))
+    k, r = F.col("routine_id").cast("long"), F.col("r")
+    kept = p.where((r != 6) & ((k + F.col("exercise_index") + r) % 7 != 0))
+    return kept.withColumn("weight_kg", F.col("weight_kg") + 2.5 * F.floor((r + k % 5) / 4)).withColumn(
+        "run_ts", F.expr("TIMESTAMP_NTZ'1992-01-01 00:00:00' + make_ym_interval(0, 6 * r)")).drop("r", "ver")
+
+
 ROUTINE_HEADER_COLS = ["routine_id", "title", "folder_id", "updated_at", "created_at"]
 ROUTINE_DETAIL_COLS = [
     "routine_id", "exercise_index", "exercise_title", "exercise_notes", "rest_seconds",
@@ -253,14 +269,17 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+BY_WORKOUT = ("workout_id",)
 SET_SOURCES, PLAN_SOURCES = ("orders", "lineitem", "part"), ("orders", "lineitem", "customer", "part")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build, sources: tuple[str, ...] = SOURCES, bucket_by: tuple[str, ...] = ()
+) -> DataFrame:
     """A layer table in the shared folder, built once for each state of the
     tables it comes from, the way the bronze layer is persisted before silver
     and gold read it."""
-    return Catalog(spark).table(_layer(sf_dir, name), inputs.state_key(spark, sf_dir, sources), build)
+    return Catalog(spark).table(_layer(sf_dir, name), inputs.state_key(spark, sf_dir, sources), build, bucket_by)
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, write, sources: tuple[str, ...] = SOURCES) -> str:
@@ -293,17 +312,22 @@ class Bronze:
     def workouts(self) -> DataFrame:
         return workouts(self.spark, self.sf_dir)
 
+    @property
+    def workouts_by_id(self) -> DataFrame:
+        """The workouts in the buckets of their sets and exercises."""
+        return stored(self.spark, self.sf_dir, "workouts", lambda: workouts(self.spark, self.sf_dir), ("orders",), BY_WORKOUT)
+
     @property
     def routine_details(self) -> DataFrame:
         return stored(self.spark, self.sf_dir, "details1", lambda: routine_details(self.spark, self.sf_dir, 1), PLAN_SOURCES)
 
     @property
     def workout_exercises(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "exercises", lambda: workout_exercises(self.spark, self.sf_dir), SET_SOURCES)
+        return stored(self.spark, self.sf_dir, "exercises", lambda: workout_exercises(self.spark, self.sf_dir), SET_SOURCES, BY_WORKOUT)
 
     @property
     def workout_sets(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "sets", lambda: workout_sets(self.spark, self.sf_dir), SET_SOURCES)
+        return stored(self.spark, self.sf_dir, "sets", lambda: workout_sets(self.spark, self.sf_dir), SET_SOURCES, BY_WORKOUT)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> Bronze:
