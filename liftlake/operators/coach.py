@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftlake.operators.fact import with_exercise
 from liftlake.functions.metrics import e1rm
 
 # Fixed values of the coach rules.
@@ -35,12 +36,17 @@ def recent_sets(sets: DataFrame, workouts: DataFrame, exercises: DataFrame, n: i
     start time broken by workout, exercise and set index)."""
     s = sets.filter(F.col("set_type") == "normal").select("workout_id", "exercise_index", "set_index", "weight_kg",
                                                           "reps", "rpe")
-    j = (s.join(exercises.select("workout_id", "exercise_index", "exercise_template_id"),
-                ["workout_id", "exercise_index"], "inner")
-         .join(workouts.select("workout_id", "start_time"), "workout_id", "inner"))
+    j = with_exercise(s.join(workouts.select("workout_id", "start_time"), "workout_id", "inner"),
+                      exercises.select("workout_id", "exercise_index", "exercise_template_id"))
+    return newest_sets(j, n)
+
+
+def newest_sets(sets: DataFrame, n: int = HISTORY_SETS) -> DataFrame:
+    """The newest ``n`` rows of every template, numbered as ``rn``; a rank
+    filter that each task applies before the shuffle."""
     w = Window.partitionBy("exercise_template_id").orderBy(
         F.col("start_time").desc_nulls_last(), "workout_id", "exercise_index", "set_index")
-    return j.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return sets.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
 def session_history(recent: DataFrame, n: int = HISTORY_SESSIONS) -> DataFrame:

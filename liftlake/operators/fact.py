@@ -35,6 +35,15 @@ PLAN_VALUE_COLS = {
 }
 
 
+def with_exercise(sets: DataFrame, exercises: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of ``sets`` with the exercise they belong to. The join key is the
+    workout id alone, so that tables bucketed by it meet without an exchange;
+    the exercise index is compared within a workout, which has few of either."""
+    e = exercises.withColumnsRenamed({"workout_id": "_e_workout_id", "exercise_index": "_e_index"})
+    same = (F.col("workout_id") == F.col("_e_workout_id")) & (F.col("exercise_index") - F.col("_e_index") == 0)
+    return sets.join(e, same, how).drop("_e_workout_id", "_e_index")
+
+
 def actual_sets(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> DataFrame:
     """G1: performed sets of workouts that follow a routine. Null set type
     counts as 'normal', null RPE as 7."""
@@ -43,7 +52,7 @@ def actual_sets(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> D
     e = exercises.select("workout_id", "exercise_index", "exercise_template_id")
     s = sets.select("workout_id", "exercise_index", "set_index", "set_type", "weight_kg", "reps",
                     "distance_meters", "duration_seconds", "rpe", "custom_metric")
-    j = s.join(w, "workout_id", "inner").join(e, ["workout_id", "exercise_index"], "inner")
+    j = with_exercise(s.join(w, "workout_id", "inner"), e)
     return j.select(
         "workout_id", "routine_id", "start_time", "end_time", "updated_at", "exercise_template_id",
         "exercise_index", "set_index",
@@ -62,7 +71,7 @@ def cycle_keys(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> Da
     w = workouts.filter(F.col("routine_id").isNotNull()).select("workout_id", "routine_id", "start_time")
     e = exercises.select("workout_id", "exercise_index", "exercise_template_id")
     s = sets.select("workout_id", "exercise_index")
-    return (e.join(s, ["workout_id", "exercise_index"], "left_semi").join(w, "workout_id", "inner")
+    return (with_exercise(e, s, "left_semi").join(w, "workout_id", "inner")
             .select("exercise_template_id", "routine_id", "start_time"))
 
 
@@ -74,7 +83,7 @@ def workout_headers(actual: DataFrame) -> DataFrame:
 def workout_headers_of(sets: DataFrame, workouts: DataFrame, exercises: DataFrame) -> DataFrame:
     """G2 from the workouts themselves: those that follow a routine and have a
     set of a listed exercise. No value of a set is read."""
-    listed = sets.select("workout_id", "exercise_index").join(exercises.select("workout_id", "exercise_index"), ["workout_id", "exercise_index"], "left_semi")
+    listed = with_exercise(sets.select("workout_id", "exercise_index"), exercises.select("workout_id", "exercise_index"), "left_semi")
     w = workouts.filter(F.col("routine_id").isNotNull()).select("workout_id", "routine_id", "start_time")
     return w.join(listed.select("workout_id"), "workout_id", "left_semi").distinct()
 

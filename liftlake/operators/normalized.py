@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftlake.operators.coach import newest_sets, session_history
 from liftlake.sources.enums import enum_dimensions
 
 LEGACY_DEFAULT_STEP = 2.5
@@ -89,11 +90,16 @@ def norm_routine_sets(flat_routines: DataFrame) -> DataFrame:
                        "rep_range_end", "distance_meters", "duration_seconds", "rpe")
 
 
+def norm_workouts(flat_workouts: DataFrame) -> DataFrame:
+    """Distinct workout headers."""
+    return flat_workouts.select(F.col("workout_id").alias("id"), "title", "description", "start_time", "end_time",
+                                "created_at", "updated_at", "routine_id").distinct()
+
+
 def norm_workouts_priority(flat_workouts: DataFrame, n: int = PRIORITY_COUNT) -> DataFrame:
     """I8: distinct workout headers; the newest ``n`` (ties by id) flagged
     as priority. The top n is a distributed top-k broadcast back (n rows)."""
-    w = flat_workouts.select(F.col("workout_id").alias("id"), "title", "description", "start_time", "end_time",
-                             "created_at", "updated_at", "routine_id").distinct()
+    w = norm_workouts(flat_workouts)
     top = (w.select("id", "start_time").orderBy(F.col("start_time").desc_nulls_last(), F.col("id")).limit(n)
            .select(F.col("id").alias("_top")))
     return (w.join(F.broadcast(top), F.col("id") == F.col("_top"), "left")
@@ -115,27 +121,66 @@ def norm_workout_sets(flat_workouts: DataFrame) -> DataFrame:
                        "duration_seconds", "rpe", "custom_metric")
 
 
+def flat_history(flat_workouts: DataFrame) -> DataFrame:
+    """K9's history by template, from the flat workout log: the newest sessions
+    as structs (date, weight, reps, rpe), newest first."""
+    sets = flat_workouts.where("set_type = 'normal' AND exercise_template_id IS NOT NULL")
+    sessions = session_history(newest_sets(sets))
+    one = F.struct("session_no", "date", "weight", "reps", "rpe")
+    return sessions.groupBy("exercise_template_id").agg(F.array_sort(F.collect_list(one)).alias("sessions"))
+
+
+def routine_view(flat_routines: DataFrame, routine_exercises: DataFrame, templates: DataFrame, history: DataFrame) -> DataFrame:
+    """K9: routines with their exercises, sets and history. An exercise without
+    sets keeps a row."""
+    r = flat_routines.select("routine_id", F.col("title").alias("routine_title")).distinct()
+    t = templates.select(F.col("id").alias("_tid"), "title", "base_increment")
+    s = norm_routine_sets(flat_routines)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    listed = F.array_join(F.transform("sessions", lambda x: F.concat_ws("|", text(x["date"]), text(x["weight"]), text(x["reps"]), text(x["rpe"]))), ";")
+    j = (r.join(routine_exercises, "routine_id").join(t, F.col("exercise_template_id") == F.col("_tid"), "left")
+         .join(s, F.col("id") == F.col("routine_exercise_id"), "left").join(history, "exercise_template_id", "left"))
+    return j.select("routine_id", "routine_title", "order_index", F.col("id").alias("routine_exercise_id"), "exercise_template_id",
+                    "notes", "rest_seconds", "superset_id", "title", "base_increment", "set_type", "weight_kg",
+                    "reps", "rep_range_start", "rep_range_end", F.coalesce(listed, F.lit("")).alias("history"))
+
+
 def pk_violations(df: DataFrame, table: str, keys: list[str], not_null: list[str] = ()) -> DataFrame:
-    """Duplicate or null primary keys and null NOT NULL columns."""
+    """Duplicate or null primary keys and null NOT NULL columns, by one
+    aggregation over the table. A table without a key of its own (``keys`` are
+    then what names a row) is checked for nulls with ``unique`` left out."""
+    return constraint_report(df, table, keys, not_null)
+
+
+def constraint_report(df: DataFrame, table: str, keys: list[str], not_null: list[str] = (), unique: bool = True) -> DataFrame:
+    """(table_name, key, problem, n) for each key and rule with violations."""
     k = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in keys])
-    dup = (df.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-           .select(F.lit(table).alias("table_name"), "key", F.lit("duplicate key").alias("problem"),
-                   F.col("n").cast("bigint").alias("n")))
-    out = dup
-    null_key = None
+    null_key = F.lit(False)
     for c in keys:
-        e = F.col(c).isNull()
-        null_key = e if null_key is None else null_key | e
-    checks = [("null key", null_key)] + [(f"null {c}", F.col(c).isNull()) for c in not_null]
-    for name, cond in checks:
-        out = out.unionByName(df.filter(cond).groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(table).alias("table_name"), "key", F.lit(name).alias("problem"), F.col("n").cast("bigint")))
-    return out
-
-
-def fk_violations(child: DataFrame, parent: DataFrame, fk: str, child_col: str, parent_col: str) -> DataFrame:
-    """Child rows whose (non-null) foreign key has no parent row."""
-    p = parent.select(F.col(parent_col).alias("_pk")).distinct()
-    orphans = child.filter(F.col(child_col).isNotNull()).join(p, F.col(child_col) == F.col("_pk"), "left_anti")
-    return orphans.groupBy(F.col(child_col).cast("string").alias("key")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(fk).alias("foreign_key"), "key", "n")
+        null_key = null_key | F.col(c).isNull()
+    rules = [("null key", F.count_if(null_key))] if unique else []
+    rules += [(f"null {c}", F.count_if(F.col(c).isNull())) for c in not_null]
+    rows = F.count(F.lit(1))
+    rules = [("duplicate key", F.when(rows > 1, rows).otherwise(0))] * unique + rules
+    found = F.array(*[F.struct(F.lit(name).alias("problem"), n.cast("bigint").alias("n")) for name, n in rules])
+    return df.groupBy(k.alias("key")).agg(found.alias("found")).select(F.lit(table).alias("table_name"), "key", F.inline("found")).where("n > 0")
+
+
+def fk_violations(children: list[tuple[DataFrame, dict[str, str]]], parents: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """(foreign_key, key, n) of child rows whose (non-null) foreign key has
+    no parent row. ``children``: tables with their foreign keys by name and
+    column; ``parents``: tables with their key column and the foreign keys that
+    refer to it. Each child is read once for all its keys and counted before
+    the shuffle; each parent gives its keys once for all that refer to it; one
+    anti join settles them all."""
+    refs = keys = None
+    for df, columns in children:
+        pairs = F.array(*[F.struct(F.lit(fk).alias("foreign_key"), F.col(c).cast("string").alias("key")) for fk, c in columns.items()])
+        own = df.select(F.inline(pairs)).where("key IS NOT NULL")
+        refs = own if refs is None else refs.unionByName(own)
+    for df, column, names in parents:
+        own = df.select(F.col(column).cast("string").alias("key")).where("key IS NOT NULL").select(
+            F.explode(F.array(*map(F.lit, names))).alias("foreign_key"), "key")
+        keys = own if keys is None else keys.unionByName(own)
+    counted = refs.groupBy("foreign_key", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(keys.distinct(), ["foreign_key", "key"], "left_anti")

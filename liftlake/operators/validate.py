@@ -189,6 +189,15 @@ def validate_routines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(p, checks, typed, keep)
 
 
+def _variant(check) -> Column:
+    """``check`` of the whole document as a variant (documents without nested
+    lists are small, so each is parsed)."""
+    return F.coalesce(check(F.try_parse_json(F.col("item"))), F.lit(False))
+
+
+WRONG_KIND = "a text field is no text"
+
+
 def validate_templates(items: DataFrame, is_custom_default_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """B3 (+B6): id and title required, muscle list defaults to [] (explicit
     null rejected), is_custom defaults to False (an explicit null stays null
@@ -202,7 +211,10 @@ def validate_templates(items: DataFrame, is_custom_default_only: bool = False) -
               ("missing title", v["title"].isNotNull()),
               ("secondary_muscle_groups is not a list", _list_ok(k, v["secondary_muscle_groups"],
                                                                  "secondary_muscle_groups")),
-              ("is_custom is not a boolean", custom_ok)]
+              ("is_custom is not a boolean", custom_ok),
+              (WRONG_KIND, _variant(lambda doc: _text(doc, "id", True, number=True) & _texts(
+                  doc, ["title"], ["type", "primary_muscle_group", "equipment_category"]) & F.coalesce(
+                  F.forall(_at(doc, "secondary_muscle_groups", "array<variant>"), lambda m: F.schema_of_variant(m) == "STRING"), F.lit(True))))]
     typed = [v["id"].alias("id"), v["title"].alias("title"), v["type"].alias("type"),
              v["primary_muscle_group"].alias("primary_muscle_group"),
              v["equipment_category"].alias("equipment_category"),
@@ -217,7 +229,8 @@ def validate_folders(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = items.select("*", F.json_object_keys("item").alias("_k"), F.from_json("item", FOLDER_RAW).alias("_v"))
     k, v = F.col("_k"), F.col("_v")
     checks = [("not a JSON object", k.isNotNull()), ("missing id", v["id"].isNotNull()),
-              ("missing or bad index", int_ok(v["index"], True)), ("missing title", v["title"].isNotNull())]
+              ("missing or bad index", int_ok(v["index"], True)), ("missing title", v["title"].isNotNull()),
+              (WRONG_KIND, _variant(lambda doc: _text(doc, "id", True, number=True) & _texts(doc, ["title"], ["updated_at", "created_at"])))]
     typed = [v["id"].alias("id"), to_int(v["index"]).alias("index"), v["title"].alias("title"),
              v["updated_at"].alias("updated_at"), v["created_at"].alias("created_at")]
     return _split(p, checks, typed, keep)
@@ -235,7 +248,8 @@ def validate_events(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     w_ok = v["workout"].isNull() | (wk.isNotNull() & wv["id"].isNotNull() & wv["title"].isNotNull()
                                     & F.col("_listed") & F.col("_all_ok"))
     checks = [("not a JSON object", k.isNotNull()), ("missing type", v["type"].isNotNull()),
-              ("invalid workout", w_ok)]
+              ("invalid workout", w_ok),
+              (WRONG_KIND, _variant(lambda doc: _texts(doc, ["type"], ["deleted_at"]) & _text(doc, "id", number=True)))]
     workout = F.when(v["workout"].isNotNull(), F.struct(
         wv["id"].alias("id"), wv["title"].alias("title"), wv["description"].alias("description"),
         wv["start_time"].alias("start_time"), wv["end_time"].alias("end_time"), wv["updated_at"].alias("updated_at"),

@@ -81,7 +81,7 @@ cte("fx_t_valid", """
 SELECT id, title, type, primary_muscle_group,
        CASE WHEN CAST(id AS BIGINT) % 37 = 0 THEN '[]' ELSE secondary_muscle_groups END AS secondary_muscle_groups,
        is_custom
-FROM fx_templates WHERE CAST(id AS BIGINT) % 29 <> 0 AND CAST(id AS BIGINT) % 31 <> 0""")
+FROM fx_templates WHERE CAST(id AS BIGINT) % 29 <> 0 AND CAST(id AS BIGINT) % 31 <> 0 AND CAST(id AS BIGINT) % 43 <> 0""")
 
 cte("fx_events_typed", """
 SELECT event_id, ts, user_id, value,
@@ -221,11 +221,15 @@ SELECT 'routines', routine_id,
 FROM fx_routines WHERE routine_id NOT IN (SELECT routine_id FROM fx_r_valid)
 UNION ALL
 SELECT 'exercise_templates', id,
-       CASE WHEN CAST(id AS BIGINT) % 29 = 0 THEN 'missing title' ELSE 'secondary_muscle_groups is not a list' END
-FROM fx_templates WHERE id NOT IN (SELECT id FROM fx_t_valid)""")
+       CASE WHEN CAST(id AS BIGINT) % 29 = 0 THEN 'missing title' WHEN CAST(id AS BIGINT) % 31 = 0 THEN 'secondary_muscle_groups is not a list'
+            ELSE 'a text field is no text' END
+FROM fx_templates WHERE id NOT IN (SELECT id FROM fx_t_valid)
+UNION ALL SELECT 'routine_folders', CAST(n_nationkey AS VARCHAR), 'missing or bad index' FROM nation WHERE n_nationkey % 7 = 3
+UNION ALL
+SELECT 'events', CASE WHEN event_type = 'error' THEN 'ev-' || CAST(event_id AS VARCHAR) END, 'missing type' FROM events WHERE event_id % 53 = 0""")
 def q_quarantine_invalid(spark, d):
     out = None
-    for entity in ["workouts", "routines", "exercise_templates"]:
+    for entity in va.VALIDATORS:
         rej = va.validate(_items(spark, d, entity), entity)[1].select(
             F.lit(entity).alias("entity"), F.get_json_object("item", "$.id").alias("id"), "reason")
         out = rej if out is None else out.unionByName(rej)

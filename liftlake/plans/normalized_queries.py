@@ -150,78 +150,116 @@ def q_norm_workout_sets(spark, d):
     return nm.norm_workout_sets(lg.flat_workouts)
 
 
-@query("check_primary_keys", """
-SELECT 'silver_routines' AS table_name, id AS key, 'duplicate key' AS problem, CAST(COUNT(*) AS BIGINT) AS n
-FROM (SELECT DISTINCT routine_id AS id, title, folder_id, created_at, updated_at FROM fx_flat_routines) r
-GROUP BY id HAVING COUNT(*) > 1
-UNION ALL
-SELECT 'silver_workouts', id, 'duplicate key', CAST(COUNT(*) AS BIGINT) FROM fx_norm_workouts GROUP BY id HAVING COUNT(*) > 1
-UNION ALL
-SELECT 'silver_exercise_templates', id, 'duplicate key', CAST(COUNT(*) AS BIGINT) FROM fx_norm_templates
-GROUP BY id HAVING COUNT(*) > 1
-UNION ALL
-SELECT 'silver_exercise_templates', id, 'null title', CAST(COUNT(*) AS BIGINT) FROM fx_norm_templates
-WHERE title IS NULL GROUP BY id""")
+# (table, its rows, key, NOT NULL columns, whether the key must be unique)
+_CHECKED = [
+    ("silver_routine_folders", "SELECT DISTINCT id, title, created_at, updated_at FROM fx_folders_json", "id", ["title"], True),
+    ("silver_exercise_templates", "SELECT * FROM fx_norm_templates", "id", ["title"], True),
+    ("silver_routines", "SELECT DISTINCT routine_id AS id, title, folder_id, created_at, updated_at FROM fx_flat_routines", "id", ["title"], True),
+    ("silver_routine_exercises", "SELECT * FROM fx_norm_routine_exercises", "id", ["routine_id"], True),
+    ("silver_routine_sets", "SELECT * FROM fx_norm_routine_sets", "routine_exercise_id", ["routine_exercise_id"], False),
+    ("silver_workouts", "SELECT * FROM fx_norm_workouts", "id", [], True),
+    ("silver_workout_exercises", "SELECT * FROM fx_norm_workout_exercises", "id", ["workout_id"], True),
+    ("silver_workout_sets", "SELECT * FROM fx_norm_workout_sets", "workout_exercise_id", ["workout_exercise_id"], False),
+    ("silver_exercise_progression", "SELECT * FROM fx_norm_progression", "exercise_title", [], True),
+]
+
+
+def _checks_sql() -> str:
+    out = []
+    for table, rows, key, not_null, unique in _CHECKED:
+        head = f"SELECT '{table}' AS table_name, ifnull(CAST({key} AS VARCHAR), '<null>') AS key"
+        if unique:
+            out.append(f"{head}, 'duplicate key' AS problem, COUNT(*) AS n FROM ({rows}) t GROUP BY {key} HAVING COUNT(*) > 1")
+            out.append(f"{head}, 'null key' AS problem, COUNT(*) AS n FROM ({rows}) t WHERE {key} IS NULL GROUP BY {key}")
+        out += [f"{head}, 'null {c}' AS problem, COUNT(*) AS n FROM ({rows}) t WHERE {c} IS NULL GROUP BY {key}" for c in not_null]
+    return " UNION ALL ".join(out)
+
+
+@query("check_primary_keys", _checks_sql())
 def q_check_primary_keys(spark, d):
+    """Every table of the model that states a key or NOT NULL columns, but for
+    the enum tables, which hold each value once by construction."""
     lg = Legacy(spark, d)
-    parts = [nm.pk_violations(nm.norm_routines(lg.flat_routines), "silver_routines", ["id"]),
-             nm.pk_violations(nm.norm_workouts_priority(lg.flat_workouts), "silver_workouts", ["id"]),
-             nm.pk_violations(lg.templates_norm(), "silver_exercise_templates", ["id"], ["title"]),
-             nm.pk_violations(nm.norm_folders(lg.folders), "silver_routine_folders", ["id"]),
-             nm.pk_violations(lg.routine_exercises(), "silver_routine_exercises", ["id"]),
-             nm.pk_violations(lg.workout_exercises(), "silver_workout_exercises", ["id"]),
-             nm.pk_violations(lg.progression, "silver_exercise_progression", ["exercise_title"]),
-             *(nm.pk_violations(df, table, ["name"]) for table, df in nm.norm_enums(spark).items())]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    rows = {
+        "silver_routine_folders": nm.norm_folders(lg.folders), "silver_exercise_templates": lg.templates_norm(),
+        "silver_routines": nm.norm_routines(lg.flat_routines), "silver_routine_exercises": lg.routine_exercises(),
+        "silver_routine_sets": nm.norm_routine_sets(lg.flat_routines), "silver_workouts": nm.norm_workouts(lg.flat_workouts),
+        "silver_workout_exercises": lg.workout_exercises(), "silver_workout_sets": nm.norm_workout_sets(lg.flat_workouts),
+        "silver_exercise_progression": lg.progression,
+    }
+    out = None
+    for table, _, key, not_null, unique in _CHECKED:
+        own = nm.constraint_report(rows[table], table, [key], not_null, unique)
+        out = own if out is None else out.unionByName(own)
     return out
 
 
-@query("check_foreign_keys", """
-SELECT 'silver_routines.folder_id' AS foreign_key, folder_id AS key, CAST(COUNT(*) AS BIGINT) AS n
-FROM (SELECT DISTINCT routine_id, folder_id FROM fx_flat_routines) r
-WHERE folder_id IS NOT NULL AND folder_id NOT IN (SELECT id FROM fx_folders_json) GROUP BY folder_id
-UNION ALL
-SELECT 'silver_routine_exercises.exercise_template_id', exercise_template_id, CAST(COUNT(*) AS BIGINT)
-FROM fx_norm_routine_exercises
-WHERE exercise_template_id IS NOT NULL AND exercise_template_id NOT IN (SELECT id FROM fx_norm_templates)
-GROUP BY exercise_template_id
-UNION ALL
-SELECT 'silver_workout_exercises.exercise_template_id', exercise_template_id, CAST(COUNT(*) AS BIGINT)
-FROM fx_norm_workout_exercises
-WHERE exercise_template_id IS NOT NULL AND exercise_template_id NOT IN (SELECT id FROM fx_norm_templates)
-GROUP BY exercise_template_id""")
+# (child, its rows, column, parent rows and key)
+_TEMPLATE_IDS = "SELECT id FROM fx_norm_templates"
+_REFERENCES = [
+    ("silver_exercise_secondary_muscles.exercise_template_id",
+     "SELECT id AS exercise_template_id FROM (SELECT id, UNNEST(CAST(json(secondary_muscle_groups) AS VARCHAR[])) FROM fx_t_json)", _TEMPLATE_IDS),
+    ("silver_routines.folder_id", "SELECT DISTINCT routine_id AS id, title, folder_id, created_at, updated_at FROM fx_flat_routines", "SELECT id FROM fx_folders_json"),
+    ("silver_routine_exercises.routine_id", "SELECT * FROM fx_norm_routine_exercises", "SELECT routine_id AS id FROM fx_flat_routines"),
+    ("silver_routine_exercises.exercise_template_id", "SELECT * FROM fx_norm_routine_exercises", _TEMPLATE_IDS),
+    ("silver_routine_sets.routine_exercise_id", "SELECT * FROM fx_norm_routine_sets", "SELECT id FROM fx_norm_routine_exercises"),
+    ("silver_workout_exercises.workout_id", "SELECT * FROM fx_norm_workout_exercises", "SELECT id FROM fx_norm_workouts"),
+    ("silver_workout_exercises.exercise_template_id", "SELECT * FROM fx_norm_workout_exercises", _TEMPLATE_IDS),
+    ("silver_workout_sets.workout_exercise_id", "SELECT * FROM fx_norm_workout_sets", "SELECT id FROM fx_norm_workout_exercises"),
+]
+
+
+@query("check_foreign_keys", " UNION ALL ".join(
+    f"""SELECT '{fk}' AS foreign_key, CAST(c.{fk.split('.')[1]} AS VARCHAR) AS key, COUNT(*) AS n FROM ({child}) c
+ANTI JOIN ({parent}) p ON c.{fk.split('.')[1]} = p.id WHERE c.{fk.split('.')[1]} IS NOT NULL GROUP BY 2""" for fk, child, parent in _REFERENCES))
 def q_check_foreign_keys(spark, d):
+    """The model's seven foreign keys and the template of a performed exercise."""
     lg = Legacy(spark, d)
-    routines = lg.flat_routines.select("routine_id", "folder_id").distinct()
-    t = lg.templates_norm()
-    return (nm.fk_violations(routines, lg.folders, "silver_routines.folder_id", "folder_id", "id")
-            .unionByName(nm.fk_violations(lg.routine_exercises(), t, "silver_routine_exercises.exercise_template_id",
-                                          "exercise_template_id", "id"))
-            .unionByName(nm.fk_violations(lg.workout_exercises(), t, "silver_workout_exercises.exercise_template_id",
-                                          "exercise_template_id", "id")))
-
-
-@query("routine_with_exercises", """
+    template = "exercise_template_id"
+    children = [
+        (nm.norm_secondary_muscles(lg.templates), {"silver_exercise_secondary_muscles.exercise_template_id": template}),
+        (nm.norm_routines(lg.flat_routines), {"silver_routines.folder_id": "folder_id"}),
+        (lg.routine_exercises(), {"silver_routine_exercises.routine_id": "routine_id", "silver_routine_exercises.exercise_template_id": template}),
+        (nm.norm_routine_sets(lg.flat_routines), {"silver_routine_sets.routine_exercise_id": "routine_exercise_id"}),
+        (lg.workout_exercises(), {"silver_workout_exercises.workout_id": "workout_id", "silver_workout_exercises.exercise_template_id": template}),
+        (nm.norm_workout_sets(lg.flat_workouts), {"silver_workout_sets.workout_exercise_id": "workout_exercise_id"}),
+    ]
+    of_template = [f"{t}.exercise_template_id" for t in ("silver_exercise_secondary_muscles", "silver_routine_exercises", "silver_workout_exercises")]
+    parents = [
+        (lg.templates_norm(), "id", of_template), (lg.folders, "id", ["silver_routines.folder_id"]),
+        (lg.flat_routines, "routine_id", ["silver_routine_exercises.routine_id"]), (lg.routine_exercises(), "id", ["silver_routine_sets.routine_exercise_id"]),
+        (lg.flat_workouts, "workout_id", ["silver_workout_exercises.workout_id"]), (lg.workout_exercises(), "id", ["silver_workout_sets.workout_exercise_id"]),
+    ]
+    return nm.fk_violations(children, parents)
+
+
+_HISTORY = """
+h AS (
+  SELECT exercise_template_id, CAST(start_time AS DATE) AS day, weight_kg, reps, rpe,
+         row_number() OVER (PARTITION BY exercise_template_id ORDER BY start_time DESC NULLS LAST, workout_id, exercise_index, set_index) AS rn
+  FROM fx_flat_workouts WHERE set_type = 'normal' AND exercise_template_id IS NOT NULL QUALIFY rn <= 20),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY exercise_template_id, day ORDER BY ifnull(weight_kg, 0) DESC, ifnull(reps, 0) DESC, rn) = 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY exercise_template_id ORDER BY day DESC) AS no FROM b QUALIFY no <= 5),
+history AS (
+  SELECT exercise_template_id, string_agg(concat_ws('|', CAST(day AS VARCHAR), ifnull(CAST(weight_kg AS VARCHAR), ''), ifnull(CAST(reps AS VARCHAR), ''),
+         ifnull(CAST(rpe AS VARCHAR), '')), ';' ORDER BY no) AS history
+  FROM s GROUP BY 1)"""
+
+
+@query("routine_with_exercises", "WITH" + _HISTORY + """
 SELECT r.id AS routine_id, r.title AS routine_title, re.order_index, re.id AS routine_exercise_id,
        re.exercise_template_id, re.notes, re.rest_seconds, re.superset_id, t.title, t.base_increment,
-       s.set_type, s.weight_kg, s.reps, s.rep_range_start, s.rep_range_end
+       s.set_type, s.weight_kg, s.reps, s.rep_range_start, s.rep_range_end, ifnull(history, '') AS history
 FROM (SELECT DISTINCT routine_id AS id, title FROM fx_flat_routines) r
 JOIN fx_norm_routine_exercises re ON re.routine_id = r.id
 LEFT JOIN fx_norm_templates t ON re.exercise_template_id = t.id
-JOIN fx_norm_routine_sets s ON s.routine_exercise_id = re.id""")
+LEFT JOIN fx_norm_routine_sets s ON s.routine_exercise_id = re.id
+LEFT JOIN history ON history.exercise_template_id = re.exercise_template_id""")
 def q_routine_with_exercises(spark, d):
+    """Set rows of each routine exercise (one row without set values where it
+    has none), with the exercise's newest sessions as ``day|weight|reps|rpe``."""
     lg = Legacy(spark, d)
-    r = lg.flat_routines.select(F.col("routine_id"), F.col("title").alias("routine_title")).distinct()
-    re_ = lg.routine_exercises()
-    t = lg.templates_norm().select(F.col("id").alias("_tid"), "title", "base_increment")
-    s = nm.norm_routine_sets(lg.flat_routines, re_)
-    j = (r.join(re_, "routine_id").join(t, F.col("exercise_template_id") == F.col("_tid"), "left")
-         .join(s, F.col("id") == F.col("routine_exercise_id")))
-    return j.select("routine_id", "routine_title", "order_index", "routine_exercise_id", "exercise_template_id",
-                    "notes", "rest_seconds", "superset_id", "title", "base_increment", "set_type", "weight_kg",
-                    "reps", "rep_range_start", "rep_range_end")
+    return nm.routine_view(lg.flat_routines, lg.routine_exercises(), lg.templates_norm(), nm.flat_history(lg.flat_workouts))
 
 
 @query("norm_enums", """

@@ -126,7 +126,7 @@ def landed_routine_pages(spark: SparkSession, sf_dir: str, ver: int = 1) -> Data
 def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exercise templates; by part key: % 29 -> no title (invalid), % 31 ->
     explicit null muscle list (invalid), % 37 -> muscle list absent
-    (defaults to [])."""
+    (defaults to []), % 43 -> the title is a number (invalid)."""
     p = fx.read_table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     doc = F.struct(
@@ -139,6 +139,7 @@ def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") > 40).alias("is_custom"))
     item = F.to_json(doc, _NULLS)
     item = F.when(k % 37 == 0, F.regexp_replace(item, r',"secondary_muscle_groups":\[[^\]]*\]', "")).otherwise(item)
+    item = F.when(k % 43 == 0, F.regexp_replace(item, r'"title":"(?:[^"\\]|\\.)*"', '"title":43')).otherwise(item)
     return p.select(k.alias("key"), item.alias("item"))
 
 
