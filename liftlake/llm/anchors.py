@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, text_chunks
 from .hashing import byte_values, gram_hashes, mix, window_minima, words
 
-_POS_BITS = np.uint64(28)
-_POS_MASK = np.uint64((1 << 28) - 1)
+# A text has fewer than 2**31 bytes. Where the hash bits above the place agree,
+# the first gram of a window is its smallest, in equal windows the same one.
+_POS_MASK = np.uint64((1 << 31) - 1)
 _TOLD = np.iinfo(np.int64).max  # marks an entry whose places are already known
 
 
@@ -54,8 +55,6 @@ class Windows:
         none = np.zeros(0, np.int64)
         if n <= 0:
             return none, none, none, none.astype(np.uint64)
-        if len(values) > int(_POS_MASK):
-            raise ValueError("a single text has more than 2**28 units")
         keys = (grams & ~_POS_MASK) | np.arange(len(grams), dtype=np.uint64)
         best = window_minima(keys, self.window - self.gram + 1)
         long_enough = np.diff(bounds) >= self.window
@@ -170,13 +169,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_anchors(docs: DataFrame, win: Windows) -> DataFrame:
-    """(did, places): for each document its anchors that occur elsewhere too,
+    """(dk, places): for each document its anchors that occur elsewhere too,
     as packed 32-bit places. 48 hash bits and the bucket tell anchors apart; a
-    chance collision only adds a place, which later steps find unrepeated."""
+    chance collision only adds a place, which later steps find unrepeated. So
+    does one of two ``dk``. ``docs`` comes from ``with_key``."""
     buckets = shuffle_partitions(docs.sparkSession)
-    sent = docs.select("did", "text").mapInArrow(_send(win, buckets), _SENT)
+    sent = docs.select(F.col("dk").alias("did"), "text").mapInArrow(_send(win, buckets), _SENT)
     met = sent.repartition(buckets, "bucket").mapInArrow(_meet, "did long, places binary")
-    return met.groupBy("did").agg(F.collect_list("places").alias("places"))
+    return met.groupBy(F.col("did").alias("dk")).agg(F.collect_list("places").alias("places"))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """Documents of ``common.keyed`` with ``dk``, which names a row by its id
+    and text alike: texts without an id, or under one id, stay apart."""
+    return docs.withColumn("dk", _key())
+
+
+def _key():
+    # 62 bits, so that it is never the mark of ``_send``.
+    return F.shiftrightunsigned(F.xxhash64("did", "th"), 2)
 
 
 SEGMENT = "anchor long, did long, th long, start long, payload binary, repeats binary"
@@ -241,10 +252,10 @@ def segments(docs: DataFrame, win: Windows) -> DataFrame:
     """Rows (anchor, did, th, start, payload, repeats), partitioned by anchor
     and sorted by anchor and place. ``payload`` holds the run's window hashes
     (words) or its bytes; ``repeats`` the later places of an equal run."""
-    # All columns go along: the caller's join by ``did`` then reads the same
+    # All columns go along: the caller's join by ``dk`` then reads the same
     # shuffled texts as this one instead of shuffling them again.
     return (
-        docs.join(repeated_anchors(docs, win), "did")
+        docs.join(repeated_anchors(docs, win), "dk")
         .mapInArrow(_cut(win), SEGMENT)
         .repartition(shuffle_partitions(docs.sparkSession), "anchor")
         .sortWithinPartitions("anchor", "did", "th", "start")
@@ -269,7 +280,8 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("did").agg(F.collect_list(F.struct("th", "start", "length")).alias("spans"))
+    """(dk, spans)."""
+    return spans.groupBy(_key().alias("dk")).agg(F.collect_list(F.struct("th", "start", "length")).alias("spans"))
 
 
 def covered(spans: list, th: int, size: int) -> np.ndarray:
@@ -283,4 +295,4 @@ def covered(spans: list, th: int, size: int) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
-__all__ = ["Windows", "repeated_anchors", "segments", "grouped", "spans_by_document", "covered", "mix"]
+__all__ = ["Windows", "repeated_anchors", "segments", "grouped", "spans_by_document", "covered", "mix", "with_key"]

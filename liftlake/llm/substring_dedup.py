@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import SPAN, SPAN_ARROW, Windows, covered, grouped, segments, spans_by_document
+from .anchors import SPAN, SPAN_ARROW, Windows, covered, grouped, segments, spans_by_document, with_key
 from .common import keyed
 
 WINDOW_WORDS = 20
@@ -104,8 +104,8 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS) -> DataFrame:
-    """(did, spans): word spans of each document that repeat earlier text.
-    ``docs`` comes from ``common.keyed``."""
+    """(dk, spans): word spans of each document that repeat earlier text.
+    ``docs`` comes from ``anchors.with_key``."""
     runs = segments(docs, Windows(window, gram, "word"))
     return spans_by_document(runs.mapInArrow(_parse(window), SPAN))
 
@@ -135,9 +135,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256) for each document:
     its words without those covered by a window that starts earlier."""
-    keys = keyed(docs)
+    keys = with_key(keyed(docs))
     spans = duplicate_spans(keys, window, gram)
-    return keys.join(spans, "did", "left").mapInArrow(_remove, _RESULT)
+    return keys.join(spans, "dk", "left").mapInArrow(_remove, _RESULT)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import SPAN, SPAN_ARROW, Windows, covered, grouped, segments, spans_by_document
+from .anchors import SPAN, SPAN_ARROW, Windows, covered, grouped, segments, spans_by_document, with_key
 from .common import documents, keyed
 
 MATCH_BYTES = 100
@@ -190,8 +190,8 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 def duplicate_spans(
     docs: DataFrame, width: int = MATCH_BYTES, gram: int = ANCHOR_BYTES, batch_strings: int = BATCH_STRINGS
 ) -> DataFrame:
-    """(did, spans): byte spans of each document that repeat earlier text.
-    ``docs`` comes from ``common.keyed``."""
+    """(dk, spans): byte spans of each document that repeat earlier text.
+    ``docs`` comes from ``anchors.with_key``."""
     runs = segments(docs, Windows(width, gram, "byte"))
     return spans_by_document(runs.mapInArrow(_scan(width, batch_strings), SPAN))
 
@@ -228,8 +228,8 @@ _FIGURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def removal_figures(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    keys = keyed(docs)
-    rows = keys.join(duplicate_spans(keys, **options), "did", "left")
+    keys = with_key(keyed(docs))
+    rows = keys.join(duplicate_spans(keys, **options), "dk", "left")
     return rows.mapInArrow(_remove(False), f"doc_id long, {_FIGURES}")
 
 
@@ -240,8 +240,9 @@ def remove_repeated_bytes(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     rest = [c for c in columns if c != "text"]
     keys = keyed(docs, F.struct(*[F.col(c) for c in rest], F.col("text").isNull().alias("__null_text")).alias("row"))
+    keys = with_key(keys)
     spans = duplicate_spans(keys, **options)
-    rows = keys.join(spans, "did", "left")
+    rows = keys.join(spans, "dk", "left")
     out = rows.mapInArrow(_remove(True), T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"kept_text string, {_FIGURES}")]))
     text = F.when(~F.col("row.__null_text"), F.col("kept_text"))
     made = {"text": text.alias("text")}

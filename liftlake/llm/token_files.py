@@ -46,17 +46,27 @@ MIN_COUNT = 24
 
 
 class Grammar:
-    """Symbols of a shard with the rules of its nonterminals."""
+    """Symbols of a shard with the rules of its nonterminals. ``lengths`` are
+    the expansion lengths of the rules, where a file holds them."""
 
-    def __init__(self, symbols: np.ndarray, rules: np.ndarray, terminals: int) -> None:
-        self.symbols, self.rules, self.terminals = symbols, rules, terminals
+    def __init__(self, symbols: np.ndarray, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> None:
+        self.symbols, self.rules, self.terminals, self._lengths = symbols, rules, terminals, lengths
+        self.expanded = 0  # rules that ``expand`` and ``read`` have spelled out
 
     def lengths(self) -> np.ndarray:
         """Expansion length of each rule. A rule uses only earlier ones."""
-        out = np.ones(self.terminals + len(self.rules), np.int64)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            out[self.terminals + i] = out[a] + out[b]
-        return out[self.terminals :]
+        if self._lengths is None:
+            out = np.ones(self.terminals + len(self.rules), np.int64)
+            for i, (a, b) in enumerate(self.rules.tolist()):
+                out[self.terminals + i] = out[a] + out[b]
+            self._lengths = out[self.terminals :]
+        return self._lengths
+
+    def symbol_lengths(self, symbols: np.ndarray) -> np.ndarray:
+        rule = symbols.astype(np.int64) - self.terminals
+        out = np.ones(len(symbols), np.int64)
+        out[rule >= 0] = self.lengths()[rule[rule >= 0]]
+        return out
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, length): symbol s stands for ids[first[s]:][:length[s]]."""
@@ -71,9 +81,35 @@ class Grammar:
         return ids, first, length
 
     def expand(self, a: int = 0, b: int | None = None) -> np.ndarray:
-        """Ids of the symbols [a, b)."""
-        ids, first, length = self.expansions()
-        return spell(self.symbols[a:b], ids, first, length)
+        """Ids of the symbols [a, b); only the rules that these need are spelled
+        out, each once."""
+        symbols = self.symbols[a:b].tolist()
+        spelled: dict[int, list[int]] = {}
+        todo = [s for s in set(symbols) if s >= self.terminals]
+        while todo:
+            s = todo[-1]
+            if s in spelled:
+                todo.pop()
+                continue
+            pair = self.rules[s - self.terminals].tolist()
+            open_ones = [x for x in pair if x >= self.terminals and x not in spelled]
+            if open_ones:
+                todo += open_ones
+                continue
+            spelled[s] = [i for x in pair for i in (spelled[x] if x >= self.terminals else (x,))]
+            todo.pop()
+        self.expanded += len(spelled)
+        return np.array([i for s in symbols for i in (spelled[s] if s >= self.terminals else (s,))], np.uint32)
+
+    def read(self, start: int, n: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """``n`` ids from the ``start``-th on of the symbols [a, b): lengths tell
+        which symbols hold them."""
+        ends = np.cumsum(self.symbol_lengths(self.symbols[a:b]))
+        if not len(ends) or n <= 0 or start >= ends[-1]:
+            return np.zeros(0, np.uint32)
+        first, last = np.searchsorted(ends, [start, min(start + n, int(ends[-1])) - 1], side="right").tolist()
+        before = int(ends[first - 1]) if first else 0
+        return self.expand(a + first, a + last + 1)[start - before :][:n]
 
 
 def spell(symbols: np.ndarray, ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -82,23 +118,57 @@ def spell(symbols: np.ndarray, ids: np.ndarray, first: np.ndarray, length: np.nd
     return ids[np.repeat(first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _pairs(symbols: np.ndarray, at: np.ndarray, end_id: int) -> np.ndarray:
+    """Keys of the pairs of two different symbols that start at ``at``, those
+    over a document end left out."""
+    a, b = symbols[at], symbols[at + 1]
+    inside = (a != end_id) & (b != end_id) & (a != b)
+    return a[inside].astype(np.uint64) << np.uint64(32) | b[inside].astype(np.uint64)
+
+
+def _twins(symbols: np.ndarray, end_id: int) -> np.ndarray:
+    """Places of pairs of equal symbols, every second one of a run."""
+    at = np.flatnonzero(symbols[:-1] == symbols[1:])
+    at = at[symbols[at] != end_id]
+    if not len(at):
+        return at
+    begins = np.concatenate(([True], np.diff(at) > 1))
+    offset = at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+    return at[offset % 2 == 0]
+
+
+def _beside(n: int, places: np.ndarray, reach: tuple[int, ...]) -> np.ndarray:
+    """Distinct pair places that touch ``places``."""
+    mark = np.zeros(n, bool)
+    for r in reach:
+        at = places + r
+        mark[at[(at >= 0) & (at < n)]] = True
+    return np.flatnonzero(mark)
+
+
+def _counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    found, count = np.unique(keys, return_counts=True)
+    often = count >= least
+    return found[often], count[often]
+
+
 def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> Grammar:
+    """Pairs are counted once; a round then takes away the pairs beside its
+    replaced places and counts those that it makes. A pair occurs most when its
+    later symbol is made and only loses places afterwards, so pairs below the
+    least count are never looked at again. Pairs of equal symbols change with
+    the runs around them and are counted in each round."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
     symbols, rules = ids.astype(np.uint32), []
+    keys, counts = _counted(_pairs(symbols, np.arange(max(len(symbols) - 1, 0)), end_id), min_count)
     while len(symbols) > 1:
-        key = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-        inside = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
-        same = symbols[:-1] == symbols[1:]
-        places = np.arange(len(same))
-        run = np.maximum.accumulate(np.where(same & np.concatenate(([True], ~same[:-1])), places, 0))
-        inside &= ~same | ((places - run) % 2 == 0)
-        ordered = np.sort(key[inside])
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(heads, len(ordered)))
-        often = np.flatnonzero(count >= min_count)
-        often = often[np.lexsort((ordered[heads[often]], -count[often]))][: 4 * pairs]
+        twins = _twins(symbols, end_id)
+        twin_ids, twin_counts = _counted(symbols[twins].astype(np.uint64), min_count)
+        all_keys = np.concatenate((keys, twin_ids << np.uint64(32) | twin_ids))
+        all_counts = np.concatenate((counts, twin_counts))
+        best = np.lexsort((all_keys, -all_counts))[: 4 * pairs]
         left, right, chosen = set(), set(), []
-        for k in ordered[heads[often]].tolist():
+        for k in all_keys[best].tolist():
             a, b = k >> 32, k & 0xFFFFFFFF
             if a not in right and b not in left:
                 left.add(a)
@@ -110,19 +180,37 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
             break
         base = terminals + len(rules)
         rules.extend((k >> 32, k & 0xFFFFFFFF) for k in chosen)
-        wanted = np.array(chosen, np.uint64)
-        order = np.argsort(wanted)
-        is_left = np.zeros(base, bool)
-        is_left[list(left)] = True
-        maybe = np.flatnonzero(is_left[symbols[:-1]] & inside)
-        at = np.searchsorted(wanted[order], key[maybe])
-        at[at == len(wanted)] = 0
-        hit = wanted[order][at] == key[maybe]
-        place = maybe[hit]
-        symbols[place] = base + order[at[hit]]
+        pair = np.array([(k >> 32, k & 0xFFFFFFFF) for k in chosen], np.int64)
+        # Places by a table over the left and right symbols of the chosen pairs.
+        lefts, rights = np.unique(pair[:, 0]), np.unique(pair[:, 1])
+        row, column = np.full(base, -1, np.int32), np.full(base, -1, np.int32)
+        row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
+        table = np.full((len(lefts), len(rights)), -1, np.int32)
+        table[row[pair[:, 0]], column[pair[:, 1]]] = np.arange(len(chosen))
+        rows, columns = row[symbols[:-1]], column[symbols[1:]]
+        maybe = np.flatnonzero((rows >= 0) & (columns >= 0))
+        odd = symbols[maybe] == symbols[maybe + 1]
+        if odd.any():
+            twin = np.zeros(len(symbols), bool)
+            twin[twins] = True
+            maybe = maybe[~odd | twin[maybe]]
+        rule = table[rows[maybe], columns[maybe]]
+        place, made = maybe[rule >= 0], base + rule[rule >= 0]
+        gone = np.searchsorted(keys, lost := _pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0, 1)), end_id))
+        known = gone < len(keys)
+        known[known] = keys[gone[known]] == lost[known]
+        if len(keys):
+            counts = counts - np.bincount(gone[known], minlength=len(keys))
+        symbols[place] = made
         stay = np.ones(len(symbols), bool)
         stay[place + 1] = False
         symbols = symbols[stay]
+        place = place - np.arange(len(place))
+        new_keys, new_counts = _counted(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0)), end_id), min_count)
+        keep = counts >= min_count
+        keys, counts = np.concatenate((keys[keep], new_keys)), np.concatenate((counts[keep], new_counts))
+        sort = np.argsort(keys)
+        keys, counts = keys[sort], counts[sort]
     return Grammar(symbols, np.array(rules, np.uint32).reshape(-1, 2), terminals)
 
 
@@ -192,13 +280,18 @@ def write_token_files(
 
 def read_grammar(row: dict) -> Grammar:
     symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
-    return Grammar(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["terminals"])
-
-
-def read_document(row: dict, i: int) -> np.ndarray:
-    """Ids of the i-th document of a shard, without expanding the others."""
-    ends = np.frombuffer(row["doc_symbols"], "<u4")
-    return read_grammar(row).expand(int(ends[i - 1]) if i else 0, int(ends[i]))
+    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    return Grammar(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["terminals"], lengths)
+
+
+def read_document(row: dict, i: int, start: int = 0, n: int | None = None) -> np.ndarray:
+    """Ids of the i-th document of a shard, all or ``n`` from ``start`` on. What
+    lies outside is not expanded."""
+    ends, grammar = np.frombuffer(row["doc_symbols"], "<u4"), read_grammar(row)
+    a, b = int(ends[i - 1]) if i else 0, int(ends[i])
+    if start == 0 and n is None:
+        return grammar.expand(a, b)
+    return grammar.read(start, row["n_tokens"] if n is None else n, a, b)
 
 
 def _read(with_ids: bool):

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 
-# Pieces kept at once in a worker, some 200 bytes each.
+# Pieces kept at once in a worker, some 200 bytes each, in two generations.
 MAX_PIECES = 1 << 20
 # Space to str.split, but not to every regex engine's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -27,7 +29,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -47,18 +52,31 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer, self.model, self.lead, self.lower = tokenizer, tokenizer.model, lead, lower
         self.letters = _byte_letters()
+        self.lead_letters = "".join([self.letters[b] for b in lead.encode()])
+        self.old: dict[str, bytes | None] = {}
+        self.ends: dict[str, bytes] = {}  # ids of closing marks
+        self.line_end = b""
         self.inner: Pieces | None = None  # pieces after a line end
 
     def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= MAX_PIECES:
+        if piece in self.old:
+            ids = self.old[piece]
+        elif piece.isalpha() and piece.isascii():
+            # One pre-token, so the model alone gives its ids.
+            letters = self.lead_letters + (piece.lower() if self.lower else piece)
+            ids = _pack([t.id for t in self.model.tokenize(letters)])
+        elif self.lower:
+            ids = self._ids(piece)
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
+            ids = None
+        elif "\n" in piece and self.inner is not None:
+            return self._lines(piece)  # made of kept pieces
+        else:
+            ids = self._ids(piece)
+        if len(self) >= MAX_PIECES // 2:
+            # Pieces that are still in use come back from the generation before.
+            self.old = dict(self)
             self.clear()
-        if not self.lower:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self[piece] = None
-                return None
-            if "\n" in piece and self.inner is not None:
-                return self._lines(piece)
-        ids = self._ids(piece)
         self[piece] = ids
         return ids
 
@@ -67,18 +85,20 @@ class Pieces(dict):
         first, *rest = piece.split("\n")
         out = [self[first]]
         for part in rest:
-            out += [self.inner["\\n"], self.inner[part]]
+            out += [self.line_end, self.inner[part]]
         return None if None in out else b"".join(out)
 
     def _ids(self, piece: str) -> bytes:
-        end = piece[-1:]
-        if end in _PLAIN_ENDS and len(piece) > 1 and piece[-2].isalnum():
-            # Letters or digits and a closing mark are different pre-tokens.
-            return self[piece[:-1]] + self._encode(end)
         if piece.isalpha() and max(piece) < "Ā":
-            # One pre-token, so the model alone gives its ids.
             text = self.lead + (piece.lower() if self.lower else piece)
             return _pack([t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))])
+        end = piece[-1:]
+        if end in _PLAIN_ENDS and len(piece) > 1 and piece[-2].isalnum():
+            # Letters or digits and a closing mark are different pre-tokens.
+            last = self.ends.get(end)
+            if last is None:
+                last = self.ends[end] = self._encode(end)
+            return self[piece[:-1]] + last
         return self._encode(self.lead + piece)
 
     def _encode(self, text: str) -> bytes:
@@ -107,7 +127,7 @@ class TextIds:
             self.first = Pieces(self.tokenizer, "", lower=False)
             self.words = Pieces(self.tokenizer, " ", lower=False)
             self.first.inner = self.words.inner = self.first
-            dict.__setitem__(self.first, "\\n", self.whole("\n"))
+            self.first.line_end = self.words.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -8,6 +8,7 @@ from liftlake.llm import substring_dedup, suffix_dedup, trie_join
 from liftlake.llm.hashing import window_minima
 
 from . import brute
+from .conftest import prose
 
 
 def test_substring_dedup_equals_brute_force(odd_docs, odd_rows, no_docs):
@@ -157,3 +158,29 @@ def test_connected_components(spark):
         parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_many_rows_without_an_id_take_no_longer(spark, operator):
+    """2,000 texts without an id against the same under ids: equal results and
+    no list of all their places or spans."""
+    import time
+
+    rng = random.Random(11)
+    passage = prose(rng, 40)
+    texts = [prose(rng, 40) + (" " + passage if i % 3 else "") + f" {i}" for i in range(2000)]
+    fn = {"words": substring_dedup.remove_repeated_words, "bytes": suffix_dedup.removal_figures}[operator]
+    took, sums = [], []
+    for rows in ([(i, t) for i, t in enumerate(texts)], [(None, t) for t in texts]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        t0 = time.perf_counter()
+        got = fn(docs).collect()
+        took.append(time.perf_counter() - t0)
+        sums.append((len(got), sum(r.n_removed > 0 for r in got)))
+    assert sums[0][0] == sums[1][0] == 2000 and sums[0][1] == sums[1][1]
+    assert took[1] < 2 * took[0] + 5
+    brute_of = {"words": brute.substring_dedup, "bytes": brute.byte_dedup}[operator]
+    few = [(None, t) for t in texts[:60]]
+    # Which of two texts without an id comes first is settled by their hashes.
+    want = sorted(v[1] > 0 for v in brute_of(few).values())
+    assert sorted(r.n_removed > 0 for r in fn(spark.createDataFrame(few, "doc_id long, text string")).collect()) == want

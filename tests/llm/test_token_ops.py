@@ -38,6 +38,18 @@ def test_ids_are_those_of_the_file_as_given(name, odd_rows):
     assert np.frombuffer(encode("<|endoftext|> hi"), "<u4").tolist() == {"byte_bpe_50k.json": [50256, 23105], "word_bpe_49k.json": [49407, 1883]}[name]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_former_generations_give_the_same_ids(name, monkeypatch):
+    from liftlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "MAX_PIECES", 40)
+    encode = TextIds(tokenizer_path(name))
+    rng = random.Random(4)
+    glued = ["".join(rng.choice(["a", "bc", "Ünï", "\n", "\\n", " ", " ", "x.", "y, ", "1"]) for _ in range(30)) for _ in range(400)]
+    for text in ["\\n", "a \\n\nb", *glued]:
+        assert encode(text) == encode.whole(text), repr(text)
+
+
 def _ids(name, odd_rows, end):
     encode = TextIds(tokenizer_path(name))
     return {(brute.order_key(d), t or ""): encode.whole(t or "") + end.to_bytes(4, "little") for d, t, _ in odd_rows}
@@ -113,6 +125,37 @@ def test_re_pair_ends_without_a_frequent_pair():
         assert max(counts.values(), default=0) < 24
 
 
+def test_incremental_pair_counts_equal_counting_anew():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        words = [rng.integers(3, 30, rng.integers(1, 9)) for _ in range(12)]
+        ids = np.concatenate([words[i] for i in rng.integers(0, 12, 900)]).astype(np.uint32)
+        ids[rng.random(len(ids)) < 0.02] = 2
+        grammar = token_files.re_pair(ids, end_id=2, pairs=5, min_count=4)
+        assert grammar.expand().tolist() == ids.tolist()
+        counts, free = {}, -1
+        for i, pair in enumerate(zip(grammar.symbols[:-1].tolist(), grammar.symbols[1:].tolist())):
+            if 2 not in pair and not (pair[0] == pair[1] and i == free):
+                counts[pair] = counts.get(pair, 0) + 1
+                free = i + 1 if pair[0] == pair[1] else -1
+        assert max(counts.values(), default=0) < 4
+
+
+def test_reading_a_part_expands_the_rules_it_needs():
+    rng = np.random.default_rng(9)
+    texts = [np.append(np.tile(rng.integers(3, 4000, 50), 8), 2) for _ in range(40)]
+    ids = np.concatenate([t for t in texts for _ in range(6)]).astype(np.uint32)
+    grammar = token_files.re_pair(ids, end_id=2, min_count=4)
+    assert grammar.expand().tolist() == ids.tolist() and grammar.expanded > 1000
+    for start, n in ((0, 1), (5, 0), (7, 40), (401, 1), (len(ids) - 3, 9), (len(ids), 5), (1234, 500)):
+        before = grammar.expanded
+        assert grammar.read(start, n).tolist() == ids[start : start + n].tolist()
+        assert grammar.expanded - before <= 2 * n + 100
+    row = {"symbols": grammar.symbols.astype("<u4").tobytes(), "wide": True, "rules": grammar.rules.astype("<u4").tobytes(), "terminals": grammar.terminals,
+           "lengths": (2 * grammar.lengths()).astype("<u4").tobytes()}
+    assert token_files.read_grammar(row).lengths().tolist() == (2 * grammar.lengths()).tolist()  # those of the file
+
+
 def test_token_files_round_trip(spark, odd_docs, odd_rows, no_docs):
     want = _ids("byte_bpe_50k.json", odd_rows, 2)
     folder = token_files.write_token_files(odd_docs, f"{shared_folder(spark)}/tokens", shard_tokens=900)
@@ -128,5 +171,6 @@ def test_token_files_round_trip(spark, odd_docs, odd_rows, no_docs):
     first = [r for r in got if r.start < shard["n_tokens"]]
     for i, r in enumerate(first):
         assert token_files.read_document(shard, i).astype("<u4").tobytes() == r.ids
+        assert token_files.read_document(shard, i, 2, 5).astype("<u4").tobytes() == r.ids[8:28]
     empty = token_files.write_token_files(no_docs, f"{shared_folder(spark)}/tokens")
     assert token_files.read_token_files(spark, empty).count() == 0
