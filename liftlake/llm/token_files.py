@@ -118,12 +118,19 @@ def spell(symbols: np.ndarray, ids: np.ndarray, first: np.ndarray, length: np.nd
     return ids[np.repeat(first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _pairs(symbols: np.ndarray, at: np.ndarray, end_id: int) -> np.ndarray:
-    """Keys of the pairs of two different symbols that start at ``at``, those
-    over a document end left out."""
+def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs as numbers, the left symbol above."""
+    out = np.empty((len(left), 2), "<u4")
+    out[:, 0], out[:, 1] = right, left
+    return out.view("<u8").ravel()
+
+
+def _pairs(symbols: np.ndarray, at: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Keys of the pairs of two different symbols that start at ``at``, both of
+    them in ``inner``."""
     a, b = symbols[at], symbols[at + 1]
-    inside = (a != end_id) & (b != end_id) & (a != b)
-    return a[inside].astype(np.uint64) << np.uint64(32) | b[inside].astype(np.uint64)
+    wanted = np.flatnonzero(inner[a] & inner[b] & (a != b))
+    return _key(a[wanted], b[wanted])
 
 
 def _twins(symbols: np.ndarray, end_id: int) -> np.ndarray:
@@ -160,7 +167,11 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
     the runs around them and are counted in each round."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
     symbols, rules = ids.astype(np.uint32), []
-    keys, counts = _counted(_pairs(symbols, np.arange(max(len(symbols) - 1, 0)), end_id), min_count)
+    # A pair occurs no more often than its symbols; none goes over an end.
+    inner = np.bincount(symbols, minlength=terminals) >= min_count
+    if end_id < terminals:
+        inner[end_id] = False
+    keys, counts = _counted(_pairs(symbols, np.arange(max(len(symbols) - 1, 0)), inner), min_count)
     while len(symbols) > 1:
         twins = _twins(symbols, end_id)
         twin_ids, twin_counts = _counted(symbols[twins].astype(np.uint64), min_count)
@@ -187,26 +198,25 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
         row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
         table = np.full((len(lefts), len(rights)), -1, np.int32)
         table[row[pair[:, 0]], column[pair[:, 1]]] = np.arange(len(chosen))
-        rows, columns = row[symbols[:-1]], column[symbols[1:]]
-        maybe = np.flatnonzero((rows >= 0) & (columns >= 0))
+        maybe = np.flatnonzero((row >= 0)[symbols[:-1]])
+        maybe = maybe[(column >= 0)[symbols[maybe + 1]]]
         odd = symbols[maybe] == symbols[maybe + 1]
         if odd.any():
             twin = np.zeros(len(symbols), bool)
             twin[twins] = True
             maybe = maybe[~odd | twin[maybe]]
-        rule = table[rows[maybe], columns[maybe]]
+        rule = table[row[symbols[maybe]], column[symbols[maybe + 1]]]
         place, made = maybe[rule >= 0], base + rule[rule >= 0]
-        gone = np.searchsorted(keys, lost := _pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0, 1)), end_id))
-        known = gone < len(keys)
-        known[known] = keys[gone[known]] == lost[known]
         if len(keys):
-            counts = counts - np.bincount(gone[known], minlength=len(keys))
+            lost = np.sort(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0, 1)), inner))
+            counts = counts - (np.searchsorted(lost, keys, "right") - np.searchsorted(lost, keys))
         symbols[place] = made
         stay = np.ones(len(symbols), bool)
         stay[place + 1] = False
         symbols = symbols[stay]
         place = place - np.arange(len(place))
-        new_keys, new_counts = _counted(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0)), end_id), min_count)
+        inner = np.concatenate((inner, np.ones(len(chosen), bool)))
+        new_keys, new_counts = _counted(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0)), inner), min_count)
         keep = counts >= min_count
         keys, counts = np.concatenate((keys[keep], new_keys)), np.concatenate((counts[keep], new_counts))
         sort = np.argsort(keys)

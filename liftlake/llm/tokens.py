@@ -16,7 +16,7 @@ import sys
 from array import array
 
 # Pieces kept at once in a worker, some 200 bytes each, in two generations.
-MAX_PIECES = 1 << 20
+MAX_PIECES = 3 << 19
 # Space to str.split, but not to every regex engine's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _PLAIN_ENDS = ".,;:!?"
