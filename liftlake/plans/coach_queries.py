@@ -153,19 +153,43 @@ def _txt(c: str, none: str = "None") -> str:
     return f"COALESCE(CAST({c} AS VARCHAR), '{none}')"
 
 
-@query("prompt_lines", f"""
-SELECT routine_id, exercise_template_id, exercise_index, superset_id, title, progression_step_kg, cycle, set_index,
-       set_type,
-       '  Set ' || {_txt('set_index')} || ': Planned ' || {_txt('planned_weight_kg', 'N/A')} || 'kg x '
+_LINE = f"""'  Set ' || {_txt('set_index')} || ': Planned ' || {_txt('planned_weight_kg', 'N/A')} || 'kg x '
        || {_txt('planned_reps', 'N/A')} || ' | Actual: ' || {_txt('actual_weight_kg', 'Bodyweight')} || 'kg x '
        || {_txt('actual_reps', 'Skipped')} || ' @ RPE ' || {_txt('rpe')} || ' | Status: '
-       || {_txt('execution_status')} AS line
+       || {_txt('execution_status')}"""
+
+
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL of a fixed template with its placeholders replaced by expressions."""
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+@query("prompt_lines", f"""
+SELECT routine_id, exercise_template_id, exercise_index, superset_id, title, progression_step_kg, cycle, set_index,
+       set_type, {_LINE} AS line
 FROM fx_docs WHERE cycle = last_cycle""")
 def q_prompt_lines(spark, d):
     return prompts.prompt_lines(Pipeline(spark, d).gold_table)
 
 
-@query("routine_prompt")
+_SYSTEM = _filled(prompts.SYSTEM_TEMPLATE, {"phase_name": "phase", "next_cycle": "CAST(next_cycle AS VARCHAR)"})
+
+
+@query("routine_prompt", f"""
+WITH b AS (
+  SELECT routine_id, exercise_template_id, exercise_index,
+         format('\nExercise: {{}} (ID: {{}}, Index: {{}}{{}})\nProgression Step: {{}} kg\nLast Cycle (# {{}}) Results:\n{{}}\n', {_txt('title')},
+                exercise_template_id, {_txt('exercise_index')}, ifnull(', Superset ID: ' || superset_id, ''), {_txt('progression_step_kg')}, cycle,
+                string_agg({_LINE}, chr(10) ORDER BY set_index, set_type, {_LINE})) AS block
+  FROM fx_docs WHERE cycle = last_cycle
+  GROUP BY routine_id, exercise_template_id, exercise_index, superset_id, title, progression_step_kg, cycle),
+n AS (SELECT routine_id, CAST(ifnull(max(cycle_number), 0) + 1 AS INTEGER) AS next_cycle, if(next_cycle % 4 = 0, 'DELOAD', 'PROGRESSION') AS phase
+      FROM fx_gold GROUP BY routine_id)
+SELECT routine_id, next_cycle, phase, {_SYSTEM} || '\n\n{prompts.HISTORY_HEADER}' || blocks AS prompt
+FROM (SELECT routine_id, string_agg(block, '' ORDER BY exercise_index NULLS LAST, exercise_template_id) AS blocks FROM b GROUP BY 1) JOIN n USING (routine_id)""")
 def q_routine_prompt(spark, d):
     return prompts.routine_prompts(Pipeline(spark, d).gold_table)
 
@@ -327,7 +351,24 @@ def q_target_sets_legacy(spark, d):
     return plan.target_sets_legacy(p.bronze.routine_details, p.recommendations)
 
 
-@query("routine_payload")
+@query("routine_payload", """
+WITH s AS (
+  SELECT routine_id, exercise_template_id, string_agg('{' || concat_ws(',', '"type":' || to_json(set_type), '"weight_kg":' || weight_kg,
+         '"reps":' || reps, format('"rep_range":{{"start":{},"end":{}}}', rep_range_start, rep_range_end)) || '}', ',' ORDER BY set_no) AS sets,
+         count(*) = count(set_type) AS typed
+  FROM fx_plan_rows GROUP BY ALL),
+x AS (
+  SELECT h.routine_id, h.routine_title, h.exercise_index, h.exercise_template_id, ifnull(typed, TRUE) AS typed,
+         '{' || concat_ws(',', '"exercise_template_id":' || to_json(h.exercise_template_id), '"superset_id":' || CAST(h.superset_id AS INTEGER),
+         '"rest_seconds":' || CASE WHEN r.routine_id IS NULL THEN h.rest_seconds ELSE r.rest_seconds END,
+         '"notes":' || to_json(CASE WHEN r.routine_id IS NULL THEN '' ELSE '[AI: ' || r.reasoning ||
+           CASE WHEN ifnull(r.rpe_target, 0) <> 0 THEN ' RPE ' || r.rpe_target ELSE '' END || ']' END),
+         '"sets":[' || ifnull(sets, '') || ']') || '}' AS exercise
+  FROM fx_ex_head h LEFT JOIN s USING (routine_id, exercise_template_id) LEFT JOIN fx_recs r USING (routine_id, exercise_template_id))
+SELECT routine_id, routine_title IS NOT NULL AND bool_and(typed) AS is_valid,
+       '{"routine":{' || concat_ws(',', '"title":' || to_json(routine_title), '"notes":"AI Plan: ' || strftime((SELECT max(start_time) FROM fx_workouts), '%Y-%m-%d') || '"',
+       '"exercises":[' || string_agg(exercise, ',' ORDER BY exercise_index NULLS LAST, exercise_template_id) || ']') || '}}' AS payload_json
+FROM x GROUP BY routine_id, routine_title""")
 def q_routine_payload(spark, d):
     p = Pipeline(spark, d)
     run_date = p.bronze.workouts.select(F.max("start_time")).scalar()
@@ -341,7 +382,26 @@ def q_validate_payload(spark, d):
     return plan.routine_payloads(p.gold_table, p.recommendations, run_date).select("routine_id", "is_valid")
 
 
-@query("coach_context")
+cte("fx_coach_context", """
+WITH e AS (
+  SELECT DISTINCT d.routine_id, d.exercise_index AS order_index, d.exercise_template_id, t.title AS name, ifnull(nullif(p.progression_step_kg, 0), 2.5) AS base_increment
+  FROM fx_routine_details d LEFT JOIN fx_templates t ON t.id = d.exercise_template_id LEFT JOIN fx_progression p ON p.exercise_name = t.title),
+h AS (SELECT exercise_template_id, list(json_object('date', CAST(date AS VARCHAR), 'weight', CAST(weight AS DOUBLE), 'reps', reps, 'rpe', CAST(rpe AS DOUBLE))
+             ORDER BY session_no) AS sessions FROM fx_sessions WHERE session_no <= 3 GROUP BY 1),
+c AS (
+  SELECT routine_id, order_index, exercise_template_id, json_object('id', exercise_template_id, 'name', name, 'base_increment', CAST(base_increment AS DOUBLE),
+    'analytics', CASE WHEN a.status IS NULL THEN json('{"stall_streak":0,"e1rm_current":0.0,"e1rm_trend_percent":0.0,"avg_rpe_last_3":0.0,"status":"NEW","recommended_action":"LINEAR_LOAD"}')
+      WHEN a.status = 'ERROR' THEN json_object('status', a.status, 'recommended_action', recommended_action)
+      ELSE json_object('stall_streak', stall_streak, 'e1rm_current', e1rm_current, 'e1rm_trend_percent', e1rm_trend_percent,
+        'avg_rpe_last_3', avg_rpe_last_3, 'status', a.status, 'recommended_action', recommended_action) END,
+    'history_summary', ifnull(sessions, [])) AS context
+  FROM e LEFT JOIN fx_stall a USING (exercise_template_id) LEFT JOIN h USING (exercise_template_id))
+SELECT routine_id, order_index, exercise_template_id, CAST(context AS VARCHAR) AS context_json,
+       '  ' || replace(replace(json_pretty(context), '    ', '  '), chr(10), chr(10) || '  ') AS context_text
+FROM c""")
+
+
+@query("coach_context", "SELECT * FROM fx_coach_context")
 def q_coach_context(spark, d):
     p = Pipeline(spark, d)
     from liftlake.operators import dims
@@ -353,7 +413,17 @@ def q_coach_context(spark, d):
     return prompts.coach_context(ex, p.stall, p.sessions)
 
 
-@query("coach_prompt_legacy")
+_LEGACY_SYSTEM = _filled(prompts.LEGACY_SYSTEM_TEMPLATE, {
+    "phase_name": "phase_name", "phase_week": "CAST(phase_week AS VARCHAR)", "phase_goal": "phase_goal", "phase_rpe": "phase_rpe_target",
+    "phase_instruction": "phase_instruction"})
+
+
+@query("coach_prompt_legacy", f"""
+WITH p AS (
+  SELECT CAST((weekofyear(start_time) - 1) % 4 + 1 AS BIGINT) AS phase_week, {", ".join(f"{_phase_case(i)} AS {c}" for i, c in enumerate(PHASE_COLS) if i > 0)}
+  FROM (SELECT max(start_time) AS start_time FROM fx_workouts))
+SELECT routine_id, phase_week, phase_name, {_LEGACY_SYSTEM} || '\n\n{prompts.LEGACY_USER_HEADER}[\n' || contexts || '\n]{prompts.LEGACY_USER_FOOTER.replace("'", "''")}' AS prompt
+FROM (SELECT routine_id, string_agg(context_text, ',' || chr(10) ORDER BY order_index, exercise_template_id) AS contexts FROM fx_coach_context GROUP BY 1), p""")
 def q_coach_prompt_legacy(spark, d):
     ctx = q_coach_context(spark, d)
     day = Pipeline(spark, d).bronze.workouts.select(F.max("start_time")).scalar()
