@@ -7,15 +7,20 @@ and on nothing else. Conversations are built by one grouped pass; everything
 else is a projection of built-in functions.
 
 The conversations table states no preferences, so the query makes pairs from
-it: rejected is the conversation with its last assistant reply taken from the
-next conversation that has one, within blocks of 64 ids (the last of a block
-takes the block's first), and cut after it. A conversation without a reply, or
-alone in its block, has no pair and is left out by the pairing, not the format.
+it: chosen is the conversation up to its last assistant reply, rejected the same
+with that reply taken from the next conversation of the table that has one, by
+id (null first; the last takes the first's). What follows the last reply is in
+neither. Ids are dealt to ranges by quantiles, so no task sees the whole order,
+and each range's last conversation takes the first reply of the range after it.
+A conversation without a reply, or the only one with a reply, has no pair and is
+left out by the pairing, not the format.
+
+A conversation is a row of its result, so its distinct turns are gathered in one.
 
 Defined results: a null text or role is empty; turns are ordered by turn
-number, then role, then text, and equal rows are one turn; a pair that agrees
-in all turns has two empty completions; an empty table gives no pairs; other
-columns are ignored.
+number, then role, then text, and equal rows are one turn; all rows with a null
+id are one conversation; a pair that agrees in all turns (two equal replies) has
+two empty completions; an empty table gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions
+
 # The marks around a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
-PAIR_BLOCK = 64
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -84,38 +90,58 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     }).drop(chosen, rejected)
 
 
-def borrowed_replies(talks: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected) made from conversations, as stated above."""
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == TRAINED_ROLE)), F.lit(True)) + 1
-    answered = talks.where(F.exists("turns", lambda t: t["role"] == TRAINED_ROLE)).withColumn("last", last.cast("int"))
-    block = W.partitionBy(F.floor(F.col("conv_id") / PAIR_BLOCK)).orderBy("conv_id")
-    whole = block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    reply = F.element_at("turns", F.col("last"))
-    other = F.coalesce(F.lead(reply).over(block), F.first(reply).over(whole))
-    paired = answered.withColumns({"other": other, "n": F.count(F.lit(1)).over(whole)}).where("n > 1")
-    return paired.select(
-        "conv_id", F.col("turns").alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array("other")).alias("rejected"),
+def id_range(ids: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie below an id (null: none), by
+    bisection."""
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    table = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < ids, at + step).otherwise(at))
+
+
+def borrowed_replies(rows: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected) made from conversation rows, as stated above."""
+    count = 4 * shuffle_partitions(rows.sparkSession)
+    cuts = rows.agg(F.percentile_approx("conv_id", [i / count for i in range(1, count)], 10_000)).first()[0] or []
+    span = id_range(F.col("conv_id"), sorted(set(cuts))).alias("span")
+
+    # The first reply of each range, next to the range before it; the last
+    # range is followed by the first. One row a range.
+    last_reply = F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"]
+    replies = rows.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(last_reply.alias("text"))
+    firsts = replies.select(span, F.struct("conv_id", "text").alias("reply")).groupBy("span").agg(F.min("reply").alias("reply"))
+    order = W.orderBy("span")
+    following = firsts.select("span", F.coalesce(F.lead("reply").over(order), F.first("reply").over(order)).alias("beyond"))
+
+    role_at = F.transform("turns", lambda t: t["role"] == TRAINED_ROLE)
+    last = F.size("turns") - F.array_position(F.reverse(role_at), F.lit(True)) + 1
+    answered = conversations(rows).where(F.exists("turns", lambda t: t["role"] == TRAINED_ROLE)).select("conv_id", span, F.slice("turns", F.lit(1), last.cast("int")).alias("chosen"))
+    reply = F.struct("conv_id", F.element_at("chosen", -1)["text"].alias("text"))
+    paired = (answered.withColumn("within", F.lead(reply).over(W.partitionBy("span").orderBy("conv_id")))
+              .join(following, "span").withColumn("other", F.coalesce("within", "beyond")))
+    swapped = F.struct(F.lit(TRAINED_ROLE).alias("role"), F.col("other.text").alias("text"))
+    return paired.where(~F.col("other.conv_id").eqNullSafe(F.col("conv_id"))).select(
+        "conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(swapped)).alias("rejected"),
     )
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return format_preferences(borrowed_replies(conversations(rows)))
+    return format_preferences(borrowed_replies(rows))
 
 
 ORACLE = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
-l AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
-r AS (SELECT conv_id, last, text, conv_id // 64 AS b FROM n JOIN l USING (conv_id) WHERE i = last),
+r AS (SELECT conv_id, i AS last, text FROM n WHERE role = 'assistant' QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
 o AS (
-  SELECT conv_id, last, coalesce(lead(text) OVER (PARTITION BY b ORDER BY conv_id), first_value(text) OVER (PARTITION BY b ORDER BY conv_id)) AS other
-  FROM r QUALIFY count(*) OVER (PARTITION BY b) > 1),
+  SELECT conv_id, last, coalesce(lead(text) OVER (ORDER BY conv_id NULLS FIRST), first_value(text) OVER (ORDER BY conv_id NULLS FIRST)) AS other
+  FROM r QUALIFY count(*) OVER () > 1),
 c AS (
   SELECT n.conv_id, i, role, n.text, other, last, '<|im_start|>' || role || chr(10) AS head, n.text || '<|im_end|>' || chr(10) AS tail,
     i < last OR (i = last AND n.text = other) AS common
-  FROM n JOIN o USING (conv_id)),
+  FROM n JOIN o ON n.conv_id IS NOT DISTINCT FROM o.conv_id AND i <= last),
 m AS (
   SELECT *, CASE WHEN role = 'assistant' THEN concat(length(head), ',', length(tail)) ELSE concat(length(head) + length(tail), ',0') END AS mask FROM c)
 SELECT conv_id, CAST(count(*) FILTER (common) AS INTEGER) AS n_prompt_turns,

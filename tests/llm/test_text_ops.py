@@ -134,23 +134,52 @@ def test_languages_of_one_rare_script_differ(monkeypatch):
                 assert [model.languages[j] for j in best] == [lang for _, lang in fresh[a : a + step]]
 
 
+def talk_rows(spark, data):
+    return spark.createDataFrame(data, "conv_id long, turn long, role string, text string, prompt string, span string, reply int")
+
+
 def test_preferences(spark):
     data = [
         (1, 0, "user", "hi", "x"), (1, 1, "assistant", "hello", "x"), (1, 2, "user", "more", "x"), (1, 3, "assistant", "sure", "x"),
         (2, 0, "user", "hi", "x"), (2, 1, "assistant", "go", "x"), (2, 1, "assistant", "go", "x"), (2, 2, "user", "bye", "x"),
         (3, 0, "user", None, "x"), (4, 0, None, "odd", "x"), (4, 1, "assistant", "", None), (70, 0, "assistant", "alone", "x"),
+        (10**15, 0, "user", "far", None), (10**15, None, "assistant", "early", None), (None, 0, "user", "who", None), (None, 1, "assistant", "none", None),
     ]
-    talks = preferences.conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, prompt string"))
+    talks = talk_rows(spark, [(*r, "s", 1) for r in data])
     got = {r.conv_id: r for r in preferences.format_preferences(preferences.borrowed_replies(talks)).collect()}
-    assert sorted(got) == [1, 2, 4]
+    assert set(got) == {1, 2, 4, 70, 10**15, None}
     one = got[1]
     assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
     assert one.chosen_completion == "<|im_start|>assistant\nsure<|im_end|>\n" and one.rejected_completion == "<|im_start|>assistant\ngo<|im_end|>\n"
     assert one.chosen_mask == "22,15" and sum(map(int, one.rejected_mask.split(","))) == len(one.rejected_completion)
-    # The reply differs and what follows it belongs to chosen alone, untrained.
-    assert got[2].n_prompt_turns == 1 and got[2].chosen_mask.endswith(",31,0")
-    assert got[4].rejected_completion == "<|im_start|>assistant\nsure<|im_end|>\n"
+    # What follows the last reply is in neither completion.
+    assert got[2].n_prompt_turns == 1 and got[2].chosen_completion == "<|im_start|>assistant\ngo<|im_end|>\n"
+    reply = lambda k: got[k].rejected_completion.removeprefix("<|im_start|>assistant\n").removesuffix("<|im_end|>\n")
+    assert {k: reply(k) for k in got} == {None: "sure", 1: "go", 2: "", 4: "alone", 70: "early", 10**15: "none"}
     same = spark.createDataFrame([(9, [("user", "a")], [("user", "a")])], "conv_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
     r = preferences.format_preferences(same).first()
     assert (r.n_prompt_turns, r.chosen_completion, r.rejected_completion, r.chosen_mask) == (1, "", "", "")
-    assert preferences.format_preferences(preferences.borrowed_replies(talks.where("false"))).count() == 0
+    for few in (talks.where("false"), talks.where("conv_id = 1"), talks.where("conv_id = 3")):
+        assert preferences.format_preferences(preferences.borrowed_replies(few)).count() == 0
+
+
+def test_every_answered_conversation_has_a_pair(spark):
+    """Dense, wide, hashed and shared ids; the next reply by brute force."""
+    rng = random.Random(3)
+    for ids in (range(300), range(0, 64 * 300, 64), [rng.randrange(-2**62, 2**62) for _ in range(300)], [5] * 200 + list(range(40))):
+        data = [(i, t, rng.choice(["user", "assistant", None]), f"t{rng.randrange(50)}", None, "s", 1) for i in ids for t in range(rng.randrange(1, 5))]
+        last = {}
+        for i, t, role, text, *_ in sorted((r for r in data if r[2] == "assistant"), key=lambda r: (r[0], r[1], r[3])):
+            last[i] = text
+        order = sorted(last)
+        expected = {i: last[order[(n + 1) % len(order)]] for n, i in enumerate(order)}
+        got = preferences.borrowed_replies(talk_rows(spark, data)).collect()
+        assert len(got) == len(expected) > 20
+        assert {r.conv_id: r.rejected[-1].text for r in got} == expected
+        assert all(r.chosen[-1].text == last[r.conv_id] and r.chosen[:-1] == r.rejected[:-1] for r in got)
+
+
+def test_id_range(spark):
+    for cuts in ([], [3], [3, 8], [3, 8, 9, 12, 40], list(range(0, 200, 7))):
+        got = spark.createDataFrame([(i,) for i in [*range(-2, 210), None]], "i long").select("i", preferences.id_range(F.col("i"), cuts).alias("n")).collect()
+        assert all(r.n == sum(r.i is not None and c < r.i for c in cuts) for r in got)
