@@ -3,6 +3,11 @@
 Each rule bounds a ratio of two measures of the whole text, in percent. The
 measures and the rules are built-in column expressions only.
 
+The stop words are those of four languages and are compared in lower case. Their
+rule judges only texts whose letters are mostly Latin: a Latin-script text in
+another language with under 3 % of such words fails it, so a corpus that holds
+more languages needs more lists, or RULES without that rule.
+
 Defined results: null and empty texts have no words and fail the base rule;
 every row is judged by itself, so ties and repeated rows get equal verdicts;
 other columns are untouched.
@@ -32,13 +37,15 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= 100 * measure / per <= high``; either bound may be absent."""
+    """``low <= 100 * measure / per <= high``; either bound may be absent. With a
+    ``scope`` (measure, per, percent) only rows at that percentage are judged."""
 
     name: str
     measure: str
     per: str
     low: int | None = None
     high: int | None = None
+    scope: tuple[str, str, int] | None = None
 
     def holds(self) -> Column:
         value, base = 100 * F.col(self.measure), F.col(self.per)
@@ -47,6 +54,9 @@ class Rule:
             ok &= value >= self.low * base
         if self.high is not None:
             ok &= value <= self.high * base
+        if self.scope is not None:
+            share, whole, percent = self.scope
+            ok |= 100 * F.col(share) < percent * F.col(whole)
         return ok
 
 
@@ -54,7 +64,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=250, high=1200),
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("letters", "n_letters", "word_chars", low=75),
-    Rule("stop_words", "n_stop_words", "n_words", low=3),
+    Rule("stop_words", "n_stop_words", "n_words", low=3, scope=("n_latin", "n_letters", 50)),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
@@ -106,7 +116,7 @@ def _count(items: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with their measures: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_letters, n_stop_words, n_lines,
+    n_dup_lines, n_repeat_words, n_letters, n_latin, n_stop_words, n_lines,
     n_bullet_lines, n_ellipsis_lines. Names already taken are replaced, so keep
     clashing columns in a struct (see ``verdicts``)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -121,7 +131,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_letters": F.length(F.regexp_replace(body, r"[^\p{L}]+", "")).cast("long"),
-        "n_stop_words": _count(F.filter(words, lambda w: w.isin(stop))),
+        "n_latin": F.length(F.regexp_replace(body, r"[^\p{IsLatin}]+", "")).cast("long"),
+        "n_stop_words": _count(F.filter(words, lambda w: F.lower(w).isin(stop))),
         "n_lines": _count(lines),
         "n_dup_lines": _count(lines) - _count(F.array_distinct(lines)),
         "n_bullet_lines": _count(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))),
@@ -143,8 +154,11 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their columns as they are."""
-    return verdicts(docs, rules).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The documents that pass, with their columns as they are. They are taken
+    out by a generator: a filter would be pushed below the projection and
+    evaluate the measures once more for each rule that names them."""
+    passed = verdicts(docs, rules).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return passed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -169,19 +183,20 @@ lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines,
          count(*) FILTER (regexp_matches(l, '^\s*[-*•]')) AS bullets, count(*) FILTER (regexp_matches(l, '(\.\.\.|…)\s*$')) AS dots
   FROM line GROUP BY doc_id),
-stop AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) WHERE w IN ({stop}) GROUP BY doc_id),
+stop AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) WHERE lower(w) IN ({stop}) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters, coalesce(stop.n, 0) AS n_stop, coalesce(n_lines, 0) AS n_lines,
+         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+         length(regexp_replace(t, '[^\p{{Latin}}]+', '', 'g')) AS n_latin, coalesce(stop.n, 0) AS n_stop, coalesce(n_lines, 0) AS n_lines,
          coalesce(bullets, 0) AS bullets, coalesce(dots, 0) AS dots
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN stop USING (doc_id)),
 f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     concat_ws(',', CASE WHEN 100 * word_chars NOT BETWEEN 250 * n_words AND 1200 * n_words THEN 'word_length' END,
       CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END, CASE WHEN 100 * n_letters < 75 * word_chars THEN 'letters' END,
-      CASE WHEN 100 * n_stop < 3 * n_words THEN 'stop_words' END, CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'duplicate_lines' END,
+      CASE WHEN 100 * n_stop < 3 * n_words AND 100 * n_latin >= 50 * n_letters THEN 'stop_words' END, CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'duplicate_lines' END,
       CASE WHEN 100 * bullets > 90 * n_lines THEN 'bullet_lines' END, CASE WHEN 100 * dots > 30 * n_lines THEN 'ellipsis_lines' END) AS failed_rules
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f

@@ -22,6 +22,18 @@ def test_quality_measures_equal_brute_force(odd_docs, odd_rows, no_docs):
     assert quality_rules.verdicts(no_docs).count() == 0
 
 
+def test_clean_texts_in_capitals_and_other_scripts_are_kept(spark, odd_docs):
+    line = "the quick brown fox is in a garden with many roses and it {} was quiet near those other windows before winter came over them"
+    russian = "быстрая лиса сидит возле старого дома {} пока люди гуляют вдоль реки среди деревьев города потому вечер очень тихий"
+    polish = "szybki lis siedzi obok starego domu {} kiedy ludzie chodz\u0105 wzd\u0142u\u017c rzeki bardzo cicho pod wieczornym niebem nad naszym pi\u0119knym miastem oraz lasem"
+    texts = {"lower": line.format("now"), "upper": line.format("now").upper(), "russian": russian.format("дом"), "polish": polish.format("wtedy")}
+    got = {r["row"].k: r.failed_rules for r in quality_rules.verdicts(spark.createDataFrame(list(texts.items()), "k string, text string")).collect()}
+    assert got == {"lower": "", "upper": "", "russian": "", "polish": "stop_words"}
+    # The measures are computed once, however many rules name them.
+    plan = quality_rules.keep_good(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") <= 2
+
+
 def test_repeated_words(spark):
     w = [f"w{i}" for i in range(30)]
     texts = ["", "a", " ".join(w), " ".join(w + w), " ".join(["x"] * 12), " ".join(w[:10] + ["z"] + w[:10]), " ".join(w[:9] * 3 + w)]
