@@ -9,9 +9,10 @@ up to the document that brings the words nearest to it.
 
 The prefix sum over a source is split: keys fall into ordered buckets, bucket
 sums give the bucket in which the rest is reached, and only that bucket's rows
-are summed one by one. So a source that holds a third of all rows is not sorted
-in one task, and a document is decided by comparing it with its source's one
-cut-off row.
+are summed one by one. Buckets are parts of the key's logarithm, so whatever the
+quality of a source none holds more than 0.3 % of documents of one quality. So a
+source that holds a third of all rows is not sorted in one task, and a document
+is decided by comparing it with its source's one cut-off row.
 
 Defined results: null texts have size 0 and take 0; null sources are one
 source; ``u`` depends on the id alone (null ids share one) and ties fall by id,
@@ -30,14 +31,15 @@ from .quality_rules import BLANK
 
 MAX_EPOCHS = 3
 WEIGHT_CYCLE = 3
-KEY_BUCKETS = 1024
+# Buckets to each doubling of the key.
+KEY_BUCKETS = 128
 SEED = "mix"
 
 
 def quality_weight(text: Column) -> Column:
-    """Letters as a share of all characters, at least 0.01."""
+    """Letters of any script as a share of all characters, at least 0.01."""
     body = F.coalesce(text, F.lit(""))
-    letters = F.length(F.regexp_replace(body, r"[^a-zA-ZÀ-ÿ]+", ""))
+    letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
     return F.greatest(F.lit(0.01), letters / F.greatest(F.length(body), F.lit(1)))
 
 
@@ -53,7 +55,7 @@ def order_columns(quality: Column) -> dict[str, Column]:
     return {
         "size": F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).cast("long"),
         "spot": F.struct(
-            F.least(F.floor((1 - F.exp(-key)) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int").alias("bucket"),
+            F.floor(F.log2(key) * KEY_BUCKETS).cast("int").alias("bucket"),
             key.alias("key"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
             F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
@@ -106,16 +108,30 @@ def plan(ordered: DataFrame) -> DataFrame:
     )
 
 
+def _decided(rows: DataFrame, goals: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep`` and (size, source_size, target, copies) for rows (__source,
+    size, spot). The plan has one row for each source; its join is left to
+    Spark, which broadcasts it while its measured size allows."""
+    copies = F.col("epochs") + F.when(F.col("spot") <= F.col("cut"), 1).otherwise(0)
+    joined = rows.join(goals.withColumnRenamed("source", "__s"), F.col("__source").eqNullSafe(F.col("__s")))
+    return joined.select(*keep, "size", "source_size", "target", copies.alias("copies"))
+
+
 def mixed(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     """(row, size, source_size, target, copies) for each document; ``row`` is
-    the input. The plan has one row for each source; its join is left to Spark,
-    which broadcasts it while its measured size allows."""
+    the input. Texts are read twice, as only their sizes are stored."""
     order = order_columns(quality_weight(F.col("text")) if quality is None else quality)
     narrow = stored(docs.select("source", *[c.alias(n) for n, c in order.items()]))
-    goals = stored(plan(narrow)).withColumnRenamed("source", "s")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("__source"), *[c.alias(n) for n, c in order.items()])
-    copies = F.col("epochs") + F.when(F.col("spot") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(goals, F.col("__source").eqNullSafe(F.col("s"))).select("row", "size", "source_size", "target", copies.alias("copies"))
+    return _decided(rows, stored(plan(narrow)), "row")
+
+
+def mixed_ids(docs: DataFrame, quality: Column | None = None) -> DataFrame:
+    """``mixed`` with doc_id in place of the row: what is stored for the plan
+    suffices, so texts are read once."""
+    order = order_columns(quality_weight(F.col("text")) if quality is None else quality)
+    narrow = stored(docs.select("doc_id", "source", *[c.alias(n) for n, c in order.items()]))
+    return _decided(narrow.withColumnRenamed("source", "__source"), stored(plan(narrow)), "doc_id")
 
 
 def mix_documents(docs: DataFrame, quality: Column | None = None) -> DataFrame:
@@ -126,16 +142,14 @@ def mix_documents(docs: DataFrame, quality: Column | None = None) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixed(docs).select(
-        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    return mixed_ids(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     -ln((CAST(('0x' || substr(md5('mix-' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
-    / greatest(0.01::DOUBLE, length(regexp_replace(coalesce(text, ''), '[^a-zA-ZÀ-ÿ]+', '', 'g'))::DOUBLE / greatest(length(coalesce(text, '')), 1)) AS k
+    / greatest(0.01::DOUBLE, length(regexp_replace(coalesce(text, ''), '[^\p{L}]+', '', 'g'))::DOUBLE / greatest(length(coalesce(text, '')), 1)) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),

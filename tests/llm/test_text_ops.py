@@ -62,6 +62,19 @@ def test_mix_takes_near_its_targets(odd_docs, odd_rows, no_docs):
     assert source_mix.mixed(no_docs).count() == 0
 
 
+def test_mix_by_ids_equals_mix_and_weighs_letters_of_any_script(spark, odd_docs, no_docs):
+    columns = ("size", "source_size", "target", "copies")
+    rows = sorted(((r["row"].doc_id, *[r[c] for c in columns]) for r in source_mix.mixed(odd_docs).collect()), key=repr)
+    assert sorted(map(tuple, source_mix.mixed_ids(odd_docs).collect()), key=repr) == rows and source_mix.mixed_ids(no_docs).count() == 0
+    texts = [("быстрая лиса",), ("quick fox",), ("日本語です",), ("",), (None,)]
+    got = [r.w for r in spark.createDataFrame(texts, "text string").select(source_mix.quality_weight(F.col("text")).alias("w")).collect()]
+    assert got == pytest.approx([11 / 12, 8 / 9, 1.0, 0.01, 0.01])
+    # No bucket holds much of a source, whatever its quality.
+    for quality in (1.0, 0.01):
+        spots = spark.range(20_000).selectExpr("id AS doc_id", "'' AS text").select(source_mix.order_columns(F.lit(quality))["spot"].alias("s"))
+        assert spots.groupBy("s.bucket").count().agg(F.max("count")).first()[0] < 90
+
+
 def test_mix_equals_brute_force(spark):
     docs = [(i, " ".join(["word"] * (1 + i * 7 % 23)), f"s{i * i % 5}" if i % 7 else None) for i in range(200)]
     quality = lambda t: max(0.01, sum(c.isalpha() for c in t) / max(1, len(t)))
