@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftlake.llm import fingerprints, language_id, preferences, quality_rules, source_mix
+from liftlake.llm.common import keyed
 
 from . import brute
 
@@ -112,12 +113,38 @@ def test_fingerprints_equal_brute_force(spark, odd_docs, odd_rows, no_docs):
     assert fingerprints.fingerprint_edits(no_docs).count() == 0
     everything = fingerprints.fingerprint_edits(odd_docs)
     assert everything.count() == len(odd_rows)
+    # The likenesses follow from the written fingerprints alone.
+    texts = spark.createDataFrame([(got[d].fingerprint, got[rows[(i + 1) % len(rows)][0]].fingerprint, got[d].edited_fingerprint) for i, (d, _) in enumerate(rows)], "own string, next string, edited string")
+    like = texts.select("own", fingerprints.fingerprint_likeness(F.col("own"), F.col("edited")).alias("e"), fingerprints.fingerprint_likeness(F.col("own"), F.col("next")).alias("n"))
+    assert sorted(map(tuple, like.collect())) == sorted((r.fingerprint, r.near_edited, r.near_next) for r in got.values())
+
+
+def test_fingerprint_sketches_peel_alone(spark):
+    sets = [[], [5], list(range(7)), list(range(300)), [i << 36 for i in range(20)]]
+    found = spark.createDataFrame([(s,) for s in sets], "k array<bigint>").select(
+        "k", F.flatten(F.transform(fingerprints.sketches(F.col("k")), lambda leaf: fingerprints.recovered(leaf["cells"]))).alias("found"),
+        fingerprints.held(fingerprints.sketches(F.col("k"))).alias("n"),
+    ).collect()
+    # Digests that agree in the 36 bits that deal them and in their cells cannot be told apart.
+    for r in found[:4]:
+        assert sorted(r.found) == sorted(r.k) and r.n == len(r.k)
+    assert found[4].found is None and found[4].n == 20
+
+
+def test_next_rows_of_one_id_lie_in_many_ranges(spark):
+    docs = spark.range(3000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "concat('text ', id) AS text")
+    rows = keyed(docs)
+    got = {(r.did, r.th): r.next_th for r in fingerprints.with_next(rows, "th").collect()}
+    order = sorted((r.did, r.th) for r in rows.collect())
+    assert got == {k: order[(i + 1) % len(order)][1] for i, k in enumerate(order)}
 
 
 def test_likeness_of_large_sets(spark):
     rows = [(list(range(a)), list(range(b, c))) for a, b, c in ((0, 0, 0), (5, 5, 5), (40, 0, 41), (300, 100, 700), (2000, 0, 2000), (1500, 1500, 3000))]
     spread = lambda c: F.array_distinct(F.transform(c, lambda x: F.xxhash64(x)))
-    got = spark.createDataFrame(rows, "a array<int>, b array<int>").select("a", "b", fingerprints.likeness(spread("a"), spread("b")).alias("n")).collect()
+    got = spark.createDataFrame(rows, "a array<int>, b array<int>").select(
+        "a", "b", fingerprints.likeness(fingerprints.sketches(spread("a")), fingerprints.sketches(spread("b"))).alias("n")
+    ).collect()
     for r in got:
         a, b = set(r.a), set(r.b)
         assert r.n == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
