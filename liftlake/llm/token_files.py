@@ -125,11 +125,15 @@ def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pairs(symbols: np.ndarray, at: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Keys of the pairs of two different symbols that start at ``at``, both of
-    them in ``inner``."""
-    a, b = symbols[at], symbols[at + 1]
-    wanted = np.flatnonzero(inner[a] & inner[b] & (a != b))
+def _pairs(symbols: np.ndarray, at: np.ndarray | None, inner: np.ndarray) -> np.ndarray:
+    """Keys of the pairs of two different symbols that start at ``at`` (anywhere
+    if None), both of them in ``inner``."""
+    if at is None:
+        a, b, ok = symbols[:-1], symbols[1:], inner[symbols]
+        wanted = np.flatnonzero(ok[:-1] & ok[1:] & (a != b))
+    else:
+        a, b = symbols[at], symbols[at + 1]
+        wanted = np.flatnonzero(inner[a] & inner[b] & (a != b))
     return _key(a[wanted], b[wanted])
 
 
@@ -166,12 +170,12 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
     least count are never looked at again. Pairs of equal symbols change with
     the runs around them and are counted in each round."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules = ids.astype(np.uint32), []
+    symbols, rules = ids.astype(np.intp), []  # as numpy indexes with
     # A pair occurs no more often than its symbols; none goes over an end.
     inner = np.bincount(symbols, minlength=terminals) >= min_count
     if end_id < terminals:
         inner[end_id] = False
-    keys, counts = _counted(_pairs(symbols, np.arange(max(len(symbols) - 1, 0)), inner), min_count)
+    keys, counts = _counted(_pairs(symbols, None, inner), min_count)
     while len(symbols) > 1:
         twins = _twins(symbols, end_id)
         twin_ids, twin_counts = _counted(symbols[twins].astype(np.uint64), min_count)
@@ -221,7 +225,7 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
         keys, counts = np.concatenate((keys[keep], new_keys)), np.concatenate((counts[keep], new_counts))
         sort = np.argsort(keys)
         keys, counts = keys[sort], counts[sort]
-    return Grammar(symbols, np.array(rules, np.uint32).reshape(-1, 2), terminals)
+    return Grammar(symbols.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), terminals)
 
 
 _SHARD = (

@@ -91,7 +91,7 @@ class Pieces(dict):
     def _ids(self, piece: str) -> bytes:
         if piece.isalpha() and max(piece) < "Ā":
             text = self.lead + (piece.lower() if self.lower else piece)
-            return _pack([t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))])
+            return _pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
         end = piece[-1:]
         if end in _PLAIN_ENDS and len(piece) > 1 and piece[-2].isalnum():
             # Letters or digits and a closing mark are different pre-tokens.
