@@ -59,6 +59,15 @@ def test_workout_pages_meet_in_one_shuffle(spark, log):
     assert [shape(w) for w in got[5]["workouts"]] == [[(3, "1", [(0, None)])] * 2] * 2
 
 
+def test_tasks_that_nest_workouts_grow_with_the_rows(spark, log, monkeypatch):
+    few = landing.landed_workout_pages(spark, log)
+    assert ", 8), REPARTITION_BY_NUM" in plan(few)
+    monkeypatch.setattr(landing, "ROWS_A_TASK", 1)
+    many = landing.landed_workout_pages(spark, log)
+    assert ", 14), REPARTITION_BY_NUM" in plan(many)  # 6 orders and 8 lines with a key
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
 def test_landed_lines_and_layers_are_compressed(spark):
     d = scratch_path(spark, "t-lz4")
     body = '{"page":1,"page_count":1,"workouts":[' + ",".join('{"id":"a","title":"x"}' for _ in range(500)) + "]}"
