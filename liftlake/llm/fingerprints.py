@@ -8,7 +8,8 @@ by peeling, so a part that fails is retried eight times as large. The
 fingerprint holds the cells of all these parts.
 
 The likeness of two texts is the share of common paragraphs and comes from the
-two fingerprints alone: the cells of equal parts subtract, which leaves the
+two fingerprints alone. Where a table of each of two equal parts has no two digests
+in one cell, those say what is shared; else the cells subtract, which leaves the
 digests they do not share, and peeling counts those. Where that gets stuck, or
 one side divides a part that the other does not, the digests recovered from the
 undivided cells are dealt to eight sketches and it goes on with those. All of
@@ -122,6 +123,15 @@ def recovered(cells: Column) -> Column:
     return _peel(cells, none, lambda ks, found: F.concat(ks, F.transform(found, lambda x: x["k"])), F.lit(None).cast("array<bigint>"))
 
 
+def stated(cells: Column) -> Column:
+    """The digests of a sketch as the first table says them that has each in a
+    cell of its own, null if none does."""
+    tables = [F.slice(cells, 1 + SLOTS * table, SLOTS) for table in range(TABLES)]
+    return F.coalesce(*[
+        F.when(F.forall(t, lambda x: x["n"] <= 1), F.transform(F.filter(t, lambda x: x["n"] == 1), lambda x: x["k"])) for t in tables
+    ])
+
+
 def _mask(level: Column, bits: int) -> Column:
     return F.call_function("shiftleft", F.lit(bits).cast("long"), (3 * level).cast("int"))
 
@@ -205,15 +215,16 @@ def differing(a: Column, b: Column) -> Column:
         d = (
             F.when((F.size(x) == 0) | (F.size(y) == 0), every)
             .when(undivided(x, level) & undivided(y, level), F.when(x[0]["cells"] == y[0]["cells"], F.lit(0))
-                  .when(every == 2, every).otherwise(peeled(subtracted(x[0]["cells"], y[0]["cells"]))))
+                  .when(every == 2, every).otherwise(F.coalesce(
+                      every - 2 * F.array_size(F.array_intersect(stated(x[0]["cells"]), stated(y[0]["cells"]))),
+                      peeled(subtracted(x[0]["cells"], y[0]["cells"])),
+                  )))
             .otherwise(F.lit(-1))
         )
         return let(d, lambda n: F.struct(x.alias("a"), y.alias("b"), F.when((n < 0) & (level == RETRIES - 1), every).otherwise(n).alias("d")))
 
     def digests(leaf: Column) -> Column:
-        # One digest is the only one of its cell in each table.
-        alone = F.aggregate(F.slice(leaf["cells"], 1, SLOTS), F.lit(0).cast("long"), lambda k, x: k.bitwiseXOR(x["k"]))
-        return F.when(held(F.array(leaf)) == 1, F.array(alone)).otherwise(recovered(leaf["cells"]))
+        return F.coalesce(stated(leaf["cells"]), recovered(leaf["cells"]))
 
     def deeper(leaves: Column, level: Column) -> Column:
         return F.when(undivided(leaves, level), F.transform(
@@ -251,9 +262,10 @@ def fingerprint_likeness(a: Column, b: Column) -> Column:
     return let(read_fingerprint(a), lambda x: let(read_fingerprint(b), lambda y: likeness(x, y)))
 
 
-def with_next(rows: DataFrame, *columns: str) -> DataFrame:
+def with_next(rows: DataFrame, *columns: str, made: dict[str, Column] | None = None) -> DataFrame:
     """Rows (did, th, ...) with ``next_<column>`` of the following row by
-    (did, th), the first after the last. Ids are dealt to ranges by quantiles,
+    (did, th), the first after the last. Columns of ``made`` are made once a
+    row after the shuffle and have a ``next_`` too. Ids are dealt to ranges by quantiles,
     an id that fills several (such as null) by its text hashes; the rows that
     begin a range are sent to the range before it as well, so each range finds
     its successors alone."""
@@ -268,8 +280,10 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     number = F.size(F.filter(bounds, lambda c: c < F.col("did"))) + F.when(heavy, F.shiftright(hashed * slices, 31).cast("int")).otherwise(F.lit(0))
     dealt = rows.withColumn("range", number if cuts else F.lit(0))
     firsts = [tuple(r) for r in dealt.groupBy("range").agg(F.min(F.struct("did", "th")).alias("k")).select("range", "k.did", "k.th").orderBy("range").collect()]
+    made = made or {}
+    columns = (*columns, *made)
     if not firsts:
-        return rows.withColumns({f"next_{c}": F.col(c) for c in columns})
+        return rows.withColumns(made).withColumns({f"next_{c}": F.col(c) for c in columns})
     # (did, th) that begins a range -> the range before it, the last's for the first.
     guests = {(did, th): firsts[i - 1][0] for i, (_, did, th) in enumerate(firsts)}
     table = F.create_map(*[x for (did, th), before in guests.items() for x in (F.struct(F.lit(did).cast("long").alias("did"), F.lit(th).cast("long").alias("th")), F.lit(before))])
@@ -281,6 +295,7 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     )
     order = W.partitionBy("range").orderBy("guest", "did", "th")
     seated = dealt.select(*rows.columns, F.explode(seats).alias("seat")).select(*rows.columns, "seat.range", "seat.guest")
+    seated = seated.repartition("range").withColumns(made)
     return (
         seated.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
         .where(~F.col("guest")).drop("range", "guest")
@@ -298,15 +313,14 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next) for each document."""
-    rows = keyed(docs).withColumn("own", paragraphs(F.col("text")))
-    pairs = with_next(rows, "text", "own")
+    # A text's sketches serve it and the text before it.
+    pairs = with_next(keyed(docs), "text", made={"own": sketches(paragraphs(F.col("text")))})
     edits = pairs.withColumn("edited_text", edited_text(F.col("text"), F.col("next_text")))
-    # One expression over the sets, which keeps the plan a third as large.
     ready = edits.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
-        F.transform(F.array("own", "next_own", paragraphs(F.col("edited_text"))), sketches).alias("sets"),
+        "own", "next_own", sketches(paragraphs(F.col("edited_text"))).alias("edited"),
     )
-    own, following, edited = (F.col("sets")[i] for i in range(3))
+    own, following, edited = (F.col(c) for c in ("own", "next_own", "edited"))
     compared = ready.select(
         "doc_id", "n_chars", "edited_sha256", F.transform(F.array(own, edited), fingerprint).alias("prints"),
         F.transform(F.array(edited, following), lambda other: likeness(own, other)).alias("near"),

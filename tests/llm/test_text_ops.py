@@ -139,6 +139,23 @@ def test_next_rows_of_one_id_lie_in_many_ranges(spark):
     assert got == {k: order[(i + 1) % len(order)][1] for i, k in enumerate(order)}
 
 
+def test_columns_of_the_next_row_are_made_once_a_row_after_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, "x. " * i) for i in range(40)], "doc_id long, text string")
+    near = fingerprints.with_next(keyed(docs), "text", made={"own": F.length("text")})
+    plan = near._sc._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "simple")
+    assert "length(" in plan.split("Exchange")[0] and "length(" not in plan.split("Exchange", 1)[1]
+    got = {r.did: (r.own, r.next_own) for r in near.collect()}
+    assert got == {i: (3 * i, 3 * ((i + 1) % 40)) for i in range(40)}
+
+
+def test_a_table_without_shared_cells_states_the_digests(spark):
+    place = lambda i, j, k: i << 40 | j << 44 | k << 48
+    sets = [[], [place(1, 1, 1)], [place(0, 0, 0) + 5, place(1, 0, 0)], [place(0, 0, 2), place(0, 0, 1)], [place(0, 3, 2), place(0, 3, 2) + 9]]
+    df = spark.createDataFrame([(s,) for s in sets], "s array<bigint>").select("s", fingerprints.stated(fingerprints.sketch(F.col("s"))).alias("k"))
+    got = [(r.s, r.k) for r in df.collect()]
+    assert [None if k is None else sorted(k) for _, k in got] == [sorted(s) for s in sets[:4]] + [None]
+
+
 def test_likeness_of_large_sets(spark):
     rows = [(list(range(a)), list(range(b, c))) for a, b, c in ((0, 0, 0), (5, 5, 5), (40, 0, 41), (300, 100, 700), (2000, 0, 2000), (1500, 1500, 3000))]
     spread = lambda c: F.array_distinct(F.transform(c, lambda x: F.xxhash64(x)))
