@@ -102,17 +102,20 @@ def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_ids(path or tokenizer_path(TOKENIZER))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for did, th, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("did", "th", "doc_id", "text"))):
-                    ids = encode(text) + end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((did, th, doc_id, start, len(own) // 4, zlib.crc32(own), n, own if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    rows = []
+                    for did, th, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("did", "th", "doc_id", "text"))):
+                        ids = encode(text) + end
+                        n = len(ids) // 4
+                        for start in range(0, n, capacity):
+                            own = ids[4 * start : 4 * (start + capacity)]
+                            rows.append((did, th, doc_id, start, len(own) // 4, zlib.crc32(own), n, own if with_ids else None))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW)
+        finally:
+            encode.forget()
 
     return pieces
 

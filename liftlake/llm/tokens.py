@@ -129,6 +129,13 @@ class TextIds:
             self.first.inner = self.words.inner = self.first
             self.first.line_end = self.words.line_end = self.whole("\n")
 
+    def forget(self) -> None:
+        """Drops the pieces kept so far. A worker outlives its task, and would hold
+        them while tasks without tokens run in it."""
+        for pieces in (self.words,) if self.drops_space else (self.words, self.first):
+            pieces.clear()
+            pieces.old = {}
+
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -149,5 +156,6 @@ class TextIds:
 
 @functools.lru_cache(maxsize=4)
 def text_ids(path: str) -> TextIds:
-    """One for each worker and file; its pieces serve all tasks of the worker."""
+    """One for each worker and file; its pieces serve all tasks of the worker,
+    unless a task forgets them."""
     return TextIds(path)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from liftlake.llm import packing, token_files
@@ -50,6 +51,20 @@ def test_pieces_of_former_generations_give_the_same_ids(name, monkeypatch):
         assert encode(text) == encode.whole(text), repr(text)
 
 
+def test_a_packing_task_leaves_no_pieces_in_its_worker():
+    from liftlake.llm import tokens
+
+    path = tokenizer_path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"did": [1], "th": [2], "doc_id": [1], "text": ["some words, twice: some words"]})
+    (out,) = packing._pieces(path, 8, 1, False)(iter([batch]))
+    assert out.num_rows == 1 and not tokens.text_ids(path).words and not tokens.text_ids(path).words.old
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode = TextIds(tokenizer_path(name))
+        before = encode("it's some words.")
+        encode.forget()
+        assert encode("it's some words.") == before == encode.whole("it's some words.")
+
+
 def _ids(name, odd_rows, end):
     encode = TextIds(tokenizer_path(name))
     return {(brute.order_key(d), t or ""): encode.whole(t or "") + end.to_bytes(4, "little") for d, t, _ in odd_rows}
