@@ -56,10 +56,10 @@ class Grammar:
     def lengths(self) -> np.ndarray:
         """Expansion length of each rule. A rule uses only earlier ones."""
         if self._lengths is None:
-            out = np.ones(self.terminals + len(self.rules), np.int64)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                out[self.terminals + i] = out[a] + out[b]
-            self._lengths = out[self.terminals :]
+            out = [1] * self.terminals
+            for a, b in self.rules.tolist():
+                out.append(out[a] + out[b])
+            self._lengths = np.array(out[self.terminals :], np.int64)
         return self._lengths
 
     def symbol_lengths(self, symbols: np.ndarray) -> np.ndarray:
@@ -74,10 +74,11 @@ class Grammar:
         first = np.cumsum(length) - length
         ids = np.empty(int(length.sum()), np.uint32)
         ids[: self.terminals] = np.arange(self.terminals)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            at, n = first[self.terminals + i], length[a]
-            ids[at : at + n] = ids[first[a] : first[a] + n]
-            ids[at + n : at + n + length[b]] = ids[first[b] : first[b] + length[b]]
+        begin, size = first.tolist(), length.tolist()
+        for (a, b), at in zip(self.rules.tolist(), begin[self.terminals :]):
+            middle = at + size[a]
+            ids[at:middle] = ids[begin[a] : begin[a] + size[a]]
+            ids[middle : middle + size[b]] = ids[begin[b] : begin[b] + size[b]]
         return ids, first, length
 
     def expand(self, a: int = 0, b: int | None = None) -> np.ndarray:
@@ -118,49 +119,60 @@ def spell(symbols: np.ndarray, ids: np.ndarray, first: np.ndarray, length: np.nd
     return ids[np.repeat(first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Pairs as numbers, the left symbol above."""
-    out = np.empty((len(left), 2), "<u4")
-    out[:, 0], out[:, 1] = right, left
-    return out.view("<u8").ravel()
+def _twins(equal: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Every second one of a run of the places ``equal``, in ascending order,
+    that hold the same symbol as the place after them."""
+    if not len(equal):
+        return equal
+    begins = np.concatenate(([True], after[equal[:-1]] != equal[1:]))
+    offset = np.arange(len(equal)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    return equal[offset % 2 == 0]
 
 
-def _pairs(symbols: np.ndarray, at: np.ndarray | None, inner: np.ndarray) -> np.ndarray:
-    """Keys of the pairs of two different symbols that start at ``at`` (anywhere
-    if None), both of them in ``inner``."""
-    if at is None:
-        a, b, ok = symbols[:-1], symbols[1:], inner[symbols]
-        wanted = np.flatnonzero(ok[:-1] & ok[1:] & (a != b))
-    else:
-        a, b = symbols[at], symbols[at + 1]
-        wanted = np.flatnonzero(inner[a] & inner[b] & (a != b))
-    return _key(a[wanted], b[wanted])
-
-
-def _twins(symbols: np.ndarray, end_id: int) -> np.ndarray:
-    """Places of pairs of equal symbols, every second one of a run."""
-    at = np.flatnonzero(symbols[:-1] == symbols[1:])
-    at = at[symbols[at] != end_id]
+def _often(left: np.ndarray, right: np.ndarray, at: np.ndarray, least: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, places) of the pairs that occur ``least`` times: keys ascend,
+    with the left symbol in the upper half, and the places, out of ``at``, go by
+    key. Symbols and places are below ``high``."""
+    place_bits, none = int(at.max(initial=0)).bit_length(), np.zeros(0, np.int64)
+    symbol_bits = high.bit_length()
     if not len(at):
-        return at
-    begins = np.concatenate(([True], np.diff(at) > 1))
-    offset = at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
-    return at[offset % 2 == 0]
-
-
-def _beside(n: int, places: np.ndarray, reach: tuple[int, ...]) -> np.ndarray:
-    """Distinct pair places that touch ``places``."""
-    mark = np.zeros(n, bool)
-    for r in reach:
-        at = places + r
-        mark[at[(at >= 0) & (at < n)]] = True
-    return np.flatnonzero(mark)
-
-
-def _counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    found, count = np.unique(keys, return_counts=True)
+        return none.astype(np.uint64), none, none
+    if 2 * symbol_bits + place_bits <= 64:
+        # Key and place in one number sort faster than an index.
+        key = left.astype(np.uint64)
+        for bits, part in ((symbol_bits, right), (place_bits, at)):
+            key <<= np.uint64(bits)
+            np.bitwise_or(key, part, out=key, dtype=np.uint64, casting="unsafe")
+        key.sort()
+        at = (key & np.uint64((1 << place_bits) - 1)).astype(np.intp)
+        key >>= np.uint64(place_bits)
+    else:
+        symbol_bits = 32
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(first, append=len(key))
     often = count >= least
-    return found[often], count[often]
+    key = key[first[often]]
+    key = key >> np.uint64(symbol_bits) << np.uint64(32) | key & np.uint64((1 << symbol_bits) - 1)
+    return key, count[often], at[np.repeat(often, count)]
+
+
+def _often_of_all(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_often`` for all places of few inner symbols, by a table of all their
+    pairs; the third array has the number of each place's pair, 0 for none."""
+    symbol, rank = np.flatnonzero(inner), np.cumsum(inner) * inner
+    wide = len(symbol) + 1
+    number = rank[left] * wide + rank[right]
+    count = np.bincount(number, minlength=wide * wide).reshape(wide, wide)
+    count[0], count[:, 0] = 0, 0
+    np.fill_diagonal(count, 0)
+    found = np.flatnonzero(count.ravel() >= least)
+    table = np.zeros(wide * wide, np.int32)
+    table[found] = np.arange(1, len(found) + 1)
+    key = symbol[found // wide - 1].astype(np.uint64) << np.uint64(32) | symbol[found % wide - 1].astype(np.uint64)
+    return key, count.ravel()[found], table[number]
 
 
 def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> Grammar:
@@ -168,64 +180,94 @@ def re_pair(ids: np.ndarray, end_id: int, pairs: int = PAIRS_A_ROUND, min_count:
     replaced places and counts those that it makes. A pair occurs most when its
     later symbol is made and only loses places afterwards, so pairs below the
     least count are never looked at again. Pairs of equal symbols change with
-    the runs around them and are counted in each round."""
-    terminals = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules = ids.astype(np.intp), []  # as numpy indexes with
+    the runs around them and are counted in each round.
+
+    Places know the places before and after them, so a round touches those it
+    replaces and their neighbours, and looks only at places of pairs that still
+    occur often."""
+    n, terminals = len(ids), int(ids.max()) + 1 if len(ids) else 1
+    # Each pair replaced takes away min_count places or more.
+    high = terminals + n // max(min_count, 1) + 1
+    # Place n lies before the first and after the last one; its symbol, like that
+    # of a place taken away, is -1 and never inner.
+    symbols = np.append(ids.astype(np.int32), np.int32(-1))
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n], before[0] = n, n
     # A pair occurs no more often than its symbols; none goes over an end.
-    inner = np.bincount(symbols, minlength=terminals) >= min_count
+    inner = np.append(np.bincount(ids, minlength=terminals) >= min_count, False)
     if end_id < terminals:
         inner[end_id] = False
-    keys, counts = _counted(_pairs(symbols, None, inner), min_count)
-    while len(symbols) > 1:
-        twins = _twins(symbols, end_id)
-        twin_ids, twin_counts = _counted(symbols[twins].astype(np.uint64), min_count)
-        all_keys = np.concatenate((keys, twin_ids << np.uint64(32) | twin_ids))
-        all_counts = np.concatenate((counts, twin_counts))
+
+    # Pair 0 is none; pair_at tells the pair that starts at a place.
+    keys, counts, pair_at = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(n + 1, np.int32)
+    live = equal = np.zeros(0, np.intp)
+    left, right = symbols[:-1], symbols[1:]
+    if (int(inner.sum()) + 1) ** 2 <= 4 * n:
+        new_keys, new_counts, pair_at[:n] = _often_of_all(left, right, inner, max(min_count, 1))
+        keys, counts = np.concatenate((keys, new_keys)), np.concatenate((counts, new_counts))
+        live, equal = np.flatnonzero(pair_at), np.flatnonzero((left == right) & inner[left])
+        at = live[:0]
+    else:
+        at = np.arange(n)
+    rules = []
+    while True:
+        # Pairs that the round before has made, or all.
+        if len(at):
+            ok, same = inner[left] & inner[right], left == right
+            equal = np.sort(np.concatenate((equal, at[ok & same])))
+            wanted = np.flatnonzero(ok & ~same)
+            new_keys, new_counts, at = _often(left[wanted], right[wanted], at[wanted], min_count, high)
+            pair_at[at] = np.repeat(np.arange(len(keys), len(keys) + len(new_keys), dtype=np.int32), new_counts)
+            keys, counts = np.concatenate((keys, new_keys)), np.concatenate((counts, new_counts))
+            live = np.concatenate((live, np.sort(at)))
+        twins = _twins(equal, after)
+        twin_ids, twin_counts = np.unique(symbols[twins].astype(np.uint64), return_counts=True)
+        often, twins_often = np.flatnonzero(counts >= max(min_count, 1)), twin_counts >= min_count
+        twin_ids, twin_counts = twin_ids[twins_often], twin_counts[twins_often]
+        all_keys = np.concatenate((keys[often], twin_ids << np.uint64(32) | twin_ids))
+        all_counts = np.concatenate((counts[often], twin_counts))
         best = np.lexsort((all_keys, -all_counts))[: 4 * pairs]
-        left, right, chosen = set(), set(), []
-        for k in all_keys[best].tolist():
+        lefts, rights, chosen = set(), set(), []
+        for i, k in zip(best.tolist(), all_keys[best].tolist()):
             a, b = k >> 32, k & 0xFFFFFFFF
-            if a not in right and b not in left:
-                left.add(a)
-                right.add(b)
-                chosen.append(k)
+            if a not in rights and b not in lefts:
+                lefts.add(a)
+                rights.add(b)
+                chosen.append(i)
                 if len(chosen) == pairs:
                     break
         if not chosen:
             break
-        base = terminals + len(rules)
-        rules.extend((k >> 32, k & 0xFFFFFFFF) for k in chosen)
-        pair = np.array([(k >> 32, k & 0xFFFFFFFF) for k in chosen], np.int64)
-        # Places by a table over the left and right symbols of the chosen pairs.
-        lefts, rights = np.unique(pair[:, 0]), np.unique(pair[:, 1])
-        row, column = np.full(base, -1, np.int32), np.full(base, -1, np.int32)
-        row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
-        table = np.full((len(lefts), len(rights)), -1, np.int32)
-        table[row[pair[:, 0]], column[pair[:, 1]]] = np.arange(len(chosen))
-        maybe = np.flatnonzero((row >= 0)[symbols[:-1]])
-        maybe = maybe[(column >= 0)[symbols[maybe + 1]]]
-        odd = symbols[maybe] == symbols[maybe + 1]
-        if odd.any():
-            twin = np.zeros(len(symbols), bool)
-            twin[twins] = True
-            maybe = maybe[~odd | twin[maybe]]
-        rule = table[row[symbols[maybe]], column[symbols[maybe + 1]]]
-        place, made = maybe[rule >= 0], base + rule[rule >= 0]
-        if len(keys):
-            lost = np.sort(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0, 1)), inner))
-            counts = counts - (np.searchsorted(lost, keys, "right") - np.searchsorted(lost, keys))
+        base, chosen = terminals + len(rules), np.array(chosen)
+        rules.extend((k >> 32, k & 0xFFFFFFFF) for k in all_keys[chosen].tolist())
+        # Places to replace: those of the chosen pairs, and the twins chosen.
+        made = np.arange(base, base + len(chosen), dtype=np.int32)
+        is_twin = chosen >= len(often)
+        by_pair, by_twin = np.zeros(len(keys), np.int32), np.zeros(base, np.int32)
+        by_pair[often[chosen[~is_twin]]] = made[~is_twin]
+        by_twin[twin_ids[chosen[is_twin] - len(often)].astype(np.intp)] = made[is_twin]
+        place = np.concatenate((live, twins))
+        made = np.concatenate((by_pair[pair_at[live]], by_twin[symbols[twins]]))
+        hit = np.flatnonzero(made)
+        place, made = place[hit], made[hit]
+        # Pairs lost: at the places, at those taken away and at those before.
+        taken = after[place]
+        symbols[taken] = -1
+        ahead = before[place]
+        lost = np.concatenate((place, taken, ahead[symbols[ahead] >= 0]))
+        counts -= np.bincount(pair_at[lost], minlength=len(counts))
+        pair_at[lost], counts[0] = 0, 0
+        live = live[counts[pair_at[live]] >= max(min_count, 1)]
         symbols[place] = made
-        stay = np.ones(len(symbols), bool)
-        stay[place + 1] = False
-        symbols = symbols[stay]
-        place = place - np.arange(len(place))
-        inner = np.concatenate((inner, np.ones(len(chosen), bool)))
-        new_keys, new_counts = _counted(_pairs(symbols, _beside(len(symbols) - 1, place, (-1, 0)), inner), min_count)
-        keep = counts >= min_count
-        keys, counts = np.concatenate((keys[keep], new_keys)), np.concatenate((counts[keep], new_counts))
-        sort = np.argsort(keys)
-        keys, counts = keys[sort], counts[sort]
-    return Grammar(symbols.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), terminals)
+        after[place] = after[taken]
+        before[after[place]] = place
+        inner = np.concatenate((inner[:-1], np.ones(len(rules) + terminals - base, bool), [False]))
+        equal = equal[(symbols[equal] < base) & (symbols[equal] >= 0) & (symbols[equal] == symbols[after[equal]])]
+        ahead = before[place]
+        at = np.concatenate((place, ahead[symbols[ahead] < base]))
+        left, right = symbols[at], symbols[after[at]]
+    symbols = symbols[:n]
+    return Grammar(symbols[symbols >= 0].astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), terminals)
 
 
 _SHARD = (

@@ -20,6 +20,12 @@ MAX_PIECES = 3 << 19
 # Space to str.split, but not to every regex engine's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _PLAIN_ENDS = ".,;:!?"
+_SWAPS = sys.byteorder == "big"
+# Latin-1 letters; Latin-1 without white space, controls and the apostrophe; its
+# runs of letters, of numbers and of other characters.
+_LATIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PLAIN = re.compile("[!-&(-~\xa1-\xac\xae-\xff]+")
+_RUNS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]+|[^0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,7 +36,7 @@ def tokenizer_path(name: str) -> str:
 
 def _pack(ids: list[int]) -> bytes:
     packed = array("I", ids)
-    if sys.byteorder == "big":
+    if _SWAPS:
         packed.byteswap()
     return packed.tobytes()
 
@@ -51,15 +57,18 @@ class Pieces(dict):
     def __init__(self, tokenizer, lead: str, lower: bool) -> None:
         super().__init__()
         self.tokenizer, self.model, self.lead, self.lower = tokenizer, tokenizer.model, lead, lower
-        self.letters = _byte_letters()
-        self.lead_letters = "".join([self.letters[b] for b in lead.encode()])
+        letters = _byte_letters()
+        self.lead_letters = "".join([letters[b] for b in lead.encode()])
+        # Latin-1 characters as the letters of their bytes.
+        self.letters = {c: "".join([letters[b] for b in chr(c).encode()]) for c in range(0x100)}
         self.old: dict[str, bytes | None] = {}
         self.ends: dict[str, bytes] = {}  # ids of closing marks
         self.line_end = b""
         self.inner: Pieces | None = None  # pieces after a line end
+        self.by_runs = False  # pre-tokens are runs of letters, of numbers and of others
 
     def __missing__(self, piece: str) -> bytes | None:
-        if piece in self.old:
+        if self.old and piece in self.old:
             ids = self.old[piece]
         elif piece.isalpha() and piece.isascii():
             # One pre-token, so the model alone gives its ids.
@@ -81,7 +90,7 @@ class Pieces(dict):
         return ids
 
     def _lines(self, piece: str) -> bytes | None:
-        """A single line end between two words is a pre-token of its own."""
+        """For pieces with single line ends between words."""
         first, *rest = piece.split("\n")
         out = [self[first]]
         for part in rest:
@@ -89,9 +98,9 @@ class Pieces(dict):
         return None if None in out else b"".join(out)
 
     def _ids(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "Ā":
-            text = self.lead + (piece.lower() if self.lower else piece)
-            return _pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+        if _LATIN.fullmatch(piece):
+            text = (piece.lower() if self.lower else piece).translate(self.letters)
+            return _pack([t.id for t in self.model.tokenize(self.lead_letters + text)])
         end = piece[-1:]
         if end in _PLAIN_ENDS and len(piece) > 1 and piece[-2].isalnum():
             # Letters or digits and a closing mark are different pre-tokens.
@@ -99,6 +108,10 @@ class Pieces(dict):
             if last is None:
                 last = self.ends[end] = self._encode(end)
             return self[piece[:-1]] + last
+        if self.by_runs and _PLAIN.fullmatch(piece):
+            first, *rest = _RUNS.findall(piece)
+            if rest:
+                return b"".join([self[first], *map(self.inner.__getitem__, rest)])
         return self._encode(self.lead + piece)
 
     def _encode(self, text: str) -> bytes:
@@ -112,7 +125,7 @@ class TextIds:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # Added tokens are found before pre-tokens; those that are looked for in
@@ -128,6 +141,8 @@ class TextIds:
             self.words = Pieces(self.tokenizer, " ", lower=False)
             self.first.inner = self.words.inner = self.first
             self.first.line_end = self.words.line_end = self.whole("\n")
+            cut = self.tokenizer.pre_tokenizer
+            self.first.by_runs = self.words.by_runs = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex
 
     def forget(self) -> None:
         """Drops the pieces kept so far. A worker outlives its task, and would hold
@@ -147,9 +162,13 @@ class TextIds:
             if _ODD_SPACE.search(text):
                 return self.whole(text)
             return b"".join(map(self.words.__getitem__, text.split()))
-        first, *rest = text.split(" ")
+        lines = []
         try:
-            return b"".join([self.first[first], *map(self.words.__getitem__, rest)])
+            # A single line end between two words is a pre-token of its own.
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(b"".join([self.first[first], *map(self.words.__getitem__, rest)]))
+            return self.first.line_end.join(lines)
         except TypeError:  # a piece of None: spaces in a row and the like
             return self.whole(text)
 

@@ -51,6 +51,23 @@ def test_pieces_of_former_generations_give_the_same_ids(name, monkeypatch):
         assert encode(text) == encode.whole(text), repr(text)
 
 
+def test_marks_beside_known_words_are_not_encoded_again(monkeypatch):
+    encode, asked = TextIds(tokenizer_path("byte_bpe_50k.json")), []
+    plain = type(encode.words)._encode
+    monkeypatch.setattr(type(encode.words), "_encode", lambda self, text: asked.append(text) or plain(self, text))
+    first = "\n".join("word &&& 12 (é) " + m + " x" for m in ("%%", "--", "."))
+    encode(first)
+    asked.clear()
+    for text in ("word&&& x 12%%word", "(word--é", "x word&&&\nword--x", "x ¿word? «é» 12²word"):
+        assert encode(text) == encode.whole(text), text
+    assert not {t.strip() for t in asked} & {"word&&&", "12%%word", "(word--é", "word--x", "«é»"} and "&&&" in asked
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(0x100)] + list("ab12'’é,.!&٣Ⅷ \n")
+    for _ in range(4000):
+        text = "".join(rng.choices(signs, k=9))
+        assert encode(text) == encode.whole(text), repr(text)
+
+
 def test_a_packing_task_leaves_no_pieces_in_its_worker():
     from liftlake.llm import tokens
 
@@ -156,6 +173,44 @@ def test_incremental_pair_counts_equal_counting_anew():
         assert max(counts.values(), default=0) < 4
 
 
+def test_counting_pairs_by_table_by_sort_and_by_index_gives_one_grammar(monkeypatch):
+    rng, asked = np.random.default_rng(4), []
+    of_all, often = token_files._often_of_all, token_files._often
+    monkeypatch.setattr(token_files, "_often_of_all", lambda *a: asked.append("table") or of_all(*a))
+    for _ in range(20):
+        words = [rng.integers(3, 15, rng.integers(1, 9)) for _ in range(12)]
+        ids = np.concatenate([words[i] for i in rng.integers(0, 12, 600)]).astype(np.uint32)
+        ids[rng.random(len(ids)) < 0.02] = 2
+        few = token_files.re_pair(ids, end_id=2, pairs=5, min_count=4)
+        with monkeypatch.context() as m:
+            m.setattr(token_files, "_often_of_all", lambda left, right, inner, least: (*_by_sort(left, right, inner, least, often),))
+            by_sort = token_files.re_pair(ids, end_id=2, pairs=5, min_count=4)
+            m.setattr(token_files, "_often", lambda left, right, at, least, high: often(left, right, at, least, 1 << 31))
+            by_index = token_files.re_pair(ids, end_id=2, pairs=5, min_count=4)
+        for other in (by_sort, by_index):
+            assert other.symbols.tolist() == few.symbols.tolist() and other.rules.tolist() == few.rules.tolist()
+    assert "table" in asked
+
+
+def _by_sort(left, right, inner, least, often):
+    wanted = np.flatnonzero(inner[left] & inner[right] & (left != right))
+    keys, counts, at = often(left[wanted], right[wanted], wanted, least, 1 << 20)
+    number = np.zeros(len(left), np.int32)
+    number[at] = np.repeat(np.arange(1, len(keys) + 1), counts)
+    return keys, counts, number
+
+
+def test_a_round_looks_only_at_places_it_changes(monkeypatch):
+    seen, often = [], token_files._often
+    monkeypatch.setattr(token_files, "_often", lambda left, right, at, *a: seen.append(len(at)) or often(left, right, at, *a))
+    rng = np.random.default_rng(5)
+    ids = np.append(rng.integers(3, 60_000, 20_000), np.tile(np.append(rng.integers(3, 60_000, 200), 2), 30)).astype(np.uint32)
+    grammar = token_files.re_pair(ids, end_id=2)
+    assert grammar.expand().tolist() == ids.tolist() and len(grammar.rules) > 150
+    # At most the places replaced and those before them.
+    assert sum(seen[1:]) <= 2 * 30 * 200 and len(seen) > 3
+
+
 def test_reading_a_part_expands_the_rules_it_needs():
     rng = np.random.default_rng(9)
     texts = [np.append(np.tile(rng.integers(3, 4000, 50), 8), 2) for _ in range(40)]
