@@ -143,3 +143,22 @@ def test_rows_that_break_no_rule_are_not_grouped(spark):
     df = spark.createDataFrame([("a", "x"), (None, "y")], "id string, title string")
     text = plan(nm.constraint_report(df, "t", ["id"], ["id"], unique=False), "extended").split("Physical Plan")[1]
     assert "Filter" in text.split("Exchange", 1)[1]
+
+
+def test_routine_views_and_documents_hand_no_table_out_whole(spark, log):
+    spark.createDataFrame([(1, 5, "A"), (2, None, "B"), (29, 3, None)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{log}/customer.parquet")
+    docs = landing.routine_documents(spark, log)
+    assert "Broadcast" not in plan(docs) and sorted(r.key for r in docs.collect()) == [1, 2, 29]
+    flat = spark.createDataFrame(
+        [("r", "R", 0, "t", None, 90, "n", 0, "normal", 40.0), ("r", "R", 0, "t", None, 90, "n", 1, None, None), ("q", "Q", None, None, None, None, None, None, None, None)],
+        "routine_id string, title string, exercise_index int, exercise_template_id string, supersets_id int, rest_seconds int, exercise_notes string, set_index int, "
+        "set_type string, weight_kg double")
+    flat = flat.withColumns({c: F.lit(None).cast("double") for c in ("reps", "rep_range_start", "rep_range_end", "distance_meters", "duration_seconds", "rpe")})
+    templates = nm.norm_templates(
+        spark.createDataFrame([("t", "T", "k", "m", True)], "id string, title string, type string, primary_muscle_group string, is_custom boolean"),
+        spark.createDataFrame([("T", 5.0)], "exercise_title string, base_increment double"))
+    history = spark.createDataFrame([("t", [(1, "1995-01-02", 40.0, 5, None)])], "exercise_template_id string, sessions array<struct<session_no:int,date:string,weight:double,reps:int,rpe:double>>")
+    view = nm.routine_view(flat, nm.norm_routine_exercises(flat), templates, history)
+    assert "Broadcast" not in plan(view)
+    got = sorted((r.routine_id, r.title, r.base_increment, r.set_type, r.history) for r in view.fillna("").collect())
+    assert got == [("q", "", None, "", ""), ("r", "T", 5.0, "", "1995-01-02|40.0|5|"), ("r", "T", 5.0, "normal", "1995-01-02|40.0|5|")]
