@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions.calendar import PHASE_COLS, with_phase
 from liftlake.operators.coach import cycle_phase, last_cycle_sets
+from liftlake.session import by_shuffle
 
 # The coach instructions with the placeholders {phase_name} and
 # {next_cycle}, and the history header.
@@ -157,7 +158,7 @@ def routine_prompts(gold: DataFrame) -> DataFrame:
                    .agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))).alias("bs")))
     phase = cycle_phase(gold)
     system = _fill(SYSTEM_TEMPLATE, {"phase_name": F.col("phase"), "next_cycle": F.col("next_cycle").cast("string")})
-    return per_routine.join(phase, "routine_id", "inner").select(
+    return per_routine.join(by_shuffle(phase), "routine_id", "inner").select(
         "routine_id", "next_cycle", "phase",
         F.concat(system, F.lit("\n\n"), F.lit(HISTORY_HEADER),
                  F.array_join(F.transform("bs", lambda x: x["b"]), "")).alias("prompt"))

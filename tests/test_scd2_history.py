@@ -106,3 +106,40 @@ def test_set_grain_layers_meet_without_an_exchange(spark, pipeline):
 
 def test_headers_of_the_workouts_equal_those_of_the_sets(pipeline):
     assert sorted(pipeline.headers.collect()) == sorted(fact.workout_headers(pipeline.actual).collect())
+
+
+def test_one_routines_exercise_lies_together_from_the_match_to_the_coach(spark, pipeline):
+    """Fact and gold are stored by (routine, template): gold shuffles no fact row,
+    the coach no gold row, and the dimension is applied where plans lie."""
+    from liftlake.operators import coach, plan
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        pipeline.gold_table, pipeline.scd_table  # written first
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert text(pipeline.fact).count("hashpartitioning(routine_id") == 2  # sets and plan rows
+        wide = [line for line in text(pipeline.gold).splitlines() if "Exchange hash" in line and "actual_weight_kg" in line]
+        assert not wide
+        whole = pipeline.gold_table
+        assert exchanges(coach.last_cycle_sets(whole)) == 0
+        assert exchanges(pipeline.replies) == 1  # a routine's recommendations
+        assert exchanges(plan.target_sets_legacy(pipeline.bronze.routine_details, pipeline.recommendations)) == 1
+        assert "hashpartitioning(c_routine_id" not in text(pipeline.scd) and "hashpartitioning(s_routine_id" not in text(pipeline.scd)
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+
+
+def test_rows_without_a_template_keep_their_routine_in_gold(spark):
+    from liftlake.operators import gold
+    fact_rows = [("w1", "r1", "t1"), ("w2", "r1", None), ("w3", None, "t1"), ("w4", None, None), ("w5", "r2", "t2"), ("w5", "r1", "t1")]
+    cols = {"cycle_number": "int", "exercise_index": "int", "set_index": "int", "set_type": "string", "weight_kg": "double", "reps": "int", "rpe": "double",
+            "planned_weight_kg": "double", "planned_reps": "int", "planned_rest": "int", "execution_status": "string", "diff_weight_kg": "double", "diff_reps": "int"}
+    f = spark.createDataFrame(fact_rows, "workout_id string, routine_id string, exercise_template_id string").withColumns({c: F.lit(None).cast(t) for c, t in cols.items()})
+    e = spark.createDataFrame([("t1", "Squat", "m", 2.5)], "exercise_template_id string, exercise_name string, primary_muscle_group string, progression_step_kg double")
+    r = spark.createDataFrame([("r1", "Push")], "routine_id string, routine_name string")
+    d = spark.createDataFrame([("r1", "t1", 3, 1), ("r1", "t1", 2, None)], "routine_id string, exercise_template_id string, exercise_index int, superset_id int")
+    got = sorted((x.routine_id or "", x.exercise_template_id or "", x.routine_name, x.exercise_name, x.exercise_index, x.superset_id) for x in gold.gold_prompt(f, e, r, d).collect())
+    assert got == [("", "", None, None, None, None), ("", "t1", None, "Squat", None, None), ("r1", "", "Push", None, None, None),
+                   ("r1", "t1", "Push", "Squat", 2, 1), ("r1", "t1", "Push", "Squat", 2, 1), ("r2", "t2", None, None, None, None)]
