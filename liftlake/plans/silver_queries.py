@@ -147,8 +147,10 @@ FROM fx_performed f ASOF LEFT JOIN (SELECT * REPLACE (ifnull(set_type, 'normal')
 def q_scd2_as_of_latest(spark, d):
     """Every performed set with the plan row valid then, over the long history."""
     p = Pipeline(spark, d)
-    versions = p.scd_history.withColumn("set_type", F.coalesce("set_type", F.lit("normal")))
-    found = scd2.as_of_latest(versions, p.actual, "start_time", fact.MATCH_KEYS)
+    # Both come whole through one shuffle: only what is asked for of them.
+    versions = p.scd_history.withColumn("set_type", F.coalesce("set_type", F.lit("normal"))).select(
+        *fact.MATCH_KEYS, "scd_valid_from", "scd_valid_to", "weight_kg")
+    found = scd2.as_of_latest(versions, p.actual.select("workout_id", *fact.MATCH_KEYS, "start_time"), "start_time", fact.MATCH_KEYS)
     return found.select("workout_id", "exercise_index", "set_index", "start_time", F.col("version.scd_valid_from").alias("scd_valid_from"),
                         F.col("version.weight_kg").alias("planned_weight_kg"))
 

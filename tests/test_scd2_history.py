@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,26 @@ def test_as_of_latest_over_a_thousand_versions(spark):
     assert "scd_valid_from" not in text.split("Join", 1)[1].split("\n", 1)[0]  # no interval in a join
 
 
+def test_keys_of_few_probes_are_not_carried_over_blocks(spark):
+    """Events go through one shuffle by their key; those of a key with very many
+    probes go in blocks, with the same versions found."""
+    rng = random.Random(7)
+    at = lambda days: T0 + dt.timedelta(days=days)
+    v = [(k, e, at(10 * n), at(10 * n + rng.choice([5, 10])) if n < 30 else None, n) for k in ("hot", "few") for e in (0, 1) for n in range(31)]
+    p = [(i, rng.choice(["hot"] * 9 + ["few", "none", None]), rng.choice([0, 1, None]), at(rng.randrange(-20, 500)) if i % 50 else None) for i in range(600)]
+    vs = spark.createDataFrame(v, "k string, e int, scd_valid_from timestamp_ntz, scd_valid_to timestamp_ntz, no int")
+    ps = spark.createDataFrame(p, "i int, k string, e int, at timestamp_ntz")
+    want = sorted((i, next((n for own, f, a, b, n in v if (own, f) == (k, e) and t and a <= t and (b is None or t < b)), -1)) for i, k, e, t in p)
+    for most in (0, 100, 10**6):
+        found = scd2.as_of_latest(vs, ps, "at", ["k", "e"], most=most)
+        assert found.columns == ["i", "k", "e", "at", "version"] and found.schema["version"].dataType == vs.schema
+        rows = found.collect()
+        assert sorted((r.i, r.version.no if r.version else -1) for r in rows) == want
+        assert all((r.version.k, r.version.e) == (r.k, r.e) for r in rows if r.version)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[k#\d+, e#\d+\], 8", text)) == 1 and "_block" in text
+
+
 @pytest.fixture(scope="module")
 def pipeline(spark):
     with inputs.looked(spark, SF_SMALL):
