@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.operators.plan import DEFAULT_WORKING_SETS, warmup_ladder
+from liftlake.operators.plan import DEFAULT_WORKING_SETS, of_routine, warmup_ladder
 
 _SET = {"type": "string", "weight_kg": "double", "reps": "int", "distance_meters": "double", "duration_seconds": "double"}
 _SETS = "array<struct<" + ",".join(f"{k}:{t}" for k, t in _SET.items()) + ">>"
@@ -28,16 +28,18 @@ def exercise_plans(flat_routines: DataFrame, recs: DataFrame) -> DataFrame:
     An exercise without planned sets (an outer row without index and type) has
     none to copy and gets the default number of working sets; a recommendation
     without weight, or of 0 kg, gives no warm-up; missing old notes are empty.
-    A routine holds a bounded number of exercises and sets, so its sets are
-    gathered by its own key."""
+    A routine holds a bounded number of exercises and sets, so its rows are spread by
+    the routine once, where its sets are gathered and its recommendations, which
+    come by routine, are joined."""
     planned = _set(type=F.col("set_type"), **{k: F.col(k) for k in list(_SET)[1:]})
     has_set = F.col("set_index").isNotNull() | F.col("set_type").isNotNull()
-    exercises = (flat_routines.where("routine_id IS NOT NULL AND exercise_index IS NOT NULL").groupBy(*_EXERCISE)
+    rows = flat_routines.where("routine_id IS NOT NULL AND exercise_index IS NOT NULL").select(*_EXERCISE, "set_index", "set_type", *list(_SET)[1:])
+    exercises = (rows.repartition("routine_id").groupBy(*_EXERCISE)
                  .agg(F.array_sort(F.collect_list(F.when(has_set, F.struct("set_index", planned.alias("s"))))).alias("planned"))
                  .withColumn("planned", F.transform("planned", lambda x: x["s"])))
-    j = exercises.join(recs.select("routine_id", "exercise_template_id", "reasoning", "rpe_target", F.lit(True).alias("_has"),
-                                   F.col("weight_kg").alias("tw"), F.col("reps").alias("tr")),
-                       ["routine_id", "exercise_template_id"], "left")
+    own = recs.select("routine_id", "exercise_template_id", "reasoning", "rpe_target", F.lit(True).alias("_has"),
+                      F.col("weight_kg").alias("tw"), F.col("reps").alias("tr"))
+    j = of_routine(exercises, own)
     has = F.coalesce(F.col("_has"), F.lit(False))
     normal = F.size(F.filter("planned", lambda s: F.coalesce(s["type"] == "normal", F.lit(False))))
     working = F.transform(F.sequence(F.lit(1), F.when(normal > 0, normal).otherwise(DEFAULT_WORKING_SETS)),

@@ -55,3 +55,27 @@ def test_empty_tables(spark):
     df, p = plans(spark, [], [])
     assert p.count() == 0 and legacy_plan.set_rows(p).count() == 0
     assert legacy_plan.payloads(df, p, F.current_timestamp()).count() == 0
+
+
+def test_a_routine_is_shuffled_once_to_its_recommendations(spark):
+    flat = spark.createDataFrame(
+        [("r", "R", 0, "t", None, 90, "old", 0, "normal", 40.0, 5), ("r", "R", 0, "t", None, 90, "old", 1, "normal", 42.5, 5), ("r", "R", 1, "u", 1, None, None, 0, "warmup", None, 8),
+         ("r", "R", 2, "t", None, 60, None, None, None, None, None), ("q", "Q", 0, None, None, None, None, 0, "normal", 20.0, 3), ("s", "S", None, None, None, None, None, None, None, None, None)],
+        "routine_id string, title string, exercise_index int, exercise_template_id string, supersets_id int, rest_seconds int, exercise_notes string, set_index int, "
+        "set_type string, weight_kg double, reps int").withColumns({c: F.lit(None).cast("double") for c in ("distance_meters", "duration_seconds")})
+    recs = spark.createDataFrame(
+        [("r", "t", 30.0, 6, 8.0, "why"), ("q", "t", 10.0, 1, 0.0, "no"), ("q", None, 10.0, 1, 0.0, "no")],
+        "routine_id string, exercise_template_id string, weight_kg double, reps int, rpe_target double, reasoning string").repartition(8, "routine_id")
+    plans = legacy_plan.exercise_plans(flat, recs)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = legacy_plan.exercise_plans(flat, recs)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(routine_id") == text.count("Exchange ") == 2
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    got = sorted((p.routine_id, p.order_index, p.notes, [(s.type, s.weight_kg, s.reps) for s in p.sets]) for p in plans.collect())
+    work = lambda n: [("normal", 30.0, 6)] * n
+    assert got == [("q", 0, "", [("normal", 20.0, 3)]), ("r", 0, "[AI: why RPE 8.0] old", work(2)), ("r", 1, "", [("warmup", None, 8)]), ("r", 2, "[AI: why RPE 8.0] ", work(3))]
