@@ -90,3 +90,13 @@ def test_page_numbers_beyond_an_int(spark, number):
     d = scratch_path(spark, "t-long")
     land(d, "a.jsonl", page(number, 1, ten(0)))
     assert {r.page for r in pf.page_items(pf.read_pages(spark, d, "routine_folders")).collect()} == {number}
+
+
+def test_blank_lines_are_found_by_their_first_other_character(spark):
+    """A page's text is not copied to find out whether something is in it."""
+    d = scratch_path(spark, "t-blank")
+    body = '{"page":1,"page_count":1,"events":["%s"]}'
+    spark.createDataFrame([(body % "a",), ("",), ("   ",), (" \r ",), ("\t",), (" ",), ("  " + body % "b",)], "value string").coalesce(1).write.text(d)
+    pages = pf.read_pages(spark, d, "events")
+    assert sorted((r.problem or "", r.raw or "") for r in pages.collect()) == [("", ""), ("", ""), ("unreadable", "\t"), ("unreadable", " ")]
+    assert "regexp_replace" not in pages._jdf.queryExecution().optimizedPlan().toString()
